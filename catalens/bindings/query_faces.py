@@ -76,7 +76,7 @@ _FACE_ID = "concat_ws('-', " + ", ".join(
 ) + ")"
 _SUMMARY = f"""
 SELECT image_id, face_no, {_FACE_ID} AS id, {_sql_box()}, 'face_recognition' AS detector,
-  1 AS confidence, len(encoding) AS dimensions FROM faces"""
+  1 AS confidence, CAST(len(encoding) AS INTEGER) AS dimensions FROM faces"""
 
 
 @query("f3_face_record", with_views(_SUMMARY, "faces"))

@@ -320,6 +320,10 @@ def p15_extension_filter(spark, sf_dir):
 # --- tags and records -------------------------------------------------------------------
 
 
+def _facts(spark, sf_dir):
+    return metadata.with_facts(views.clean_exif(spark, sf_dir))
+
+
 _LIGHT = [
     "FileName", "MIMEType", "Make", "DeviceManufacturer", "Model", "DeviceModelName", "SerialNumber",
     "InternalSerialNumber", "DeviceSerialNo", "FileNumber", "ImageWidth", "ImageHeight", "FrameRate",
@@ -389,7 +393,7 @@ FROM exif""",
     ),
 )
 def p19_base_record(spark, sf_dir):
-    record = views.clean_exif(spark, sf_dir).select("id", *metadata.record_columns())
+    record = _facts(spark, sf_dir).select("id", *metadata.record_columns())
     return record.select("id", "name", "type", "mimetype", "deviceinfo.*", "fileinfo.*")
 
 
@@ -415,9 +419,9 @@ def p21_serial_number(spark, sf_dir):
 
 
 # Tags with the classification that most record columns depend on.
-_TYPED = f"""(SELECT *, type IN ('image', 'video') AS visual, coalesce(make = 'Apple', false) AND type = 'video' AS vendor
+_TYPED = f"""(SELECT *, type IN ('image', 'video') AS visual, coalesce(maker = 'Apple', false) AND type = 'video' AS vendor
 FROM (SELECT *, {media_type('"MIMEType"')} AS type,
-  CASE WHEN "Make" <> '' THEN "Make" ELSE "DeviceManufacturer" END AS make,
+  CASE WHEN "Make" <> '' THEN "Make" ELSE "DeviceManufacturer" END AS maker,
   nullif("DateTimeOriginal", '    :  :     :  :  ') AS original FROM {{source}}))"""
 _TYPED_EXIF = _TYPED.format(source="exif")
 _ANGLE = """CASE WHEN visual AND NOT vendor AND "ImageHeight" < "ImageWidth" THEN
@@ -435,7 +439,7 @@ SELECT id, CASE WHEN visual THEN "ImageWidth" END AS width, CASE WHEN visual THE
     ),
 )
 def p22_visual_fields(spark, sf_dir):
-    record = views.clean_exif(spark, sf_dir).select("id", *metadata.record_columns())
+    record = _facts(spark, sf_dir).select("id", *metadata.record_columns())
     return record.select(
         "id", "width", "height",
         c("where").isNotNull().alias("has_where"), c("when").isNotNull().alias("has_when"),
@@ -444,17 +448,17 @@ def p22_visual_fields(spark, sf_dir):
 
 @query("p23_vendor_branch", with_views(f"SELECT id, vendor FROM {_TYPED_EXIF}", "exif"))
 def p23_vendor_branch(spark, sf_dir):
-    return views.exif(spark, sf_dir).select("id", metadata.is_vendor_video().alias("vendor"))
+    return _facts(spark, sf_dir).select("id", c("_vendor").alias("vendor"))
 
 
 @query("p24_orientation_angle", with_views(f"SELECT id, {_ANGLE} AS angle FROM {_TYPED_EXIF}", "exif"))
 def p24_orientation_angle(spark, sf_dir):
-    return views.exif(spark, sf_dir).select("id", metadata.angle().alias("angle"))
+    return _facts(spark, sf_dir).select("id", metadata.angle().alias("angle"))
 
 
 @query("p25_raw_flag", with_views(f'SELECT id, {_RAW} AS "rawImage" FROM {_TYPED_EXIF}', "exif"))
 def p25_raw_flag(spark, sf_dir):
-    return views.exif(spark, sf_dir).select("id", metadata.raw_image().alias("rawImage"))
+    return _facts(spark, sf_dir).select("id", metadata.raw_image().alias("rawImage"))
 
 
 _LOCATED = """visual AND "GPSLongitude" <> 0 AND "GPSLatitude" <> 0 AND (vendor OR "GPSDOP" IS DISTINCT FROM 0)"""
@@ -471,7 +475,7 @@ _GPS = f"""
 
 @query("p26_gps", with_views(f"SELECT id, {_GPS} FROM {_TYPED_EXIF}", "exif"))
 def p26_gps(spark, sf_dir):
-    return views.exif(spark, sf_dir).select("id", metadata.gps().alias("gps")).select("id", "gps.*")
+    return _facts(spark, sf_dir).select("id", metadata.gps().alias("gps")).select("id", "gps.*")
 
 
 _DATE = (
@@ -511,10 +515,11 @@ FROM (SELECT id, {_GPS_TIME} AS t FROM {_TYPED_EXIF})""",
     ),
 )
 def p27_gps_time(spark, sf_dir):
-    text = views.clean_exif(spark, sf_dir).select("id", metadata.gps_time_text().alias("t"))
-    return text.select(
-        "id", dates.parse_date(c("t")).alias("d"), dates.date_error(c("t")).alias("error")
-    ).select("id", "d.*", "error")
+    return (
+        _facts(spark, sf_dir)
+        .select("id", metadata.gps_time().alias("d"), metadata.gps_time_error().alias("error"))
+        .select("id", "d.*", "error")
+    )
 
 
 @query(
@@ -529,12 +534,11 @@ FROM (SELECT *, regexp_matches(t, '{_DATE}') AS ok FROM (SELECT id, {_DEVICE_TIM
     ),
 )
 def p28_device_time(spark, sf_dir):
-    tags = views.clean_exif(spark, sf_dir)
-    return tags.select(
-        "id",
-        metadata.device_time().alias("d"),
-        dates.date_error(metadata.device_time_text()).alias("error"),
-    ).select("id", "d.*", "error")
+    return (
+        _facts(spark, sf_dir)
+        .select("id", metadata.device_time().alias("d"), metadata.device_time_error().alias("error"))
+        .select("id", "d.*", "error")
+    )
 
 
 @query(
@@ -630,8 +634,7 @@ def _metadata(spark, sf_dir, checksums):
     "metadata_get",
     with_views(
         f"""
-SELECT path, size, sha1(content) AS sha1, md5(content) AS md5, "FileName" AS name, type, "MIMEType" AS mimetype,
-  {_FIRST.replace('''CASE WHEN "Make" <> '' THEN "Make" ELSE "DeviceManufacturer" END AS make''', "make")},
+SELECT path, size, sha1(content) AS sha1, md5(content) AS md5, "FileName" AS name, type, "MIMEType" AS mimetype, {_FIRST},
   "Duration" AS duration, {_SERIAL} AS serial, {_ANGLE} AS angle, {_RAW} AS "rawImage", {_GPS},
   {_date_columns("gps_time", "gps_")}, {_date_columns("device_time", "device_")},
   coalesce(CASE WHEN NOT ok AND fallback IS NULL THEN 'Neither tags nor MIME type could be read' END,

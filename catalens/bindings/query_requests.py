@@ -216,7 +216,7 @@ def a3_job_status(spark, sf_dir):
     "w1_admission",
     with_views(
         f"""
-SELECT filepath, request_id, job_class, position FROM (
+SELECT filepath, request_id, job_class, CAST(position AS INTEGER) AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY job_class ORDER BY arrival, request_id, filepath) AS position
   FROM jobs WHERE NOT running AND job_class IS NOT NULL) w
 WHERE position <= CASE job_class WHEN 'image' THEN {SLOTS['image']} ELSE {SLOTS['video']} END

@@ -18,8 +18,9 @@ HORIZON = "1 hour"
 
 
 def _stream(spark, sf_dir, name):
-    table = views.table(spark, sf_dir, name)
-    return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parquet")
+    """A table as a stream, be it one file or a folder: a pattern may stand for either."""
+    schema = views.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _keyed_stream(spark, sf_dir):
@@ -144,7 +145,7 @@ def t4_live_status(spark, sf_dir):
     "t5_metadata_stream",
     with_views(
         f"""
-SELECT id, "FileName" AS name, type, make, {_ANGLE} AS angle, {_date_columns("device_time", "device_")}
+SELECT id, "FileName" AS name, type, maker AS make, {_ANGLE} AS angle, {_date_columns("device_time", "device_")}
 FROM (SELECT *, {_DEVICE_TIME} AS device_time FROM {_TYPED_EXIF})""",
         "exif",
     ),

@@ -192,7 +192,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "faces": ([], """
   SELECT vec_id AS face_id, vec_id, CASE WHEN vec_id % 10 = 0 THEN vec_id
       ELSE 1000000 + vec_id // 5 END AS image_id,
-    CASE WHEN vec_id % 10 = 0 THEN 0 ELSE CAST(vec_id % 5 AS INTEGER) END AS face_no,
+    CAST(CASE WHEN vec_id % 10 = 0 THEN 0 WHEN vec_id // 5 % 2 = 0 THEN vec_id % 5 - 1 ELSE vec_id % 5 END AS INTEGER) AS face_no,
     1021 AS img_w, 769 AS img_h,
     vec_id * 29 % 500 AS top, vec_id * 17 % 700 + 30 + vec_id % 91 AS "right",
     vec_id * 29 % 500 + 30 + vec_id % 83 AS bottom, vec_id * 17 % 700 AS "left",

@@ -92,10 +92,14 @@ def _number(r: Column, missing: int, zero: int, value: Column) -> Column:
 
 
 def _date(n: Column) -> Column:
+    def two(c_: Column) -> Column:
+        return F.lpad(c_.cast("string"), 2, "0")
+
     zone = _pick(n % 4, ["", "Z", "+02:00", ".25-05:00"])
-    return F.format_string(
-        "%04d:%02d:%02d %02d:%02d:%02d%s",
-        2000 + n % 25, 1 + n % 12, 1 + n % 28, n % 24, n % 60, n % 59, zone,
+    colon = F.lit(":")
+    return F.concat(
+        (2000 + n % 25).cast("string"), colon, two(1 + n % 12), colon, two(1 + n % 28), F.lit(" "),
+        two(n % 24), colon, two(n % 60), colon, two(n % 59), zone,
     )
 
 
@@ -284,7 +288,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         n,
         F.when(alone, n).otherwise(1000000 + _div(n, 5)).alias("image_id"),
-        F.when(alone, F.lit(0)).otherwise(n % 5).cast("int").alias("face_no"),
+        F.when(alone, F.lit(0)).when(_div(n, 5) % 2 == 0, n % 5 - 1).otherwise(n % 5).cast("int").alias("face_no"),
         F.lit(1021).alias("img_w"),
         F.lit(769).alias("img_h"),
         top.cast("int").alias("top"),

@@ -17,14 +17,6 @@ NO_LANDMARK = "---"
 c = F.col
 
 
-def media_type() -> Column:
-    return mime.media_type(c("MIMEType"))
-
-
-def is_visual() -> Column:
-    return media_type().isin("image", "video")
-
-
 def model() -> Column:
     return js.or_text(c("Model"), c("DeviceModelName"))
 
@@ -53,9 +45,55 @@ def serial_number() -> Column:
     )
 
 
-def is_vendor_video() -> Column:
-    """Videos of one vendor carry their place and time in other tags."""
-    return F.coalesce(make() == "Apple", F.lit(False)) & (media_type() == "video")
+def _reliable_position() -> Column:
+    """A precision value of exactly 0 marks a stale position; none at all is fine."""
+    return ~c("GPSDOP").eqNullSafe(F.lit(0))
+
+
+def _gps_time_text() -> Column:
+    """Satellite time to use, as text."""
+    t = c("GPSDateTime")
+    usable = js.truthy_text(t) & (t != dates.ZERO_GPS_DATE) & _reliable_position()
+    return F.when(c("_visual") & ~c("_vendor") & usable, t)
+
+
+def _device_time_text() -> Column:
+    """Device time to use, as text: the first tag present in order of priority."""
+    def present(tag: str) -> Column:
+        return F.when(js.truthy_text(c(tag)), c(tag))
+
+    usual = F.coalesce(
+        present("DateTimeOriginal"), present("CreationDateValue"), present("CreateDate")
+    )
+    chosen = F.when(c("_vendor"), present("CreationDate")).otherwise(usual)
+    return F.when(c("_visual"), chosen)
+
+
+def with_facts(tags: DataFrame) -> DataFrame:
+    """Add what several columns of a record depend on, so that each is worked out once.
+
+    ``_type``, ``_visual`` (image or video), ``_vendor`` (videos of one vendor carry their
+    place and time in other tags), and text and date found for both times.
+    """
+    typed = tags.withColumn("_type", mime.media_type(c("MIMEType")))
+    return (
+        typed.withColumns(
+            {
+                "_visual": c("_type").isin("image", "video"),
+                "_vendor": F.coalesce(make() == "Apple", F.lit(False)) & (c("_type") == "video"),
+            }
+        )
+        .withColumns({"_gps_text": _gps_time_text(), "_device_text": _device_time_text()})
+        .withColumns(
+            {
+                "_gps_date": dates.find_date(c("_gps_text")),
+                "_device_date": dates.find_date(c("_device_text")),
+            }
+        )
+    )
+
+
+# The functions below need the columns of with_facts.
 
 
 def angle() -> Column:
@@ -64,25 +102,19 @@ def angle() -> Column:
     turned = F.coalesce(
         *[F.when(c("Orientation") == k, F.lit(v)) for k, v in ANGLE_BY_ORIENTATION.items()]
     )
-    return F.when(is_visual() & ~is_vendor_video() & lying, turned)
+    return F.when(c("_visual") & ~c("_vendor") & lying, turned)
 
 
 def raw_image() -> Column:
-    return F.when(media_type() == "image", mime.is_raw_image(c("MIMEType")))
-
-
-def _reliable_position() -> Column:
-    """A precision value of exactly 0 marks a stale position; none at all is fine."""
-    return ~c("GPSDOP").eqNullSafe(F.lit(0))
+    return F.when(c("_type") == "image", mime.is_raw_image(c("MIMEType")))
 
 
 def gps() -> Column:
     """Place struct; NULL without both coordinates, or if one of them is 0."""
     located = js.truthy_number(c("GPSLongitude")) & js.truthy_number(c("GPSLatitude"))
-    vendor = is_vendor_video()
 
     def named(tag: str) -> Column:
-        return F.when(~vendor, c(tag))
+        return F.when(~c("_vendor"), c(tag))
 
     landmark = F.when(c("Landmark") == NO_LANDMARK, F.lit("")).otherwise(c("Landmark"))
     place = F.struct(
@@ -92,63 +124,44 @@ def gps() -> Column:
         named("Country").alias("country"),
         named("State").alias("state"),
         named("City").alias("city"),
-        F.when(~vendor, landmark).alias("landmark"),
+        F.when(~c("_vendor"), landmark).alias("landmark"),
         named("GPSAreaInformation").alias("area"),
     )
-    return F.when(is_visual() & located & (vendor | _reliable_position()), place)
-
-
-def gps_time_text() -> Column:
-    """Satellite time to use, as text."""
-    t = c("GPSDateTime")
-    usable = js.truthy_text(t) & (t != dates.ZERO_GPS_DATE) & _reliable_position()
-    return F.when(is_visual() & ~is_vendor_video() & usable, t)
-
-
-def device_time_text() -> Column:
-    """Device time to use, as text: the first tag present in order of priority."""
-    def present(tag: str) -> Column:
-        return F.when(js.truthy_text(c(tag)), c(tag))
-
-    usual = F.coalesce(
-        present("DateTimeOriginal"), present("CreationDateValue"), present("CreateDate")
-    )
-    chosen = F.when(is_vendor_video(), present("CreationDate")).otherwise(usual)
-    return F.when(is_visual(), chosen)
+    return F.when(c("_visual") & located & (c("_vendor") | _reliable_position()), place)
 
 
 def device_time() -> Column:
-    parsed = dates.parse_date(device_time_text())
+    parsed = dates.split_date(c("_device_date"))
     fields = [parsed[p].alias(p) for p in [*dates.DATE_PARTS, "timezone"]]
     constants = [F.lit(v).alias(k) for k, v in DEVICE_CONSTANTS.items()]
-    return F.when(parsed.isNotNull(), F.struct(*fields, *constants))
+    return F.when(c("_device_date") != "", F.struct(*fields, *constants))
 
 
-def place() -> Column:
-    return F.when(is_visual(), F.struct(gps().alias("gps")))
+def gps_time() -> Column:
+    return dates.split_date(c("_gps_date"))
 
 
-def time() -> Column:
-    return F.when(
-        is_visual(),
-        F.struct(
-            dates.parse_date(gps_time_text()).alias("gps"),
-            device_time().alias("device"),
-        ),
-    )
+def gps_time_error() -> Column:
+    return dates.date_error(c("_gps_text"), c("_gps_date"))
+
+
+def device_time_error() -> Column:
+    return dates.date_error(c("_device_text"), c("_device_date"))
 
 
 def record_error() -> Column:
     """First thing that would make reading the record fail."""
-    return F.coalesce(dates.date_error(gps_time_text()), dates.date_error(device_time_text()))
+    return F.coalesce(gps_time_error(), device_time_error())
 
 
 def record_columns() -> list[Column]:
     """Columns of the record that come from tags (size and checksums come from the file)."""
-    visual = is_visual()
+    visual = c("_visual")
+    place = F.struct(gps().alias("gps"))
+    time = F.struct(gps_time().alias("gps"), device_time().alias("device"))
     return [
         c("FileName").alias("name"),
-        media_type().alias("type"),
+        c("_type").alias("type"),
         c("MIMEType").alias("mimetype"),
         F.struct(model().alias("model"), make().alias("make")).alias("deviceinfo"),
         F.struct(
@@ -166,8 +179,8 @@ def record_columns() -> list[Column]:
         F.when(visual, c("ImageHeight")).alias("height"),
         angle().alias("angle"),
         raw_image().alias("rawImage"),
-        place().alias("where"),
-        time().alias("when"),
+        F.when(visual, place).alias("where"),
+        F.when(visual, time).alias("when"),
     ]
 
 
@@ -208,6 +221,7 @@ def metadata(
     base = files.select("path", c("length").alias("size"), *sums)
     feed = mime_fallback.select("path", c("mimetype").alias("fallback_mimetype"))
     joined = with_fallback(base.join(exif, "path", "left").join(feed, "path", "left"))
+    joined = with_facts(joined)
 
     ok = F.coalesce(c("exif_ok"), F.lit(False))
     unreadable = F.when(

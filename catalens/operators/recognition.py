@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalens.functions import boxes, vectors
+from catalens.operators.cells import CellIndex, close_pairs, is_usable
 
 c = F.col
 
@@ -19,11 +20,12 @@ NO_PERSONS = "no_persons_found"
 
 # Faces per row of a face list.
 LIST_PART = 4096
-# Encodings of known people that serve as cell centres: a fixed number, so the array of
-# them stays under a megabyte however many people are known.
+# Most cells known people are divided into: the centres stay under a megabyte however many
+# people there are.
 CENTRES = 128
-# Slack on pruning bounds, far above rounding error and far below any distance.
-SLACK = 1e-6
+# Faces and people that meet in one group: some tens of megabytes each.
+FACES_PER_GROUP = 32768
+PEOPLE_PER_GROUP = 16384
 
 
 def with_records(detections: DataFrame, detector: str = "face_recognition") -> DataFrame:
@@ -104,96 +106,69 @@ def first_faces(faces: DataFrame, *columns: str) -> DataFrame:
 # --- matching ---------------------------------------------------------------------------
 
 
-def centres(known: DataFrame, count: int = CENTRES) -> DataFrame:
-    """One row, one array: up to ``count`` encodings of known people, picked by hash.
-
-    Which ones are picked affects the speed of a match, never its result.
-    """
-    picked = (
-        known.select("encoding")
-        .orderBy(F.xxhash64("encoding"), "encoding")
-        .limit(count)
-    )
-    return picked.agg(F.array_sort(F.collect_set("encoding")).alias("centres"))
-
-
-def _with_centre_distances(rows: DataFrame, centre_array: Column) -> DataFrame:
-    to_centres = F.transform(
-        centre_array,
-        lambda v, i: F.struct(vectors.distance(c("encoding"), v).alias("d"), i.alias("cell")),
-    )
-    return rows.withColumn("_to", to_centres)
-
-
 def face_matches(
     faces: DataFrame, known: DataFrame, tolerance: float = TOLERANCE, count: int = CENTRES
 ) -> DataFrame:
     """All pairs within the tolerance: ``face_id, image_id, name, distance``. Exact.
 
-    Known people are assigned to the cell of their nearest centre. By the triangle
-    inequality a face can only match in cells whose ball (radius: farthest member) comes
-    within the tolerance, and whose centre is at most twice the tolerance farther than its
-    nearest one; so faces visit those cells only, and the pair is an equality join on the
-    cell. Pairs whose distances to the centre differ by more than the tolerance are dropped
-    before their own distance is computed.
+    Known people belong to the cell of their nearest centre. By the triangle inequality a
+    face can only match in cells whose ball (radius: farthest member) comes within the
+    tolerance, and whose centre is at most twice the tolerance farther than its nearest one;
+    so a face visits those cells only.
 
-    No side is forced to be broadcast: the runtime does it if the people turn out small,
-    and shuffles by cell otherwise, splitting a cell that holds most faces or people.
-    """
-    centre_array = centres(known, count).scalar()
-    near = F.array_min(c("_to"))
+    Faces and people then meet in groups of one cell, one chunk of faces and one block of
+    people, each of bounded size by hash: a cell that holds a third of all faces is spread
+    over as many chunks as it needs. Copies of a person's encoding are counted beforehand, as
+    a hash would put them all into one block. A group is one matrix product, not a row per
+    pair.
 
-    people = (
-        _with_centre_distances(known.select("name", "encoding"), centre_array)
-        .select("name", "encoding", near.alias("_near"))
-        .select(
-            "name",
-            c("encoding").alias("known_encoding"),
-            c("_near.cell").alias("cell"),
-            c("_near.d").alias("known_d"),
-        )
+    Planning runs small jobs: two counts, and the centres and radii, at most ``count`` rows.
+    """
+    people = known.where(is_usable(c("encoding"))).groupBy("name", "encoding").agg(
+        F.count("*").alias("copies")
     )
-    # At most one entry per centre.
-    radii = (
-        people.groupBy("cell")
-        .agg(F.max("known_d").alias("radius"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii"))
-    ).scalar()
+    cells = CellIndex.of(people, count)
+    if cells is None:
+        return faces.select("face_id", "image_id").limit(0).selectExpr(
+            "face_id", "image_id", "cast(null as string) as name", "cast(null as double) as distance"
+        )
+    chunks = -(-faces.count() // FACES_PER_GROUP) or 1
+    blocks = -(-cells.people // PEOPLE_PER_GROUP)
 
-    def worth_visiting(x: Column) -> Column:
-        in_ball = x["d"] <= x["radius"] + tolerance + SLACK
-        near_enough = x["d"] <= x["nearest"] + 2 * tolerance + SLACK
-        return in_ball & near_enough
+    def spread(key: list[Column], parts: int) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
 
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    group = ["cell", "chunk", "block"]
+    fits = F.size("encoding") == cells.dimensions
     visits = (
-        _with_centre_distances(faces.select("face_id", "image_id", "encoding"), centre_array)
-        .withColumn("_nearest", near["d"])
-        .withColumn("_radii", radii)
-        .withColumn(
-            "_visit",
-            F.filter(
-                F.transform(
-                    "_to",
-                    lambda x: F.struct(
-                        x["cell"].alias("cell"),
-                        x["d"].alias("d"),
-                        F.try_element_at(c("_radii"), x["cell"]).alias("radius"),
-                        c("_nearest").alias("nearest"),
-                    ),
-                ),
-                worth_visiting,
-            ),
-        )
-        .select("face_id", "image_id", "encoding", F.explode("_visit").alias("v"))
-        .select("face_id", "image_id", "encoding", c("v.cell").alias("cell"), c("v.d").alias("d"))
-    )
-    possible = F.abs(c("d") - c("known_d")) <= tolerance + SLACK
-    return (
-        visits.join(people, "cell")
-        .where(possible)
-        .withColumn("distance", vectors.distance(c("encoding"), c("known_encoding")))
-        .where(c("distance") <= tolerance)
-        .select("face_id", "image_id", "name", "distance")
+        faces.where(fits)
+        .select("face_id", "image_id", "encoding", cells.visited(tolerance)(c("encoding")).alias("_v"))
+        # The outer form keeps the optimizer from computing the cells twice, to filter first.
+        .select("face_id", "image_id", "encoding", F.explode_outer("_v").alias("cell"))
+        .where("cell IS NOT NULL")
+        .withColumn("chunk", spread([c("face_id")], chunks))
+        .withColumn("block", every(blocks))
+    )
+    members = (
+        people.where(fits)
+        .select("name", "encoding", "copies", cells.nearest()(c("encoding"))["cell"].alias("cell"))
+        .withColumn("block", spread([c("name"), c("encoding")], blocks))
+        .withColumn("chunk", every(chunks))
+    )
+    id_type = faces.schema["face_id"].dataType.simpleString()
+    image_type = faces.schema["image_id"].dataType.simpleString()
+    schema = f"face_id {id_type}, image_id {image_type}, name string, copies bigint, distance double"
+    pairs = (
+        visits.groupBy(*group)
+        .cogroup(members.groupBy(*group))
+        .applyInArrow(lambda left, right: close_pairs(left, right, tolerance), schema)
+    )
+    # One row per copy, as each is a known encoding of its own.
+    return pairs.withColumn("_n", F.explode(F.sequence(F.lit(1), c("copies")))).select(
+        "face_id", "image_id", "name", "distance"
     )
 
 

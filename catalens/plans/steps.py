@@ -87,38 +87,21 @@ def threads() -> Column:
     return F.when(js.truthy_number(c("threads")), c("threads")).otherwise(1).cast("string")
 
 
-def _resize(source: Column, src_w: Column, src_h: Column, width: Column, height: Column) -> Column:
-    """The call every image ends with. ``src_w``/``src_h`` are the size before rotation."""
-    turned_w, turned_h = geometry.turned_size(c("angle"), src_w, src_h)
-    has_height = js.truthy_number(height)
-    resize = geometry.resize_spec(width, height, turned_w, turned_h)
-    crop = geometry.crop_spec(width, height)
-    return call(
-        "convert",
-        source,
-        *IMAGE_SETUP,
-        (js.truthy_number(c("angle")), ["-rotate", (-c("angle")).cast("string"), "+repage"]),
-        "-resize", resize,
-        (has_height, ["-gravity", "Center", "-crop", crop, "+repage"]),
-        *IMAGE_QUALITY,
-        (geometry.flips(c("mirror")), ["-flop", "+repage"]),
-        _file("image2image.jpg"),
-    )
+def _no_calls() -> Column:
+    return F.array().cast("array<struct<tool:string,args:array<string>>>")
+
+
+# Calls of each converter before the picture call (see _picture_call), if it has one.
 
 
-def image_to_image() -> Column:
+def _before_image() -> Column:
+    """A raw image is developed first."""
     name = keys.base_name(c("filename"))
-    stem = F.regexp_replace(name, r"(?<!^)\.[^.]*$", "")
-    is_raw = mime.is_raw_image(c("mimetype"))
-    developed = F.concat(c("work_dir"), F.lit("/"), stem, F.lit(".tiff"))
-    frame = F.when(c("mimetype") == "image/gif", _first_page(c("filename"))).otherwise(c("filename"))
-    source = F.when(is_raw, developed).otherwise(frame)
-    resize = _resize(source, c("src_w"), c("src_h"), c("width"), c("height"))
     develop = call("dcraw", *RAW_OPTIONS, F.concat(c("work_dir"), F.lit("/"), name))
-    return F.when(is_raw, F.array(develop, resize)).otherwise(F.array(resize))
+    return F.when(mime.is_raw_image(c("mimetype")), F.array(develop)).otherwise(_no_calls())
 
 
-def audio_to_audio() -> Column:
+def _audio() -> Column:
     return F.array(
         call(
             "ffmpeg",
@@ -132,34 +115,37 @@ def audio_to_audio() -> Column:
     )
 
 
-def audio_to_image() -> Column:
-    width, height = geometry.waveform_size(c("width"), c("height"))
-    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+def _before_waveform() -> Column:
+    size = F.concat(c("_want_w").cast("string"), F.lit("x"), c("_want_h").cast("string"))
     before, between, after = WAVEFORM.split("{size}")
     drawing = F.concat(F.lit(before), size, F.lit(between), size, F.lit(after))
-    picture = _file("video2image.png")
-    draw = call(
-        "ffmpeg", "-i", c("filename"), "-filter_complex", drawing, "-frames:v", "1", picture
+    return F.array(
+        call(
+            "ffmpeg",
+            "-i", c("filename"),
+            "-filter_complex", drawing,
+            "-frames:v", "1",
+            _file("video2image.png"),
+        )
     )
-    return F.array(draw, _resize(picture, width, height, width, height))
-
-
-def video_to_image() -> Column:
-    seek = js.truthy_number(c("timeindex"))
-    picture = _file("video2image.jpg")
-    grab = call(
-        "ffmpeg",
-        "-i", c("filename"),
-        (F.coalesce(c("deinterlace"), F.lit(False)), ["-filter:v", "yadif"]),
-        (seek, ["-ss", js.number_text(c("timeindex"))]),
-        "-vframes", "1",
-        "-qscale", "0",
-        picture,
+
+
+def _before_frame() -> Column:
+    return F.array(
+        call(
+            "ffmpeg",
+            "-i", c("filename"),
+            (F.coalesce(c("deinterlace"), F.lit(False)), ["-filter:v", "yadif"]),
+            (js.truthy_number(c("timeindex")), ["-ss", js.number_text(c("timeindex"))]),
+            "-vframes", "1",
+            "-qscale", "0",
+            _file("video2image.jpg"),
+        )
     )
-    return F.array(grab, _resize(picture, c("src_w"), c("src_h"), c("width"), c("height")))
 
 
-def video_to_video() -> Column:
+def _video() -> Column:
+    """Two passes that share all but their last arguments."""
     filters = geometry.video_filters(c("deinterlace"), c("width"), c("height"), c("angle"))
     passed = F.flatten(F.transform(filters, lambda f: F.array(F.lit("-vf"), f)))
     shared = F.concat(
@@ -169,50 +155,108 @@ def video_to_video() -> Column:
     )
     first = arguments("-an", "-pass", "1", "-f", "webm", _file("video2video_pass1.webm"))
     second = arguments(*AUDIO_CODEC, "-pass", "2", "-f", "webm", _file("video2video_pass2.webm"))
-    return F.array(
-        *[
-            F.struct(F.lit("ffmpeg").alias("tool"), F.concat(shared, last).alias("args"))
-            for last in (first, second)
-        ]
+    return F.transform(
+        F.array(first, second),
+        lambda last: F.struct(F.lit("ffmpeg").alias("tool"), F.concat(shared, last).alias("args")),
     )
 
 
-def _no_calls() -> Column:
-    return F.array().cast("array<struct<tool:string,args:array<string>>>")
-
-
-def document_to_document() -> Column:
+def _document() -> Column:
     """Nothing for a PDF, which is passed on as it is."""
     pdf = _file("document2document.pdf")
     convert = call("unoconv", "-f", "pdf", "-o", pdf, c("filename"))
     return F.when(mime.is_pdf(c("mimetype")), _no_calls()).otherwise(F.array(convert))
 
 
-def document_to_image() -> Column:
+def _before_page() -> Column:
+    """First page on a square sheet."""
     pdf = F.when(mime.is_pdf(c("mimetype")), c("filename")).otherwise(
         _file("document2document.pdf")
     )
     page, padded = _file("document2image1.jpg"), _file("document2image2.jpg")
-    unknown = F.lit(None).cast("int")
-    calls = F.array(
+    sheet = F.array(
         call("convert", _first_page(pdf), *PAGE_THUMBNAIL, *IMAGE_QUALITY, page),
         call("convert", page, *PAGE_PADDING, *IMAGE_QUALITY, padded),
-        _resize(padded, unknown, unknown, c("width"), c("height")),
     )
-    return F.concat(document_to_document(), calls)
+    return F.concat(_document(), sheet)
 
 
 CONVERTERS: dict[str, Callable[[], Column]] = {
-    "image2image": image_to_image,
-    "audio2audio": audio_to_audio,
-    "audio2image": audio_to_image,
-    "video2image": video_to_image,
-    "video2video": video_to_video,
-    "document2document": document_to_document,
-    "document2image": document_to_image,
+    "image2image": _before_image,
+    "audio2audio": _audio,
+    "audio2image": _before_waveform,
+    "video2image": _before_frame,
+    "video2video": _video,
+    "document2document": _document,
+    "document2image": _before_page,
+}
+# File that the calls before leave for the picture call.
+PICTURES = {
+    "audio2image": "video2image.png",
+    "video2image": "video2image.jpg",
+    "document2image": "document2image2.jpg",
 }
 
 
+def _image_input() -> Column:
+    """What an image rendition of an image starts from."""
+    stem = F.regexp_replace(keys.base_name(c("filename")), r"(?<!^)\.[^.]*$", "")
+    developed = F.concat(c("work_dir"), F.lit("/"), stem, F.lit(".tiff"))
+    return (
+        F.when(mime.is_raw_image(c("mimetype")), developed)
+        .when(c("mimetype") == "image/gif", _first_page(c("filename")))
+        .otherwise(c("filename"))
+    )
+
+
+def _with_picture(routed: DataFrame) -> DataFrame:
+    """Add what the picture call is built from: input, asked size, resize and crop.
+
+    A waveform is drawn in the size asked for, by default a certain one, and counts as
+    having it; the size of a page is not known to the resize.
+    """
+    wave = c("converter") == "audio2image"
+    page = c("converter") == "document2image"
+    wave_w, wave_h = geometry.waveform_size(c("width"), c("height"))
+    asked = routed.withColumns(
+        {
+            "_want_w": F.when(wave, wave_w).otherwise(c("width")),
+            "_want_h": F.when(wave, wave_h).otherwise(c("height")),
+        }
+    )
+    turned = geometry.turned_size(
+        c("angle"),
+        F.when(wave, c("_want_w")).when(~page, c("src_w")),
+        F.when(wave, c("_want_h")).when(~page, c("src_h")),
+    )
+    inputs = [F.when(c("converter") == k, _file(name)) for k, name in PICTURES.items()]
+    sized = asked.withColumns({"_turned_w": turned[0], "_turned_h": turned[1]})
+    return sized.withColumns(
+        {
+            "_input": F.coalesce(*inputs, _image_input()),
+            "_resize": geometry.resize_spec(
+                c("_want_w"), c("_want_h"), c("_turned_w"), c("_turned_h")
+            ),
+            "_crop": geometry.crop_spec(c("_want_w"), c("_want_h")),
+        }
+    )
+
+
+def _picture_call() -> Column:
+    """The call every rendition that is an image ends with."""
+    return call(
+        "convert",
+        c("_input"),
+        *IMAGE_SETUP,
+        (js.truthy_number(c("angle")), ["-rotate", (-c("angle")).cast("string"), "+repage"]),
+        "-resize", c("_resize"),
+        (c("_crop").isNotNull(), ["-gravity", "Center", "-crop", c("_crop"), "+repage"]),
+        *IMAGE_QUALITY,
+        (geometry.flips(c("mirror")), ["-flop", "+repage"]),
+        _file("image2image.jpg"),
+    )
+
+
 def with_work_dir(jobs: DataFrame, work_root: str, thread_count: int) -> DataFrame:
     """Add ``work_dir`` (one per rendition) and ``threads``."""
     return jobs.withColumns(
@@ -225,34 +269,34 @@ def with_work_dir(jobs: DataFrame, work_root: str, thread_count: int) -> DataFra
 
 def with_steps(routed: DataFrame, converters: list[str] | None = None) -> DataFrame:
     """Add ``steps``. Needs a routed job with ``work_dir`` and ``threads``."""
-    cases = [F.when(c("converter") == k, CONVERTERS[k]()) for k in converters or CONVERTERS]
-    return routed.withColumn("steps", numbered(F.coalesce(*cases)))
+    before = [F.when(c("converter") == k, CONVERTERS[k]()) for k in converters or CONVERTERS]
+    picture = F.when(c("converter").endswith("2image"), F.array(_picture_call()))
+    calls = F.concat(F.coalesce(*before), F.coalesce(picture, _no_calls()))
+    planned = _with_picture(routed).withColumn("steps", numbered(calls))
+    return planned.select(*routed.columns, "steps")
 
 
 def with_size(routed: DataFrame) -> DataFrame:
     """Add the predicted ``out_w``, ``out_h``; NULL where there is no picture."""
     kind = c("converter")
     page = F.lit(geometry.PAGE_SIDE)
-    wave_w, wave_h = geometry.waveform_size(c("width"), c("height"))
     asked, angle = (c("width"), c("height")), c("angle")
-    sizes = [
-        (
-            kind.isin("image2image", "video2image"),
-            geometry.image_size(*asked, angle, c("src_w"), c("src_h")),
-        ),
-        (kind == "document2image", geometry.image_size(*asked, angle, page, page)),
-        (kind == "audio2image", (wave_w, wave_h)),
-        (
-            kind == "video2video",
-            geometry.video_size(*asked, angle, c("src_w"), c("src_h")),
-        ),
+    # A page has the size of its sheet.
+    base = [
+        F.when(kind == "document2image", page).otherwise(side) for side in (c("src_w"), c("src_h"))
     ]
-    return routed.withColumns(
-        {
-            "out_w": F.coalesce(*[F.when(test, size[0]) for test, size in sizes]),
-            "out_h": F.coalesce(*[F.when(test, size[1]) for test, size in sizes]),
-        }
-    )
+    image = geometry.image_size(*asked, angle, *base)
+    wave = geometry.waveform_size(*asked)
+    video = geometry.video_size(*asked, angle, c("src_w"), c("src_h"))
+
+    def side(i: int) -> Column:
+        return (
+            F.when(kind == "audio2image", wave[i])
+            .when(kind == "video2video", video[i])
+            .when(kind.endswith("2image"), image[i])
+        )
+
+    return routed.withColumns({"out_w": side(0), "out_h": side(1)})
 
 
 def step_rows(planned: DataFrame) -> DataFrame:

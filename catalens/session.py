@@ -10,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A record has dozens of columns. Generated methods longer than this are never compiled to
+    # machine code by HotSpot; operators that would need one run as smaller pieces instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Stream state lives on disk and in the checkpoint, not on the executor heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -30,6 +30,6 @@ def stream_checksums(spark: SparkSession, root: str, files_per_batch: int = 1000
 
 def metadata_stream(tags: DataFrame, *keep: str) -> DataFrame:
     """Stream of tag rows -> stream of records."""
-    return tags.select(
+    return records.with_facts(tags).select(
         *keep, *records.record_columns(), records.record_error().alias("error")
     )
