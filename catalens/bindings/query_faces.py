@@ -8,7 +8,7 @@ from catalens.bindings import views
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import with_views
 from catalens.functions import boxes, vectors
-from catalens.operators import people_model, recognition
+from catalens.operators import people_model, recognition, uneven
 from catalens.sources import reports
 from catalens.sources.shared import shared_folder
 
@@ -40,7 +40,7 @@ FROM faces f JOIN (SELECT person, face_id, encoding FROM (SELECT *, row_number()
 def f1_distance(spark, sf_dir):
     """Distance of each face to the first one of the same person."""
     faces = views.faces(spark, sf_dir)
-    first = faces.groupBy("person").agg(
+    first = faces.groupBy("person", uneven.apart("person")).agg(
         F.min_by(
             F.struct(c("face_id").alias("first_id"), c("encoding").alias("first_encoding")), "face_id"
         ).alias("k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalens.functions import keys, mime
+from catalens.operators import uneven
 
 c = F.col
 
@@ -35,7 +36,7 @@ def valid(keyed: DataFrame) -> DataFrame:
 
 def stored_paths(cached: DataFrame) -> DataFrame:
     """Distinct paths: a manifest appended to twice must not double any answer."""
-    return cached.select("filepath").distinct()
+    return uneven.unique(cached, "filepath")
 
 
 def hit_or_miss(keyed: DataFrame, cached: DataFrame) -> DataFrame:
@@ -50,19 +51,27 @@ def hit_or_miss(keyed: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def hits(keyed: DataFrame, cached: DataFrame) -> DataFrame:
-    return valid(keyed).join(stored_paths(cached), "filepath", "left_semi")
+    return valid(keyed).join(cached.select("filepath"), "filepath", "left_semi")
 
 
 def misses(keyed: DataFrame, cached: DataFrame) -> DataFrame:
-    return valid(keyed).join(stored_paths(cached), "filepath", "left_anti")
+    return valid(keyed).join(cached.select("filepath"), "filepath", "left_anti")
 
 
 def missing_sources(missed: DataFrame, files: DataFrame) -> DataFrame:
     """Misses whose source file does not exist."""
-    sources = files.select(c("path").alias("filename")).distinct()
+    sources = files.select(c("path").alias("filename"))
     return missed.join(sources, "filename", "left_anti")
 
 
+def _spread_null(key: str) -> Column:
+    """Join key that gives rows without one a value of their own, which matches nothing.
+
+    An outer join would otherwise send all requests without a key to one task.
+    """
+    return F.coalesce(c(key), F.concat(F.lit("\x00"), c("request_id").cast("string")))
+
+
 def lookup(
     requests: DataFrame, cached: DataFrame, files: DataFrame, cache_path: str
 ) -> DataFrame:
@@ -74,9 +83,15 @@ def lookup(
     keyed = with_key(requests, cache_path).select(
         "request_id", "filename", "type", "filepath", "error"
     )
-    stored = stored_paths(cached).withColumn("hit", F.lit(True))
-    sources = files.select(c("path").alias("filename")).distinct().withColumn("found", F.lit(True))
-    joined = keyed.join(stored, "filepath", "left").join(sources, "filename", "left")
+    stored = stored_paths(cached).select(c("filepath").alias("_path"), F.lit(True).alias("hit"))
+    sources = uneven.unique(files.select(c("path").alias("_source")), "_source").withColumn(
+        "found", F.lit(True)
+    )
+    joined = (
+        keyed.withColumns({"_path": _spread_null("filepath"), "_source": _spread_null("filename")})
+        .join(stored, "_path", "left")
+        .join(sources, "_source", "left")
+    )
     status = (
         F.when(c("error").isNotNull(), "error")
         .when(c("hit"), "hit")
@@ -202,7 +217,8 @@ def versions(
 
 
 def _wanted(ids: DataFrame) -> DataFrame:
-    return ids.select(c("id").cast("string").alias("id")).distinct()
+    """Ids as text. Repeated ones do no harm, as they only enter semi and anti joins."""
+    return ids.select(c("id").cast("string").alias("id"))
 
 
 def remove(cached: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ def jobs_to_render(
     keyed = lookup.valid(lookup.with_key(requests, cache_path))
     sourced = routing.with_source(keyed, media)
     jobs = lookup.single_flight(sourced, "mimetype", "src_w", "src_h", "compression")
-    return jobs.join(lookup.stored_paths(cached), "filepath", "left_anti")
+    return jobs.join(cached.select("filepath"), "filepath", "left_anti")
 
 
 def plan(
