@@ -136,7 +136,7 @@ def _before_frame() -> Column:
             "ffmpeg",
             "-i", c("filename"),
             (F.coalesce(c("deinterlace"), F.lit(False)), ["-filter:v", "yadif"]),
-            (js.truthy_number(c("timeindex")), ["-ss", js.number_text(c("timeindex"))]),
+            (c("_seek").isNotNull(), ["-ss", c("_seek")]),
             "-vframes", "1",
             "-qscale", "0",
             _file("video2image.jpg"),
@@ -209,6 +209,13 @@ def _image_input() -> Column:
     )
 
 
+def _seek(timeindex: Column, is_text: bool) -> Column:
+    """Position in a video as text; NULL for its start. Clients send numbers or texts."""
+    if is_text:
+        return F.when(js.truthy_text(timeindex), timeindex)
+    return F.when(js.truthy_number(timeindex), js.number_text(timeindex))
+
+
 def _with_picture(routed: DataFrame) -> DataFrame:
     """Add what the picture call is built from: input, asked size, resize and crop.
 
@@ -222,6 +229,7 @@ def _with_picture(routed: DataFrame) -> DataFrame:
         {
             "_want_w": F.when(wave, wave_w).otherwise(c("width")),
             "_want_h": F.when(wave, wave_h).otherwise(c("height")),
+            "_seek": _seek(c("timeindex"), dict(routed.dtypes)["timeindex"] == "string"),
         }
     )
     turned = geometry.turned_size(

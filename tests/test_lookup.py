@@ -287,6 +287,13 @@ def test_plan_of_missing_renditions(spark):
     )
 
 
+def test_position_given_as_text(spark):
+    rows = table(spark, [request(1, filename="/in/v.avi")]).withColumn("timeindex", F.lit("00:00:05"))
+    sources = media(spark, ("/in/v.avi", "video/avi", 560, 320, None))
+    (row,) = render.plan(rows, stored(spark, "x"), sources, "/cache").collect()
+    assert row.steps[0].args[2:4] == ["-ss", "00:00:05"]
+
+
 def test_expressions_stay_in_the_jvm(spark):
     """No Python in the plans of requests."""
     sources = media(spark, ("/in/a.jpg", "image/jpeg", 350, 150, None))
