@@ -1 +1,27 @@
-"""Media catalogue and rendition planning as Spark DataFrame operations."""
+"""Media catalogue and rendition planning as Spark DataFrame operations.
+
+The names below are the operations a client calls; the modules hold their parts.
+"""
+
+from catalens.operators.lookup import admit, lookup, remove, single_flight, status, versions
+from catalens.operators.metadata import metadata
+from catalens.operators.people_model import predict_people, train_people
+from catalens.operators.recognition import face_boxes, recognize
+from catalens.plans.render import plan
+from catalens.session import build_session
+
+__all__ = [
+    "admit",
+    "build_session",
+    "face_boxes",
+    "lookup",
+    "metadata",
+    "plan",
+    "predict_people",
+    "recognize",
+    "remove",
+    "single_flight",
+    "status",
+    "train_people",
+    "versions",
+]

@@ -255,7 +255,7 @@ WHERE image_id >= 1000000 AND image_id NOT IN (SELECT image_id FROM faces)""",
     ),
 )
 def j9_no_persons(spark, sf_dir):
-    lines = recognition.recognise(
+    lines = recognition.recognize(
         views.unknown_images(spark, sf_dir),
         views.unknown(spark, sf_dir),
         views.known(spark, sf_dir),
@@ -289,7 +289,7 @@ WHERE image_id >= 1000000 AND image_id NOT IN (SELECT image_id FROM faces)""",
 def s10_recognition_csv(spark, sf_dir):
     """Recognition lines written as CSV and read back."""
     folder = shared_folder(spark, "recognition")
-    lines = recognition.recognise(
+    lines = recognition.recognize(
         views.unknown_images(spark, sf_dir),
         views.unknown(spark, sf_dir),
         views.known(spark, sf_dir),

@@ -104,6 +104,76 @@ class CellIndex:
         return visited_cells
 
 
+def projection_buckets(
+    dimensions: int, tables: int, bucket_length: float, seed: int
+) -> Callable[[Column], Column]:
+    """Column function: encoding -> bucket number in each of a few random projections.
+
+    Close encodings fall into the same bucket of at least one projection with high
+    probability, never with certainty.
+    """
+    directions = np.random.default_rng(seed).normal(size=(tables, dimensions))
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+
+    @F.arrow_udf("array<int>")
+    def buckets(encodings: pa.Array) -> pa.Array:
+        numbers = np.floor(matrix(encodings) @ directions.T / bucket_length)
+        known = np.nan_to_num(numbers).astype(np.int32)
+        offsets = np.arange(0, known.size + 1, tables, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(known.ravel()))
+
+    return buckets
+
+
+GROUP = ["cell", "chunk", "block"]
+
+
+def in_groups(
+    faces: DataFrame, people: DataFrame, chunks: int, blocks: int, tolerance: float
+) -> DataFrame:
+    """Close pairs of faces and people that share a ``cell`` (any type).
+
+    ``faces``: face_id, image_id, encoding, cell; ``people``: name, encoding, copies, cell,
+    each row in one group or several. A cell is cut into chunks of faces and blocks of
+    people by hash, so that no group grows with the data, however many rows a cell holds;
+    each chunk meets each block once. Both may have ``buckets`` and ``nth``: then a pair that
+    shares an earlier bucket as well is left to the group of that one.
+    """
+    def spread(key: list[str], parts: int) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = faces.withColumn("chunk", spread(["face_id"], chunks)).withColumn("block", every(blocks))
+    right = people.withColumn("block", spread(["name", "encoding"], blocks)).withColumn(
+        "chunk", every(chunks)
+    )
+    types = dict(faces.dtypes)
+    schema = (
+        f"face_id {types['face_id']}, image_id {types['image_id']}, name string, copies bigint, "
+        "distance double"
+    )
+    pairs = (
+        left.groupBy(*GROUP)
+        .cogroup(right.groupBy(*GROUP))
+        .applyInArrow(lambda a, b: close_pairs(a, b, tolerance), schema)
+    )
+    # One row per copy, as each is a known encoding of its own.
+    return pairs.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        "face_id", "image_id", "name", "distance"
+    )
+
+
+def _seen_before(faces: pa.Table, people: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether faces i and people j share a bucket before the one they are grouped by."""
+    if "buckets" not in faces.column_names:
+        return lambda i, j: np.zeros(len(i), dtype=bool)
+    nth = faces["nth"][0].as_py()
+    a, b = matrix(faces["buckets"])[:, :nth], matrix(people["buckets"])[:, :nth]
+    return lambda i, j: (a[i] == b[j]).any(axis=1)
+
+
 def close_pairs(faces: pa.Table, people: pa.Table, tolerance: float) -> pa.Table:
     """Pairs of a group of faces and a group of people within the tolerance.
 
@@ -114,13 +184,14 @@ def close_pairs(faces: pa.Table, people: pa.Table, tolerance: float) -> pa.Table
     if faces.num_rows and people.num_rows:
         a, b = matrix(faces["encoding"]), matrix(people["encoding"])
         squares = np.square(b).sum(axis=1)
+        seen_before = _seen_before(faces, people)
         for start in range(0, len(a), TILE):
             tile = a[start : start + TILE]
             own = np.square(tile).sum(axis=1)[:, None]
             product = own + squares - 2 * (tile @ b.T)
             i, j = np.nonzero(product <= tolerance**2 + SLACK * (1 + own + squares))
             d = np.sqrt(np.square(tile[i] - b[j]).sum(axis=1))
-            keep = d <= tolerance
+            keep = (d <= tolerance) & ~seen_before(start + i, j)
             found_faces.append(start + i[keep])
             found_people.append(j[keep])
             found_distances.append(d[keep])

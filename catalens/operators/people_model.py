@@ -1,13 +1,15 @@
-"""Approximate matching and a trained classifier, on Spark ML."""
+"""Approximate matching by random projections, and a classifier trained by Spark ML."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import BucketedRandomProjectionLSH, IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from catalens.operators import recognition
+from catalens.operators.cells import in_groups, projection_buckets
 from catalens.operators.recognition import TOLERANCE, single_face_images
 
 c = F.col
@@ -23,35 +25,26 @@ def face_matches_lsh(
 ) -> DataFrame:
     """Like ``recognition.face_matches`` but by random projections, which may miss pairs.
 
-    Copies of an encoding would all meet in the same bucket, so only distinct encodings are
-    compared; faces and people join back to their encoding afterwards.
+    Only faces and people in the same bucket of a projection are compared. They meet in the
+    same bounded groups as in the exact form, so a bucket that holds most encodings is cut
+    up, and only pairs within the tolerance ever become rows. A pair found in several
+    projections is kept in the first.
     """
-    key = F.sha2(c("encoding").cast("string"), 256)
-
-    def distinct(rows: DataFrame) -> DataFrame:
-        keyed = rows.select(key.alias("key"), "encoding")
-        one = keyed.groupBy("key").agg(F.any_value("encoding").alias("encoding"))
-        return one.select("key", array_to_vector("encoding").alias("vector"))
-
-    left, right = distinct(faces), distinct(known)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="vector",
-        outputCol="hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables,
-        seed=seed,
-    )
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, tolerance, "distance")
-    matched = pairs.select(
-        c("datasetA.key").alias("face_key"), c("datasetB.key").alias("known_key"), "distance"
-    )
-    by_face = faces.select("face_id", "image_id", key.alias("face_key"))
-    by_name = known.select("name", key.alias("known_key"))
-    return (
-        matched.join(by_name, "known_key")
-        .join(by_face, "face_key")
-        .select("face_id", "image_id", "name", "distance")
-    )
+    people = recognition.known_encodings(known)
+    one = people.select(F.size("encoding").alias("n")).first()
+    if one is None:
+        return recognition.no_matches(faces)
+    buckets = projection_buckets(one.n, tables, bucket_length, seed)
+
+    def in_buckets(rows: DataFrame) -> DataFrame:
+        usable = rows.where(F.size("encoding") == one.n)
+        numbered = usable.withColumn("buckets", buckets(c("encoding")))
+        each = numbered.select("*", F.posexplode_outer("buckets").alias("nth", "bucket"))
+        return each.withColumn("cell", F.struct("nth", "bucket")).drop("bucket")
+
+    chunks, blocks = recognition.group_counts(faces, people.count())
+    visits = in_buckets(faces.select("face_id", "image_id", "encoding"))
+    return in_groups(visits, in_buckets(people), chunks, blocks, tolerance)
 
 
 def train_people(faces: DataFrame, label: str = "person", iterations: int = 50) -> PipelineModel:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalens.functions import boxes, vectors
-from catalens.operators.cells import CellIndex, close_pairs, is_usable
+from catalens.operators.cells import CellIndex, in_groups, is_usable
 
 c = F.col
 
@@ -124,24 +124,10 @@ def face_matches(
 
     Planning runs small jobs: two counts, and the centres and radii, at most ``count`` rows.
     """
-    people = known.where(is_usable(c("encoding"))).groupBy("name", "encoding").agg(
-        F.count("*").alias("copies")
-    )
+    people = known_encodings(known)
     cells = CellIndex.of(people, count)
     if cells is None:
-        return faces.select("face_id", "image_id").limit(0).selectExpr(
-            "face_id", "image_id", "cast(null as string) as name", "cast(null as double) as distance"
-        )
-    chunks = -(-faces.count() // FACES_PER_GROUP) or 1
-    blocks = -(-cells.people // PEOPLE_PER_GROUP)
-
-    def spread(key: list[Column], parts: int) -> Column:
-        return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
-
-    def every(parts: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-
-    group = ["cell", "chunk", "block"]
+        return no_matches(faces)
     fits = F.size("encoding") == cells.dimensions
     visits = (
         faces.where(fits)
@@ -149,29 +135,32 @@ def face_matches(
         # The outer form keeps the optimizer from computing the cells twice, to filter first.
         .select("face_id", "image_id", "encoding", F.explode_outer("_v").alias("cell"))
         .where("cell IS NOT NULL")
-        .withColumn("chunk", spread([c("face_id")], chunks))
-        .withColumn("block", every(blocks))
-    )
-    members = (
-        people.where(fits)
-        .select("name", "encoding", "copies", cells.nearest()(c("encoding"))["cell"].alias("cell"))
-        .withColumn("block", spread([c("name"), c("encoding")], blocks))
-        .withColumn("chunk", every(chunks))
-    )
-    id_type = faces.schema["face_id"].dataType.simpleString()
-    image_type = faces.schema["image_id"].dataType.simpleString()
-    schema = f"face_id {id_type}, image_id {image_type}, name string, copies bigint, distance double"
-    pairs = (
-        visits.groupBy(*group)
-        .cogroup(members.groupBy(*group))
-        .applyInArrow(lambda left, right: close_pairs(left, right, tolerance), schema)
     )
-    # One row per copy, as each is a known encoding of its own.
-    return pairs.withColumn("_n", F.explode(F.sequence(F.lit(1), c("copies")))).select(
-        "face_id", "image_id", "name", "distance"
+    members = people.where(fits).withColumn("cell", cells.nearest()(c("encoding"))["cell"])
+    return in_groups(visits, members, *group_counts(faces, cells.people), tolerance)
+
+
+def known_encodings(known: DataFrame) -> DataFrame:
+    """Usable encodings of known people, equal ones of a name counted as ``copies``."""
+    return known.where(is_usable(c("encoding"))).groupBy("name", "encoding").agg(
+        F.count("*").alias("copies")
     )
 
 
+def no_matches(faces: DataFrame) -> DataFrame:
+    return faces.select(
+        "face_id",
+        "image_id",
+        F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("double").alias("distance"),
+    ).limit(0)
+
+
+def group_counts(faces: DataFrame, people: int) -> tuple[int, int]:
+    """Chunks and blocks that keep every group small even if all rows were in one cell."""
+    return max(1, -(-faces.count() // FACES_PER_GROUP)), max(1, -(-people // PEOPLE_PER_GROUP))
+
+
 def any_match(faces: DataFrame, matches: DataFrame) -> DataFrame:
     """``face_id, matched`` for every face."""
     found = matches.select("face_id").distinct().withColumn("matched", F.lit(True))
@@ -199,7 +188,7 @@ def images_without_faces(images: DataFrame, faces: DataFrame) -> DataFrame:
     )
 
 
-def recognise(
+def recognize(
     images: DataFrame, faces: DataFrame, known: DataFrame, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """``file, name, distance`` lines of all images, including those without a face."""

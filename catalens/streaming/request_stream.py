@@ -6,8 +6,9 @@ counts as being made: a stream needs such a bound, or its state would grow for e
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,14 +20,24 @@ c = F.col
 OUTCOME_COPIES = 8
 
 
+def _earliest_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        kept = table.group_by("filepath").aggregate([("ts", "min")])
+        renamed = kept.select(["filepath", "ts_min"]).rename_columns(["filepath", "ts"])
+        yield from renamed.to_batches()
+
+
 def admit_once(keyed: DataFrame, horizon: str = "1 hour") -> DataFrame:
     """First request of each path; repeats are dropped until the horizon has passed.
 
-    Emits at once. All requests of a path meet in one task of the micro-batch: where a path
-    may hold much of a stream use :func:`flight_windows`, which combines before the shuffle.
+    Emits at once. Repeats within a task's batch are dropped before the shuffle, so a path
+    that holds much of the stream does not fill one task; within a micro-batch they would
+    have been dropped after it all the same.
     """
     stream = lookup.valid(keyed).select("filepath", "ts")
-    return stream.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["filepath"])
+    first = stream.mapInArrow(_earliest_per_batch, "filepath string, ts timestamp")
+    return first.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["filepath"])
 
 
 def flight_windows(keyed: DataFrame, horizon: str = "1 hour") -> DataFrame:
