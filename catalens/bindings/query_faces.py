@@ -8,7 +8,8 @@ from catalens.bindings import views
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import with_views
 from catalens.functions import boxes, vectors
-from catalens.operators import people_model, recognition, uneven
+from catalens.operators import lookup, people_model, recognition, uneven
+from catalens.plans import routing
 from catalens.sources import reports
 from catalens.sources.shared import shared_folder
 
@@ -196,9 +197,6 @@ FROM (SELECT k.request_id, m.width AS src_w, m.height AS src_h, m.width / m.heig
     ),
 )
 def g18_downscale(spark, sf_dir):
-    from catalens.operators import lookup
-    from catalens.plans import routing
-
     keyed = lookup.valid(views.keyed(spark, sf_dir))
     sized = routing.with_source(keyed, views.media(spark, sf_dir)).where("src_w > 0 AND src_h > 0")
     images = sized.select("request_id", c("src_w").alias("img_w"), c("src_h").alias("img_h"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catalens.bindings import views
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import in_group, media_type, with_views
-from catalens.functions import dates, js, keys, mime
+from catalens.functions import dates, keys, mime
 from catalens.operators import metadata
-from catalens.sources import dumps, inventory, manifest, people
+from catalens.sources import dumps, inventory, manifest, people, requests
 from catalens.sources.shared import shared_folder
 
 c = F.col
@@ -33,20 +33,18 @@ def s1_file_sizes(spark, sf_dir):
     "s2_exif_dump",
     with_views(
         """
-SELECT path, exif_ok, CASE WHEN exif_ok THEN "FileName" END AS "FileName",
-  CASE WHEN exif_ok THEN nullif("Model", '') END AS "Model",
-  CASE WHEN exif_ok THEN "ImageWidth" END AS "ImageWidth",
-  CASE WHEN exif_ok THEN "FrameCount" END AS "FrameCount",
-  CASE WHEN exif_ok THEN "ExposureTime" END AS "ExposureTime",
-  CASE WHEN exif_ok THEN CAST("Orientation" AS DOUBLE) END AS "Orientation",
-  CASE WHEN exif_ok THEN nullif("DateTimeOriginal", '    :  :     :  :  ') END AS "DateTimeOriginal",
-  CASE WHEN exif_ok THEN replace("ImageSize", ' ', 'x') END AS "ImageSize"
-FROM dumped""",
+SELECT path, exif_ok, "FileName", nullif("Model", '') AS "Model", "ImageWidth", "FrameCount", "ExposureTime",
+  CAST("Orientation" AS DOUBLE) AS "Orientation",
+  nullif("DateTimeOriginal", '    :  :     :  :  ') AS "DateTimeOriginal", replace("ImageSize", ' ', 'x') AS "ImageSize"
+FROM dumped WHERE exif_ok""",
         "dumped",
     ),
 )
 def s2_exif_dump(spark, sf_dir):
-    table = dumps.exif_table(views.dumps(spark, sf_dir), "path")
+    """Dumps written one per line, read back and parsed. A dump that was cut off names no file."""
+    folder = shared_folder(spark, "dumps")
+    views.dumps(spark, sf_dir).select(c("dump").alias("value")).write.text(folder)
+    table = dumps.exif_table(dumps.read_dumps(spark, folder))
     return table.select(
         "path", "exif_ok", "FileName", F.nullif(c("Model"), F.lit("")).alias("Model"),
         "ImageWidth", "FrameCount", "ExposureTime", "Orientation", "DateTimeOriginal", "ImageSize",
@@ -76,8 +74,10 @@ def s3_narrow_size(spark, sf_dir):
 
 @query("s4_secondary_mime", with_views("SELECT path, mimetype FROM mime_feed", "mime_feed"))
 def s4_secondary_mime(spark, sf_dir):
-    feed = views.mime_feed(spark, sf_dir)
-    return feed.select("path", dumps.clean_mime(c("mimetype")).alias("mimetype"))
+    """The feed written as CSV, line breaks included, and read back."""
+    folder = shared_folder(spark, "mimes")
+    views.mime_feed(spark, sf_dir).write.option("quoteAll", True).csv(folder)
+    return dumps.read_mime_feed(spark, folder)
 
 
 _GROUP_ROWS = "\nUNION ALL ".join(
@@ -112,13 +112,16 @@ def s6_cache_listing(spark, sf_dir):
     "s7_request_source",
     with_views(
         """
-SELECT request_id, id, filename, type, width, height, angle_text AS angle, mirror, timeindex,
-  deinterlace FROM requests""",
+SELECT request_id, CAST(id AS VARCHAR) AS id, filename, type, width, height, angle_text AS angle,
+  mirror, CASE WHEN timeindex <> 0 THEN '12.5' END AS timeindex, deinterlace FROM requests""",
         "requests",
     ),
 )
 def s7_request_source(spark, sf_dir):
-    return views.requests(spark, sf_dir).drop("ts")
+    """Requests written as JSON lines and read back."""
+    folder = shared_folder(spark, "requests")
+    views.requests(spark, sf_dir).write.json(folder)
+    return requests.read_requests(spark, folder).drop("ts")
 
 
 @query(
@@ -338,8 +341,10 @@ _LIGHT = [
     "p16_light_tags",
     with_views(
         "SELECT path, CASE WHEN exif_ok THEN concat_ws(',', "
-        + ", ".join(f"CASE WHEN \"{t}\" IS NOT NULL THEN '{t}' END" for t in sorted(_LIGHT))
-        + ") END AS tags FROM dumped",
+        + ", ".join(
+            f"CASE WHEN \"{t}\" IS NOT NULL THEN '{t}' END" for t in sorted([*_LIGHT, "SourceFile"])
+        )
+        + ") END AS tags FROM (SELECT *, path AS \"SourceFile\" FROM dumped)",
         "dumped",
     ),
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalens.bindings import views
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import media_type, with_views
-from catalens.functions import geometry, keys
+from catalens.functions import geometry, mime
 from catalens.operators import lookup
 from catalens.plans import render, routing, steps
 
@@ -414,8 +414,6 @@ FROM {_SIZED} WHERE source_type IN ('image', 'video')""",
     ),
 )
 def g6_image_size(spark, sf_dir):
-    from catalens.functions import mime
-
     visual = _sized(spark, sf_dir).where(mime.media_type(c("mimetype")).isin("image", "video"))
     w, h = geometry.image_size(c("width"), c("height"), c("angle"), c("src_w"), c("src_h"))
     return visual.select("request_id", w.alias("out_w"), h.alias("out_h"))

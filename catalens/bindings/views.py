@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalens.functions import mime
+from catalens.functions import dates, mime
 from catalens.operators import lookup
+from catalens.sources.dumps import image_size_text
 
 c = F.col
 CACHE = "/cache"
@@ -170,13 +171,10 @@ def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags with blank dates removed and sizes normalised, as records are built from."""
-    from catalens.functions import dates
-    from catalens.sources import dumps
-
     return exif(spark, sf_dir).withColumns(
         {
             "DateTimeOriginal": dates.drop_blank(c("DateTimeOriginal")),
-            "ImageSize": dumps.image_size_text(c("ImageSize")),
+            "ImageSize": image_size_text(c("ImageSize")),
         }
     )
 
@@ -200,7 +198,8 @@ def dumps_of(rows: DataFrame, n: Column) -> DataFrame:
     """``path, dump``: tag dumps as JSON text. Every ninth is cut off, as a crash leaves it."""
     tags = {k: v.alias(k) for k, v in tag_values(c("n")).items()}
     heavy = [F.lit("AAAA").alias("ThumbnailImage"), F.lit("minor").alias("Warning")]
-    text = F.to_json(F.array(F.struct(*tags.values(), *heavy)))
+    source = c("path").alias("SourceFile")
+    text = F.to_json(F.array(F.struct(source, *tags.values(), *heavy)))
     cut = F.when(c("n") % 9 == 0, F.substring(text, 1, 40)).otherwise(text)
     return rows.withColumn("n", n).select("path", cut.alias("dump"))
 

@@ -14,15 +14,22 @@ ROTATIONS = [90, 180, 270]
 ANGLE_ERROR = "Valid angle values are: -270, -180, -90, 90, 180 and 270"
 
 
+def rotation(parsed: Column) -> Column:
+    """Parsed angle -> INT; NULL when absent, zero, not a number or not allowed."""
+    return F.when(F.abs(parsed).isin(ROTATIONS), parsed.cast("int"))
+
+
+def rotation_error(parsed: Column) -> Column:
+    return F.when(~F.abs(parsed).isin([0, *ROTATIONS]), F.lit(ANGLE_ERROR))
+
+
 def normalise_angle(angle: Column) -> Column:
     """Requested angle text -> INT; NULL when absent, zero, not a number or not allowed."""
-    parsed = js.parse_int(angle)
-    return F.when(F.abs(parsed).isin(ROTATIONS), parsed.cast("int"))
+    return rotation(js.parse_int(angle))
 
 
 def angle_error(angle: Column) -> Column:
-    parsed = js.parse_int(angle)
-    return F.when((parsed != 0) & ~F.abs(parsed).isin(ROTATIONS), F.lit(ANGLE_ERROR))
+    return rotation_error(js.parse_int(angle))
 
 
 def build_key(

@@ -12,6 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from catalens.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 # Relative slack on pruning bounds, far above rounding error.
 SLACK = 1e-9
 # Rows of a group compared at a time.

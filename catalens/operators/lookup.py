@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from catalens.functions import keys, mime
+from catalens.functions import js, keys, mime
 from catalens.operators import uneven
 
 c = F.col
@@ -22,12 +22,16 @@ JOB_CLASS_BY_TYPE = {
 
 def with_key(requests: DataFrame, cache_path: str) -> DataFrame:
     """Add ``name``, ``filepath`` and ``error``; ``angle`` becomes the normalised one."""
-    angle = keys.normalise_angle(c("angle"))
-    error = F.coalesce(keys.angle_error(c("angle")), mime.type_error(c("type")))
-    name = keys.build_key(c("id"), c("type"), c("width"), c("height"), angle, c("mirror"))
-    return requests.withColumns(
-        {"error": error, "name": F.when(error.isNull(), name), "angle": angle}
-    ).withColumn("filepath", keys.path_in(cache_path, c("name")))
+    parsed = requests.withColumn("_angle", js.parse_int(c("angle")))
+    checked = parsed.withColumns(
+        {
+            "angle": keys.rotation(c("_angle")),
+            "error": F.coalesce(keys.rotation_error(c("_angle")), mime.type_error(c("type"))),
+        }
+    ).drop("_angle")
+    parts = [c(p) for p in ("id", "type", "width", "height", "angle", "mirror")]
+    named = checked.withColumn("name", F.when(c("error").isNull(), keys.build_key(*parts)))
+    return named.withColumn("filepath", keys.path_in(cache_path, c("name")))
 
 
 def valid(keyed: DataFrame) -> DataFrame:

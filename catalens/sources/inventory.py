@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalens.functions import keys
+from catalens.shipping import ship_by_value
+
+ship_by_value(__name__)
 
 # Bytes read at a time by :func:`checksum_stream`.
 CHUNK_BYTES = 8 * 1024 * 1024

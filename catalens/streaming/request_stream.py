@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalens.operators import lookup
+from catalens.shipping import ship_by_value
 
+ship_by_value(__name__)
 c = F.col
 
 # Copies of each outcome in the pairing join.
