@@ -349,7 +349,7 @@ _LIGHT = [
     ),
 )
 def p16_light_tags(spark, sf_dir):
-    kept = F.map_keys(dumps.light_tags(c("dump")))
+    kept = F.map_keys(dumps.light_tags(dumps.parse_dump(c("dump"))))
     return views.dumps(spark, sf_dir).select(
         "path", F.array_join(F.array_sort(kept), ",").alias("tags")
     )

@@ -124,7 +124,7 @@ def t3_pair_outcomes(spark, sf_dir):
     "t4_live_status",
     with_views(
         """
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
   CASE WHEN type IN ('image', 'document') THEN 'image' WHEN type IN ('video', 'audio') THEN 'video' END AS job_class,
   count(*) AS requests FROM keyed WHERE error IS NULL GROUP BY ALL""",
         "keyed",
@@ -132,12 +132,12 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
 )
 def t4_live_status(spark, sf_dir):
     folder = shared_folder(spark, "t4")
-    counts = request_stream.class_counts(_keyed_stream(spark, sf_dir))
+    counts = request_stream.class_counts(_keyed_stream(spark, sf_dir), "1 hour")
     request_stream.run_batches(counts, folder, mode="update").awaitTermination()
     schema = "window_start timestamp, job_class string, requests bigint, batch bigint"
     changes = request_stream.read_rows(spark, folder, schema)
     return request_stream.latest(changes, "window_start", "job_class").select(
-        _clock("window_start", "yyyy-MM-dd"), "job_class", "requests"
+        _clock("window_start", "yyyy-MM-dd HH:mm:ss"), "job_class", "requests"
     )
 
 

@@ -103,10 +103,28 @@ def image_size_text(c: Column) -> Column:
     return F.regexp_replace(c, " ", "x")
 
 
-def light_tags(dump: Column) -> Column:
-    """All tags of the first object but the bulky ones, as MAP<STRING, VARIANT>."""
-    element = F.try_variant_get(F.try_parse_json(dump), "$[0]", "map<string,variant>")
-    return F.map_filter(element, lambda k, _: ~k.isin(HEAVY_TAGS))
+def light_tags(raw: Column) -> Column:
+    """All tags but the bulky ones, as MAP<STRING, VARIANT>."""
+    tags = F.try_variant_get(raw, "$", "map<string,variant>")
+    return F.map_filter(tags, lambda k, _: ~k.isin(HEAVY_TAGS))
+
+
+def clean_tags(tags: Column) -> Column:
+    """The same oddities removed as in the typed columns: blank dates, spaces in sizes."""
+    def text(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "string")
+
+    dated = F.map_filter(
+        tags,
+        lambda k, v: ~((k == "DateTimeOriginal") & text(v).eqNullSafe(F.lit(dates.BLANK_DATE))),
+    )
+    return F.transform_values(
+        dated,
+        lambda k, v: F.when(
+            (k == "ImageSize") & F.contains(text(v), F.lit(" ")),
+            image_size_text(text(v)).cast("variant"),
+        ).otherwise(v),
+    )
 
 
 def exif_table(dumps: DataFrame, path: str = "SourceFile") -> DataFrame:
@@ -117,10 +135,10 @@ def exif_table(dumps: DataFrame, path: str = "SourceFile") -> DataFrame:
     """
     raw = parse_dump(F.col("dump"))
     where = F.col(path) if path in dumps.columns else F.try_variant_get(raw, f"$.{path}", "string")
-    parsed = dumps.select(where.alias("path"), raw.alias("_all"), "dump")
+    parsed = dumps.select(where.alias("path"), raw.alias("_all"))
     return parsed.where("path IS NOT NULL").select(
         "path",
-        F.to_variant_object(light_tags(F.col("dump"))).alias("raw"),
+        F.to_variant_object(clean_tags(light_tags(F.col("_all")))).alias("raw"),
         F.col("_all").isNotNull().alias("exif_ok"),
         *tag_columns(F.col("_all")),
     )

@@ -73,6 +73,12 @@ def test_heavy_tags_go(spark):
     assert set(json.loads(r.raw.toJson())) == {"MIMEType", "FileName", "ImageWidth", "ImageHeight", "Odd"}
 
 
+def test_raw_tags_are_cleaned_like_the_typed_ones(spark):
+    (r,) = records(spark, image(ImageSize="350 150", DateTimeOriginal="    :  :     :  :  ", ISO=100))
+    raw = json.loads(r.raw.toJson())
+    assert raw["ImageSize"] == "350x150" and "DateTimeOriginal" not in raw and raw["ISO"] == 100
+
+
 def test_first_truthy(spark):
     rows = records(
         spark,
