@@ -64,32 +64,49 @@ def read_dumps(spark: SparkSession, root: str, whole_files: bool = False) -> Dat
     return spark.read.text(root, wholetext=whole_files).select(F.col("value").alias("dump"))
 
 
-def parse_dump(dump: Column) -> Column:
-    """First object of a dump as VARIANT; NULL if the text is malformed or has none."""
-    return F.try_variant_get(F.try_parse_json(dump), "$[0]", "variant")
+# A dump is JSON in the strict sense, or it is malformed.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# Kinds that depend on how a value was written; all others are read as text and cast.
+_WRITTEN = ("id", "exact")
 
 
-def _tag(raw: Column, tag: str, kind: str) -> Column:
-    path = f"$.{tag}"
+def parse_dump(dump: Column, tags: list[str] | None = None) -> Column:
+    """First object of a dump as a struct of the tags asked for, nothing else being parsed.
 
-    def as_type(t: str) -> Column:
-        return F.try_variant_get(raw, path, t)
+    NULL if the text is malformed or holds no object. Values are text, or VARIANT where it
+    matters how they were written; see :func:`tag_columns`.
+    """
+    fields = {t: "variant" if TAGS.get(t) in _WRITTEN else "string" for t in tags or TAGS}
+    schema = ", ".join(f"`{t}`: {kind}" for t, kind in fields.items())
+    return _first(dump, f"struct<{schema}>")
 
-    if kind == "text":
-        return as_type("string")
-    is_text = F.schema_of_variant(as_type("variant")) == "STRING"
-    if kind == "id":
-        return F.when(~is_text & (as_type("double") == 0), F.lit("")).otherwise(as_type("string"))
-    if kind == "exact":
-        return F.when(~is_text, as_type("double"))
-    return as_type(kind)
+
+def _first(dump: Column, schema: str) -> Column:
+    """First element of a list. The parser would pass over what follows its end."""
+    ends_as_list = F.rtrim(dump, F.lit(" \t\r\n")).endswith("]")
+    whole = F.when(ends_as_list, dump)
+    return F.get(F.from_json(whole, f"array<{schema}>", _STRICT), F.lit(0))
 
 
-def tag_columns(raw: Column, tags: list[str] | None = None) -> list[Column]:
-    """Typed columns of the tags that are read, cleaned of their known oddities."""
+def _tag(value: Column, kind: str) -> Column:
+    if kind == "text":
+        return value
+    if kind in _WRITTEN:
+        is_text = F.schema_of_variant(value) == "STRING"
+        number = F.try_variant_get(value, "$", "double")
+        if kind == "exact":
+            return F.when(~is_text, number)
+        return F.when(~is_text & (number == 0), F.lit("")).otherwise(
+            F.try_variant_get(value, "$", "string")
+        )
+    return value.try_cast("double").try_cast(kind)
+
+
+def tag_columns(parsed: str, tags: list[str] | None = None) -> list[Column]:
+    """Typed columns of a parsed dump (a column name), cleaned of known oddities."""
     columns = []
     for tag in tags or TAGS:
-        value = _tag(raw, tag, TAGS[tag])
+        value = _tag(F.col(f"{parsed}.{tag}"), TAGS[tag])
         if tag == "DateTimeOriginal":
             value = dates.drop_blank(value)
         elif tag == "ImageSize":
@@ -103,9 +120,9 @@ def image_size_text(c: Column) -> Column:
     return F.regexp_replace(c, " ", "x")
 
 
-def light_tags(raw: Column) -> Column:
-    """All tags but the bulky ones, as MAP<STRING, VARIANT>."""
-    tags = F.try_variant_get(raw, "$", "map<string,variant>")
+def light_tags(dump: Column) -> Column:
+    """All tags of the first object but the bulky ones, as MAP<STRING, VARIANT>."""
+    tags = _first(dump, "map<string, variant>")
     return F.map_filter(tags, lambda k, _: ~k.isin(HEAVY_TAGS))
 
 
@@ -131,29 +148,33 @@ def exif_table(dumps: DataFrame, path: str = "SourceFile") -> DataFrame:
     """Dump texts -> ``path``, ``raw`` (VARIANT without bulky tags) and the typed tags.
 
     The media path is the dump's own ``SourceFile`` tag unless the table has a column of the
-    name given. A malformed dump keeps its row with ``raw`` NULL if its path is known.
+    name given. A malformed dump keeps its row, with ``exif_ok`` false, if its path is known.
     """
-    raw = parse_dump(F.col("dump"))
-    where = F.col(path) if path in dumps.columns else F.try_variant_get(raw, f"$.{path}", "string")
-    parsed = dumps.select(where.alias("path"), raw.alias("_all"))
-    return parsed.where("path IS NOT NULL").select(
+    own = path not in dumps.columns
+    tags = [*([path] if own else []), *TAGS]
+    parsed = dumps.withColumn("_tags", parse_dump(F.col("dump"), tags))
+    named = parsed.withColumn("path", F.col(f"_tags.{path}") if own else F.col(path))
+    return named.where("path IS NOT NULL").select(
         "path",
-        F.to_variant_object(clean_tags(light_tags(F.col("_all")))).alias("raw"),
-        F.col("_all").isNotNull().alias("exif_ok"),
-        *tag_columns(F.col("_all")),
+        F.to_variant_object(clean_tags(light_tags(F.col("dump")))).alias("raw"),
+        F.col("_tags").isNotNull().alias("exif_ok"),
+        *tag_columns("_tags"),
     )
 
 
+def _narrow(dumps: DataFrame, tags: list[str]) -> DataFrame:
+    parsed = dumps.withColumn("_tags", parse_dump(F.col("dump"), tags))
+    return parsed.select("path", *tag_columns("_tags", tags))
+
+
 def mime_of_dump(dumps: DataFrame) -> DataFrame:
     """Only the MIME type of each dump."""
-    raw = parse_dump(F.col("dump"))
-    return dumps.select("path", *tag_columns(raw, ["MIMEType"]))
+    return _narrow(dumps, ["MIMEType"])
 
 
 def size_of_dump(dumps: DataFrame) -> DataFrame:
     """Only the picture size of each dump."""
-    raw = parse_dump(F.col("dump"))
-    return dumps.select("path", *tag_columns(raw, ["ImageWidth", "ImageHeight"]))
+    return _narrow(dumps, ["ImageWidth", "ImageHeight"])
 
 
 def read_mime_feed(spark: SparkSession, root: str) -> DataFrame:

@@ -62,6 +62,30 @@ def test_unreadable_dumps(spark):
         assert r.type == "other" and r.error == "Neither tags nor MIME type could be read"
 
 
+@pytest.mark.parametrize(
+    "text,ok",
+    [
+        ('[{"FileName": "a"}]', True), ("[{}]", True), ('[{"FileName": "a"', False), ("[]", False),
+        ("", False), ("[{'FileName': 'a'}]", False), ('[{"ISO": NaN}]', False), ('[{"FileName": "a"}] x', False),
+        ('[{"Odd": {"deep": [1, "x"]}, "FileName": "a"}, {"FileName": "b"}]', True), ("nonsense", False),
+        ('{"FileName": "a"}', False), ('[{"FileName": "a"}]\n', True),
+    ],
+)
+def test_only_strict_dumps_are_readable(spark, text, ok):
+    df = spark.createDataFrame([("/f", text)], "path string, dump string")
+    (row,) = dumps.exif_table(df, "path").collect()
+    assert row.exif_ok == ok and row.FileName in ("a" if ok else None, None)
+    (narrow,) = dumps.mime_of_dump(df).collect()
+    assert narrow.MIMEType is None
+
+
+def test_odd_values_cost_no_other_tag(spark):
+    (r,) = records(
+        spark, image(ImageWidth="350", ImageHeight=150.0, ISO="auto", Duration={"a": 1}, FrameCount="12")
+    )
+    assert (r.width, r.height, r.fileinfo.iso, r.fileinfo.frames, r.name) == (350, 150, None, 12, "a.jpg")
+
+
 def test_missing_mime_is_no_failure(spark):
     """The secondary MIME type is for unreadable tags, not for a missing one."""
     (r,) = records(spark, {"FileName": "a"}, feed=["text/plain"])
