@@ -7,6 +7,7 @@ Everything is a column expression over a routed job. A plan is
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,26 +42,28 @@ PAGE_PADDING = ["-gravity", "center", "-background", "#EFEFEF", "-extent", "600x
 Arg = str | Column | tuple[Column, list["str | Column"]]
 
 
-def _column(value: str | Column) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
+def _texts(values: list[str]) -> Column:
+    """Constant list, as one expression: plans hold hundreds of constant arguments."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})")
+
+
+def _pieces(parts: list[str | Column]) -> list[Column]:
+    """Argument lists of the parts, runs of constants taken together."""
+    runs = groupby(parts, key=lambda p: isinstance(p, str))
+    return [_texts(list(run)) if constant else F.array(*run) for constant, run in runs]
 
 
 def arguments(*parts: Arg) -> Column:
     """Argument list; a ``(condition, values)`` part is left out unless the condition holds."""
-    none = F.array().cast("array<string>")
     pieces: list[Column] = []
-    plain: list[Column] = []
-    for part in parts:
-        if not isinstance(part, tuple):
-            plain.append(_column(part))
+    for optional, run in groupby(parts, key=lambda p: isinstance(p, tuple)):
+        if not optional:
+            pieces += _pieces(list(run))
             continue
-        if plain:
-            pieces.append(F.array(*plain))
-            plain = []
-        condition, values = part
-        pieces.append(F.when(condition, F.array(*map(_column, values))).otherwise(none))
-    if plain:
-        pieces.append(F.array(*plain))
+        for condition, values in run:
+            given = F.concat(*_pieces(values))
+            pieces.append(F.when(condition, given).otherwise(F.expr("cast(array() as array<string>)")))
     return F.concat(*pieces)
 
 

@@ -1,5 +1,8 @@
 """Face lists, exact and approximate matching, and the classifier."""
 
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -179,3 +182,19 @@ def test_classifier_learns_people(spark):
     right = predicted.where("image_id < 1000 AND predicted = person").count()
     assert right == 80 and predicted.where("predicted = 'liar'").count() == 0
     assert people_model.faces_per_image(faces).where("faces = 2").count() == 1
+
+
+def test_task_code_needs_no_package_on_executors(tmp_path):
+    """Functions are sent as code: a Python without this package on its path can load them."""
+    from pyspark import cloudpickle
+
+    from catalens.operators import cells
+    from catalens.streaming import request_stream
+
+    for function in (cells.close_pairs, request_stream._earliest_per_batch):
+        file = tmp_path / "function.pickle"
+        file.write_bytes(cloudpickle.dumps(lambda *a, f=function: f(*a)))
+        load = f"import pickle; pickle.load(open({str(file)!r}, 'rb'))"
+        environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=environment, timeout=60)
+        assert done.returncode == 0
