@@ -94,7 +94,7 @@ def f3_face_record(spark, sf_dir):
     with_views(
         f"""
 SELECT image_id, 0 AS part, count(*) AS faces, string_agg(id, ',' ORDER BY face_no) AS ids,
-  round(sum(x), 4) AS sum_x FROM (SELECT image_id, face_no, {_FACE_ID} AS id, {_sql_box()} FROM faces)
+  round(sum(x), 5) AS sum_x FROM (SELECT image_id, face_no, {_FACE_ID} AS id, {_sql_box()} FROM faces)
 GROUP BY image_id""",
         "faces",
     ),
@@ -107,7 +107,7 @@ def a9_face_lists(spark, sf_dir):
         "part",
         F.size("faces").cast("bigint").alias("faces"),
         F.array_join(F.transform("faces", lambda f: f["id"]), ",").alias("ids"),
-        F.round(total, 4).alias("sum_x"),
+        F.round(total, 5).alias("sum_x"),
     )
 
 
