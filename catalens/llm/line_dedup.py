@@ -24,18 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.llm.columns import fresh, let, split_words
+from catalens.llm.components import written
 from catalens.sources.shared import shared_folder
 
 _DOC = ("id", "twin")
 _NULL_ID = -(1 << 63)
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    """The table, written once, so that what follows does not depend on how it came about."""
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def _named(places: DataFrame, *by: str) -> DataFrame:
     """Places that share ``by`` with another one, and their rank: the first such place.
 
@@ -125,14 +120,14 @@ def repeated_runs(docs: DataFrame, *, min_words: int, doc_id: str, text: str) ->
     folder = shared_folder(spark, "line-dedup")
     repeated = _named(line_places(docs, doc_id, text), "content")
     # Lines that only an equal row repeats stay here; they have no earlier place and never go.
-    level = _written(repeated.dropDuplicates([*_DOC, "line"]), f"{folder}/level-0")
-    windows = _written(run_windows(level.select(*_DOC, "line", "words"), min_words), f"{folder}/windows")
+    level = written(repeated.dropDuplicates([*_DOC, "line"]), f"{folder}/level-0")
+    windows = written(run_windows(level.select(*_DOC, "line", "words"), min_words), f"{folder}/windows")
     top = windows.agg(F.max("level")).first()[0]
     if top is None:
         return windows.select(*_DOC, "kind", "line", "size")
     levels = [level.select(*_DOC, "line", "rank")]
     for k in range(top):
-        level = _written(_named(_doubled(levels[-1], 1 << k), "a", "b"), f"{folder}/level-{k + 1}")
+        level = written(_named(_doubled(levels[-1], 1 << k), "a", "b"), f"{folder}/level-{k + 1}")
         levels.append(level)
     # A window of one line is its line; a longer one is two overlapping ranks of its level.
     single = windows.filter("size = 1").join(levels[0], [*_DOC, "line"]).withColumn("other", F.col("rank"))

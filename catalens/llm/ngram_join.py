@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalens.llm.columns import NOT_SPACE, fresh
 from catalens.llm.components import connected, written
 from catalens.shipping import ship_by_value
 from catalens.sources.shared import shared_folder
@@ -347,3 +348,40 @@ def ngram_groups(
         F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"),
     )
+
+
+def one_per_group(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id (null last).
+
+    Options are those of :func:`ngram_groups`. Documents without words all stay. Of rows that are equal
+    in id and text one stays.
+    """
+    groups = written(
+        ngram_groups(docs, doc_id=doc_id, text=text, **options)
+        .filter("group IS NOT NULL")
+        .select("group", "doc_id", "text_key"),
+        shared_folder(docs.sparkSession, "ngram-groups"),
+    )
+    key, twin, id_, text_key = fresh(docs, "key", "twin", "kept_id", "kept_text")
+    first = groups.groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("f")
+    )
+    chosen = first.select(
+        F.coalesce("f.doc_id", F.lit(0)).alias(id_), "f.null", F.col("f.text_key").alias(text_key)
+    ).select(id_, F.xxhash64("null", text_key).alias(text_key))
+    worded = F.coalesce(F.col(text).rlike(NOT_SPACE), F.lit(False))
+    number = F.col(doc_id).cast("long")
+    rows = docs.filter(worded).withColumns(
+        {
+            key: F.coalesce(number, F.lit(0)),
+            twin: F.xxhash64(number.isNull(), F.xxhash64(text)),
+        }
+    )
+    kept = rows.join(
+        chosen, (rows[key] == chosen[id_]) & (rows[twin] == chosen[text_key])
+    ).drop(id_, text_key)
+    if not groups.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, twin])
+    return kept.drop(key, twin).unionByName(docs.filter(~worded))
