@@ -43,9 +43,9 @@ _SEAM = re.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \n]")
 class Chunking:
     """Chunks end where the hash of the last ``window`` characters has ``bits`` zero bits."""
 
-    bits: int = 9
+    bits: int = 10
     window: int = 16
-    least: int = 128
+    least: int = 256
     most: int = 8192
 
 
@@ -103,16 +103,16 @@ def seams(text: str) -> tuple[int, int]:
 _PART = pa.struct([("head", pa.string()), ("ids", pa.binary()), ("tail", pa.string())])
 
 
-def encode_part(text: str, encode) -> dict:
+def encode_part(text: str, encode, width: str) -> dict:
     """Ids between the first and last seam, and the text on either side; without seam, all is head."""
     first, last = seams(text)
     if first < 0:
         return {"head": text, "ids": None, "tail": ""}
-    ids = encode(text[first:last]).astype("<u4").tobytes()
+    ids = encode(text[first:last]).astype(width).tobytes()
     return {"head": text[:first], "ids": ids, "tail": text[last:]}
 
 
-def join_parts(parts: list[dict], encode) -> np.ndarray:
+def join_parts(parts: list[dict], encode, width: str) -> np.ndarray:
     """Ids of the whole text: each join is encoded anew from seam to seam."""
     out, open_text = [], ""
     for part in parts:
@@ -120,7 +120,7 @@ def join_parts(parts: list[dict], encode) -> np.ndarray:
         if part["ids"] is not None:
             if open_text:
                 out.append(encode(open_text))
-            out.append(np.frombuffer(part["ids"], "<u4"))
+            out.append(np.frombuffer(part["ids"], width).astype(np.uint32))
             open_text = part["tail"]
     if open_text:
         out.append(encode(open_text))
@@ -155,13 +155,13 @@ def _chunks(c: Chunking):
 
 
 _ENCODED = (
-    "key binary, whole boolean, n_tokens long, ids_sha256 string, decoded_sha256 string,"
+    "key binary, whole boolean, n_tokens long, ids_sha256 binary, decoded_sha256 binary,"
     " n int, part struct<head: string, ids: binary, tail: string>, chunk binary"
 )
 _ENCODED_SCHEMA = pa.schema(
     [
         ("key", pa.binary()), ("whole", pa.bool_()), ("n_tokens", pa.int64()),
-        ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n", pa.int32()),
+        ("ids_sha256", pa.binary()), ("decoded_sha256", pa.binary()), ("n", pa.int32()),
         ("part", _PART), ("chunk", pa.binary()),
     ]
 )
@@ -173,15 +173,16 @@ class _Digests:
     def __init__(self, tokenizer: str):
         self.coder = encoder(tokenizer)
         self.decimal = self.coder.decimal
+        self.width = "<u2" if self.coder.size <= 1 << 16 else "<u4"
 
-    def of(self, ids: np.ndarray, common: bool) -> tuple[int, str, str]:
+    def of(self, ids: np.ndarray, common: bool) -> tuple[int, bytes, bytes]:
         plain = ids.tolist()
         line = ",".join([self.decimal[i] for i in plain])
         text = self.coder.decode(ids, common)
         return (
             len(plain),
-            hashlib.sha256(line.encode()).hexdigest(),
-            hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
+            hashlib.sha256(line.encode()).digest(),
+            hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(),
         )
 
 
@@ -197,7 +198,7 @@ def _encoded(tokenizer: str):
 
     def run(batches):
         digests = _Digests(tokenizer)
-        encode = digests.coder.encode
+        encode, width = digests.coder.encode, digests.width
         for batch in batches:
             rows, held = [], 0
             for key, text, shared in zip(
@@ -212,7 +213,7 @@ def _encoded(tokenizer: str):
                     at = n = 0
                     for s in sorted(shared, key=lambda s: s["start"]):
                         if s["start"] > at:
-                            part = encode_part(text[at : s["start"]], encode)
+                            part = encode_part(text[at : s["start"]], encode, width)
                             held += len(part["ids"] or b"")
                             rows.append({"key": key, "whole": False, "n": n, "part": part})
                             n += 1
@@ -220,10 +221,10 @@ def _encoded(tokenizer: str):
                         rows.append({"key": key, "whole": False, "n": n, "chunk": s["chunk"]})
                         n += 1
                         if s["here"]:
-                            part = encode_part(text[s["start"] : at], encode)
+                            part = encode_part(text[s["start"] : at], encode, width)
                             rows.append({"whole": False, "part": part, "chunk": s["chunk"]})
                     if at < len(text):
-                        part = encode_part(text[at:], encode)
+                        part = encode_part(text[at:], encode, width)
                         held += len(part["ids"] or b"")
                         rows.append({"key": key, "whole": False, "n": n, "part": part})
                 if len(rows) > 2000 or held > 8 << 20:
@@ -234,7 +235,7 @@ def _encoded(tokenizer: str):
     return run
 
 
-_DIGESTS = "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_DIGESTS = "key binary, n_tokens long, ids_sha256 binary, decoded_sha256 binary"
 
 
 def _joined(tokenizer: str):
@@ -243,7 +244,7 @@ def _joined(tokenizer: str):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         digests = _Digests(tokenizer)
         parts = group.sort_by("n")["part"].to_pylist()
-        ids = join_parts(parts, digests.coder.encode)
+        ids = join_parts(parts, digests.coder.encode, digests.width)
         n, a, b = digests.of(ids, False)
         return pa.Table.from_batches(
             [_rows([{"key": key[0].as_py(), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}], schema)]
@@ -309,5 +310,8 @@ def encode_documents(
     )
     return (
         rows.select("doc_id", "key").join(whole.unionByName(joined), "key")
-        .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+        .select(
+            "doc_id", "n_tokens",
+            *(F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256")),
+        )
     )
