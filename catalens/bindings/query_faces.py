@@ -93,7 +93,7 @@ def f3_face_record(spark, sf_dir):
     "a9_face_lists",
     with_views(
         f"""
-SELECT image_id, 0 AS part, count(*) AS faces, string_agg(id, ',' ORDER BY face_no) AS ids,
+SELECT image_id, count(*) AS faces, string_agg(id, ',' ORDER BY face_no) AS ids,
   round(sum(x), 5) AS sum_x FROM (SELECT image_id, face_no, {_FACE_ID} AS id, {_sql_box()} FROM faces)
 GROUP BY image_id""",
         "faces",
@@ -104,7 +104,6 @@ def a9_face_lists(spark, sf_dir):
     total = F.aggregate("faces", F.lit(0.0), lambda s, f: s + f["x"])
     return lists.select(
         "image_id",
-        "part",
         F.size("faces").cast("bigint").alias("faces"),
         F.array_join(F.transform("faces", lambda f: f["id"]), ",").alias("ids"),
         F.round(total, 5).alias("sum_x"),
@@ -183,22 +182,22 @@ def w2_first_face(spark, sf_dir):
     "g18_downscale",
     with_views(
         """
-SELECT request_id, src_w, src_h, round(least(1, 1600 / greatest(src_w, src_h)::DOUBLE), 9) AS scale,
-  CASE WHEN greatest(src_w, src_h) <= 1600 THEN src_w WHEN src_w > src_h THEN 1600
+SELECT request_id, src_w, src_h, CASE WHEN r > 0 THEN round(least(1, 1600 / greatest(src_w, src_h)::DOUBLE), 9) END AS scale,
+  CASE WHEN r IS NULL OR r = 0 THEN NULL WHEN greatest(src_w, src_h) <= 1600 THEN src_w WHEN src_w > src_h THEN 1600
     ELSE greatest(CAST(CASE WHEN abs(r - floor(1600 * r) / 1600) <= abs(r - ceil(1600 * r) / 1600)
       THEN floor(1600 * r) ELSE ceil(1600 * r) END AS INTEGER), 1) END AS match_w,
-  CASE WHEN greatest(src_w, src_h) <= 1600 THEN src_h WHEN src_w <= src_h THEN 1600
+  CASE WHEN r IS NULL OR r = 0 THEN NULL WHEN greatest(src_w, src_h) <= 1600 THEN src_h WHEN src_w <= src_h THEN 1600
     ELSE greatest(CAST(CASE WHEN floor(1600 / r) = 0 OR abs(r - 1600 / floor(1600 / r)) <= abs(r - 1600 / ceil(1600 / r))
       THEN floor(1600 / r) ELSE ceil(1600 / r) END AS INTEGER), 1) END AS match_h
-FROM (SELECT k.request_id, m.width AS src_w, m.height AS src_h, m.width / m.height::DOUBLE AS r
+FROM (SELECT k.request_id, m.width AS src_w, m.height AS src_h, m.width / nullif(m.height, 0)::DOUBLE AS r
   FROM keyed k JOIN media m ON m.path = k.filename
-  WHERE k.error IS NULL AND m.width > 0 AND m.height > 0)""",
+  WHERE k.error IS NULL)""",
         "keyed", "media",
     ),
 )
 def g18_downscale(spark, sf_dir):
     keyed = lookup.valid(views.keyed(spark, sf_dir))
-    sized = routing.with_source(keyed, views.media(spark, sf_dir)).where("src_w > 0 AND src_h > 0")
+    sized = routing.with_source(keyed, views.media(spark, sf_dir))
     images = sized.select("request_id", c("src_w").alias("img_w"), c("src_h").alias("img_h"))
     return recognition.with_match_size(images).select(
         "request_id", c("img_w").alias("src_w"), c("img_h").alias("src_h"),

@@ -35,19 +35,24 @@ def s1_file_sizes(spark, sf_dir):
         """
 SELECT path, exif_ok, "FileName", nullif("Model", '') AS "Model", "ImageWidth", "FrameCount", "ExposureTime",
   CAST("Orientation" AS DOUBLE) AS "Orientation",
-  nullif("DateTimeOriginal", '    :  :     :  :  ') AS "DateTimeOriginal", replace("ImageSize", ' ', 'x') AS "ImageSize"
-FROM dumped WHERE exif_ok""",
+  nullif("DateTimeOriginal", '    :  :     :  :  ') AS "DateTimeOriginal", replace("ImageSize", ' ', 'x') AS "ImageSize",
+  NULL AS bad_dump
+FROM dumped WHERE exif_ok
+UNION ALL
+SELECT NULL, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  substr('[{"SourceFile":"' || path || '","FileName":"f' || id || '.jpg"', 1, 40) FROM dumped WHERE NOT exif_ok""",
         "dumped",
     ),
 )
 def s2_exif_dump(spark, sf_dir):
-    """Dumps written one per line, read back and parsed. A dump that was cut off names no file."""
+    """Dumps written one per line, read back and parsed. One that was cut off keeps its text."""
     folder = shared_folder(spark, "dumps")
     views.dumps(spark, sf_dir).select(c("dump").alias("value")).write.text(folder)
     table = dumps.exif_table(dumps.read_dumps(spark, folder))
     return table.select(
         "path", "exif_ok", "FileName", F.nullif(c("Model"), F.lit("")).alias("Model"),
         "ImageWidth", "FrameCount", "ExposureTime", "Orientation", "DateTimeOriginal", "ImageSize",
+        "bad_dump",
     )
 
 
@@ -112,15 +117,25 @@ def s6_cache_listing(spark, sf_dir):
     "s7_request_source",
     with_views(
         """
-SELECT request_id, CAST(id AS VARCHAR) AS id, filename, type, width, height, angle_text AS angle,
-  mirror, CASE WHEN timeindex <> 0 THEN '12.5' END AS timeindex, deinterlace FROM requests""",
+SELECT request_id, CAST(id AS VARCHAR) AS id, filename, type, width, height, size_error, angle_text AS angle,
+  mirror, CASE WHEN timeindex <> 0 THEN '12.5' END AS timeindex, deinterlace FROM (
+    SELECT * REPLACE (CASE WHEN request_id % 11 = 5 AND width > 0 THEN NULL ELSE width END AS width),
+      CASE WHEN request_id % 11 = 5 AND width > 0 THEN 'Sizes are whole numbers, not ' || width || '.5' END AS size_error
+    FROM requests)""",
         "requests",
     ),
 )
 def s7_request_source(spark, sf_dir):
-    """Requests written as JSON lines and read back."""
+    """Requests written as JSON lines and read back; sizes come as numbers, text and fractions."""
     folder = shared_folder(spark, "requests")
-    views.requests(spark, sf_dir).write.json(folder)
+    n, width = c("request_id"), c("width")
+    fraction = (n % 11 == 5) & (width > 0)
+    loose = (
+        F.when(fraction, (width + F.lit(0.5)).cast("string").cast("variant"))
+        .when(n % 3 == 0, width.cast("string").cast("variant"))
+        .otherwise(width.cast("variant"))
+    )
+    views.requests(spark, sf_dir).withColumn("width", loose).write.json(folder)
     return requests.read_requests(spark, folder).drop("ts")
 
 
@@ -151,14 +166,18 @@ def s8_people_folders(spark, sf_dir):
         """
 SELECT DISTINCT name, filepath, CAST(id AS VARCHAR) AS id, coalesce(width, 0) AS width,
   coalesce(height, 0) AS height, coalesce(angle, 0) AS angle, coalesce(mirror <> '', false) AS mirror,
-  CASE type WHEN 'audio' THEN 'video' ELSE type END AS type
-FROM keyed WHERE error IS NULL AND type <> '*' AND request_id // 8 % 2 = 0""",
+  CASE WHEN type = '*' THEN 'Unknown extension, ' END AS error,
+  CASE type WHEN 'audio' THEN 'video' WHEN '*' THEN NULL ELSE type END AS type
+FROM keyed WHERE error IS NULL AND request_id // 8 % 2 = 0""",
         "keyed",
     ),
 )
 def s9_manifest_sink(spark, sf_dir):
+    """Stored renditions written as a manifest, twice, and read back."""
     folder = shared_folder(spark, "manifest")
-    manifest.write_manifest(manifest.manifest_rows(views.cached(spark, sf_dir)), folder)
+    rows = manifest.manifest_rows(views.cached(spark, sf_dir))
+    manifest.write_manifest(rows, folder)
+    manifest.write_manifest(rows.where("type = 'image'"), folder)
     return manifest.read_manifest(spark, folder)
 
 

@@ -241,7 +241,7 @@ def _routed(spark, sf_dir):
         views.CACHE,
     )
     routable = jobs.where(lookup.job_class(c("type")).isNotNull())
-    return steps.with_work_dir(routing.route(routable), "/tmp/render", 8)
+    return steps.with_work_dir(routing.route(routable), "/work/render", 8)
 
 
 _PATH_ERROR = (
@@ -392,15 +392,14 @@ def g5_mirror(spark, sf_dir):
 
 def _sql_scaled(asked: str, along: str, across: str) -> str:
     return (
-        f"CAST(CASE WHEN {along} <> 0 THEN greatest(floor(CAST({asked} AS DOUBLE) * CAST({across} AS DOUBLE) / "
+        f"CAST(CASE WHEN {along} > 0 AND {across} > 0 THEN greatest(floor(CAST({asked} AS DOUBLE) * CAST({across} AS DOUBLE) / "
         f"CAST({along} AS DOUBLE) + 0.5::DOUBLE), 1) ELSE NULL END AS INTEGER)"
     )
 
 
 def _sql_image_size(tw: str, th: str) -> tuple[str, str]:
-    # With an unknown side the other one stays at its least, 1, as greatest() skips NULL.
-    w = f"CASE WHEN {_W} <> 0 THEN {_W} WHEN {_H} <> 0 THEN coalesce({_sql_scaled(_H, th, tw)}, 1) ELSE {tw} END"
-    h = f"CASE WHEN {_H} <> 0 THEN {_H} WHEN {_W} <> 0 THEN coalesce({_sql_scaled(_W, tw, th)}, 1) ELSE {th} END"
+    w = f"CASE WHEN {_W} <> 0 THEN {_W} WHEN {_H} <> 0 THEN {_sql_scaled(_H, th, tw)} ELSE {tw} END"
+    h = f"CASE WHEN {_H} <> 0 THEN {_H} WHEN {_W} <> 0 THEN {_sql_scaled(_W, tw, th)} ELSE {th} END"
     return w, h
 
 
@@ -441,8 +440,8 @@ _TRANSPOSE = """CASE WHEN angle IN (90, -270) THEN 'transpose=2' WHEN angle IN (
 
 
 def _sql_video_size() -> tuple[str, str]:
-    w = f"CASE WHEN {_W} <> 0 THEN width WHEN {_H} <> 0 THEN coalesce({_sql_scaled('height', 'src_h', 'src_w')}, 1) ELSE src_w END"
-    h = f"CASE WHEN {_H} <> 0 THEN height WHEN {_W} <> 0 THEN coalesce({_sql_scaled('width', 'src_w', 'src_h')}, 1) ELSE src_h END"
+    w = f"CASE WHEN {_W} <> 0 THEN width WHEN {_H} <> 0 THEN {_sql_scaled('height', 'src_h', 'src_w')} ELSE src_w END"
+    h = f"CASE WHEN {_H} <> 0 THEN height WHEN {_W} <> 0 THEN {_sql_scaled('width', 'src_w', 'src_h')} ELSE src_h END"
     return f"CASE WHEN angle IS NOT NULL THEN tw ELSE {w} END", f"CASE WHEN angle IS NOT NULL THEN th ELSE {h} END"
 
 
@@ -530,9 +529,10 @@ _VIDEO_SHARED = _joined(
 _SQL_CALLS: dict[str, list[tuple[str, str, str, str]]] = {
     # converter: (condition, step, tool, arguments)
     "image2image": [
-        (_IS_RAW, "1", "dcraw", f"'-dcbe -w -T ' || work_dir || '/' || {_BASE}"),
+        (_IS_RAW, "1", "ln", f"'-s ' || filename || ' ' || work_dir || '/' || {_BASE}"),
+        (_IS_RAW, "2", "dcraw", f"'-dcbe -w -T ' || work_dir || '/' || {_BASE}"),
         (
-            "true", f"CASE WHEN {_IS_RAW} THEN 2 ELSE 1 END", "convert",
+            "true", f"CASE WHEN {_IS_RAW} THEN 3 ELSE 1 END", "convert",
             _sql_image_call(
                 f"CASE WHEN {_IS_RAW} THEN work_dir || '/' || {_STEM} || '.tiff' "
                 "WHEN mimetype = 'image/gif' THEN filename || '[0]' ELSE filename END",
@@ -706,10 +706,15 @@ SELECT filepath, converter, waiters,
     WHEN converter = 'audio2image' THEN {_WAVE_W} WHEN converter = 'video2video' THEN {_VIDEO[0]} END AS out_w,
   CASE WHEN converter IN ('image2image', 'video2image') THEN {_PICTURE[1]} WHEN converter = 'document2image' THEN {_PAGE[1]}
     WHEN converter = 'audio2image' THEN {_WAVE_H} WHEN converter = 'video2video' THEN {_VIDEO[1]} END AS out_h,
-  CASE converter WHEN 'image2image' THEN CASE WHEN {_IS_RAW} THEN 2 ELSE 1 END WHEN 'audio2audio' THEN 1
+  CASE converter WHEN 'image2image' THEN CASE WHEN {_IS_RAW} THEN 3 ELSE 1 END WHEN 'audio2audio' THEN 1
     WHEN 'audio2image' THEN 2 WHEN 'video2image' THEN 2 WHEN 'video2video' THEN 2
     WHEN 'document2document' THEN CASE WHEN {_IS_PDF} THEN 0 ELSE 1 END
     WHEN 'document2image' THEN CASE WHEN {_IS_PDF} THEN 3 ELSE 4 END END AS calls,
+  CASE WHEN converter = 'document2document' AND {_IS_PDF} THEN filename
+    WHEN converter = 'document2document' THEN work_dir || '/document2document.pdf'
+    WHEN converter = 'video2video' THEN work_dir || '/video2video_pass2.webm'
+    WHEN converter = 'audio2audio' THEN work_dir || '/audio2audio.webm'
+    WHEN converter IS NOT NULL THEN work_dir || '/image2image.jpg' END AS result,
   CASE WHEN converter IS NULL THEN {_PATH_ERROR} END AS error
 FROM (SELECT *, {_TW} AS tw, {_TH} AS th FROM routed)""",
         "routed",
@@ -721,9 +726,10 @@ def cache_plan(spark, sf_dir):
         views.cached(spark, sf_dir),
         views.media(spark, sf_dir),
         views.CACHE,
+        "/work/render",
     )
     return planned.select(
-        "filepath", "converter", "waiters", "out_w", "out_h",
+        "filepath", "converter", "result", "waiters", "out_w", "out_h",
         F.when(c("steps").isNotNull(), F.size("steps")).alias("calls"), "error",
     )
 

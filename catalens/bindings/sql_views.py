@@ -181,7 +181,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
       WHEN 'video2image' THEN 'video2image' WHEN 'audio2audio' THEN 'audio2audio'
       WHEN 'audio2image' THEN 'audio2image' WHEN 'document2image' THEN 'document2image'
       WHEN 'document2document' THEN 'document2document' END AS converter,
-    '/tmp/render/' || name AS work_dir
+    '/work/render/' || name AS work_dir
   FROM (
     SELECT k.*, m.mimetype, m.width AS src_w, m.height AS src_h, m.compression,
       {media_type("m.mimetype")} AS source_type,

@@ -56,7 +56,8 @@ def match_size(width: Column, height: Column) -> Column:
     The shorter side is whichever whole number keeps the ratio closer.
     """
     w, h = width.cast("double"), height.cast("double")
-    ratio = w / h
+    # Unknown or 0 sides give no size instead of an error.
+    ratio = F.try_divide(w, h)
     side = F.lit(float(MATCH_SIDE))
 
     def nearer(exact: Column, drift) -> Column:
@@ -65,12 +66,13 @@ def match_size(width: Column, height: Column) -> Column:
 
     narrow = nearer(side * ratio, lambda n: F.abs(ratio - n / side))
     flat = nearer(
-        side / ratio,
+        F.try_divide(side, ratio),
         lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.abs(ratio - F.try_divide(side, n))),
     )
     large = F.greatest(width, height) > MATCH_SIDE
+    known = F.coalesce((w > 0) & (h > 0), F.lit(False))
     return F.struct(
-        F.when(~large, width).when(ratio > 1, side).otherwise(narrow).cast("int").alias("width"),
-        F.when(~large, height).when(ratio > 1, flat).otherwise(side).cast("int").alias("height"),
-        F.least(F.lit(1.0), side / F.greatest(w, h)).alias("scale"),
+        F.when(~known, F.lit(None)).when(~large, width).when(ratio > 1, side).otherwise(narrow).cast("int").alias("width"),
+        F.when(~known, F.lit(None)).when(~large, height).when(ratio > 1, flat).otherwise(side).cast("int").alias("height"),
+        F.when(known, F.least(F.lit(1.0), F.try_divide(side, F.greatest(w, h)))).alias("scale"),
     )

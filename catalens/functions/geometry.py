@@ -76,9 +76,12 @@ def flips(mirror: Column) -> Column:
 
 
 def scaled_side(asked: Column, along: Column, across: Column) -> Column:
-    """Other side of a picture scaled so that ``along`` becomes ``asked``; at least 1."""
+    """Other side of a picture scaled so that ``along`` becomes ``asked``; at least 1.
+
+    NULL where a side of the source is unknown or 0: its shape is then unknown.
+    """
     exact = F.try_divide(asked.cast("double") * across.cast("double"), along.cast("double"))
-    return F.greatest(F.floor(exact + 0.5), F.lit(1)).cast("int")
+    return F.when(exact > 0, F.greatest(F.floor(exact + 0.5), F.lit(1))).cast("int")
 
 
 def image_size(

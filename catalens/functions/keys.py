@@ -11,6 +11,8 @@ KEY_PATTERN = r"^(.*?)_w(.*?)_h(.*?)_s(.*?)_a(.*?)_m(.*?)\.(.*?)\z"
 
 # Rotations that may be asked for, and the message for any other.
 ROTATIONS = [90, 180, 270]
+ID_ERROR = "Missing id"
+SIZE_ERROR = "Sizes are whole numbers, not "
 ANGLE_ERROR = "Valid angle values are: -270, -180, -90, 90, 180 and 270"
 
 
@@ -63,11 +65,18 @@ def parse_key(name: Column) -> Column:
     Takes the name without its directory, so that a folder called ``x_w1_h1`` cannot
     change the outcome.
     """
+    # One match gives all parts; the separator is in no file name.
+    marked = F.regexp_replace(name, KEY_PATTERN, "\x00".join(f"${n}" for n in range(1, 8)))
+    split = F.split(marked, "\x00")
+    return F.get(F.transform(F.array(split), _parsed), F.lit(0))
+
+
+def _parsed(parts: Column) -> Column:
     def part(group: int) -> Column:
-        return F.regexp_extract(name, KEY_PATTERN, group)
+        return F.when(F.size(parts) == 7, F.get(parts, F.lit(group - 1)))
 
     extension = part(7)
-    matched = F.coalesce(F.regexp_like(name, F.lit(KEY_PATTERN)), F.lit(False))
+    matched = F.coalesce(F.size(parts) == 7, F.lit(False))
     return F.struct(
         F.when(matched, mime.type_of_extension(extension)).alias("type"),
         js.parse_int(part(2)).try_cast("int").alias("width"),

@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from catalens.shipping import ship_by_value
 
 ship_by_value(__name__)
+c = F.col
 
 # Relative slack on pruning bounds, far above rounding error.
 SLACK = 1e-9
@@ -43,6 +44,11 @@ def is_usable(encoding: Column) -> Column:
     return F.forall(encoding, lambda v: v.isNotNull() & ~F.isnan(v))
 
 
+def same_length(least: int, most: int) -> None:
+    if least != most:
+        raise ValueError(f"known encodings have between {least} and {most} components")
+
+
 class CellIndex:
     """Centres picked from known encodings, and the radius of the cell around each."""
 
@@ -62,18 +68,22 @@ class CellIndex:
         ``known``: usable encodings.
 
         Centres are picked by hash. Which ones they are affects the speed of a match, never
-        its result. None if nobody is known.
+        its result. None if nobody is known; an error if encodings differ in length.
         """
-        people = known.count()
-        if not people:
-            return None
-        wanted = min(most, int(np.ceil(np.sqrt(people))))
-        picked = known.select("encoding").orderBy(F.xxhash64("encoding"), "encoding").limit(wanted)
-        centres = np.unique(np.array([r[0] for r in picked.collect()], dtype=float), axis=0)
-        index = cls(centres, people)
-        near = known.where(F.size("encoding") == index.dimensions).select(
-            index.nearest()("encoding").alias("n")
+        # One pass counts the encodings and picks the centres.
+        seen = Observation("known encodings")
+        size = F.size("encoding")
+        counted = known.select("encoding").observe(
+            seen, F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most")
         )
+        picked = counted.orderBy(F.xxhash64("encoding"), "encoding").limit(most).collect()
+        if not picked:
+            return None
+        same_length(seen.get["least"], seen.get["most"])
+        wanted = min(most, int(np.ceil(np.sqrt(seen.get["n"]))))
+        centres = np.unique(np.array([r[0] for r in picked[:wanted]], dtype=float), axis=0)
+        index = cls(centres, seen.get["n"])
+        near = known.select(index.nearest()("encoding").alias("n"))
         for cell, radius in near.groupBy("n.cell").agg(F.max("n.d")).collect():
             index.radii[cell] = radius
         return index
@@ -132,27 +142,44 @@ def projection_buckets(
 GROUP = ["cell", "chunk", "block"]
 
 
+def cell_parts(faces: DataFrame, people: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """``cell, chunks, blocks`` of the cells that hold both faces and people.
+
+    ``most``: faces and people that may meet in one group.
+    """
+    counts = [rows.groupBy("cell").agg(F.count("*").alias("n")) for rows in (faces, people)]
+    faces_in, people_in = counts[0], counts[1].withColumnRenamed("n", "m")
+    return faces_in.join(people_in, "cell").select(
+        "cell",
+        F.ceil(c("n") / most[0]).cast("int").alias("chunks"),
+        F.ceil(c("m") / most[1]).cast("int").alias("blocks"),
+    )
+
+
 def in_groups(
-    faces: DataFrame, people: DataFrame, chunks: int, blocks: int, tolerance: float
+    faces: DataFrame, people: DataFrame, most: tuple[int, int], tolerance: float
 ) -> DataFrame:
     """Close pairs of faces and people that share a ``cell`` (any type).
 
     ``faces``: face_id, image_id, encoding, cell; ``people``: name, encoding, copies, cell,
-    each row in one group or several. A cell is cut into chunks of faces and blocks of
-    people by hash, so that no group grows with the data, however many rows a cell holds;
-    each chunk meets each block once. Both may have ``buckets`` and ``nth``: then a pair that
+    each row in one group or several. A cell is cut by hash into chunks of faces and blocks
+    of people of about ``most`` rows each, by what the cell itself holds: a cell that fits a
+    group is not copied at all, and one without faces or without people is left out. Each
+    chunk meets each block once. Both may have ``buckets`` and ``nth``: then a pair that
     shares an earlier bucket as well is left to the group of that one.
     """
-    def spread(key: list[str], parts: int) -> Column:
-        return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+    parts = cell_parts(faces, people, most)
 
-    def every(parts: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    def spread(key: list[str], number: str) -> Column:
+        return F.pmod(F.xxhash64(*key), c(number)).cast("int")
 
-    left = faces.withColumn("chunk", spread(["face_id"], chunks)).withColumn("block", every(blocks))
-    right = people.withColumn("block", spread(["name", "encoding"], blocks)).withColumn(
-        "chunk", every(chunks)
-    )
+    def every(number: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), c(number) - 1))
+
+    left = faces.join(parts, "cell").withColumn("chunk", spread(["face_id"], "chunks"))
+    left = left.withColumn("block", every("blocks")).drop("chunks", "blocks")
+    right = people.join(parts, "cell").withColumn("block", spread(["name", "encoding"], "blocks"))
+    right = right.withColumn("chunk", every("chunks")).drop("chunks", "blocks")
     types = dict(faces.dtypes)
     schema = (
         f"face_id {types['face_id']}, image_id {types['image_id']}, name string, copies bigint, "

@@ -26,7 +26,12 @@ def with_key(requests: DataFrame, cache_path: str) -> DataFrame:
     checked = parsed.withColumns(
         {
             "angle": keys.rotation(c("_angle")),
-            "error": F.coalesce(keys.rotation_error(c("_angle")), mime.type_error(c("type"))),
+            "error": F.coalesce(
+                F.when(c("id").isNull(), F.lit(keys.ID_ERROR)),
+                c("size_error") if "size_error" in requests.columns else F.lit(None),
+                keys.rotation_error(c("_angle")),
+                mime.type_error(c("type")),
+            ),
         }
     ).drop("_angle")
     parts = [c(p) for p in ("id", "type", "width", "height", "angle", "mirror")]

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from catalens.operators import recognition
-from catalens.operators.cells import in_groups, projection_buckets
+from catalens.operators.cells import in_groups, projection_buckets, same_length
 from catalens.operators.recognition import TOLERANCE, single_face_images
 
 c = F.col
@@ -31,9 +31,11 @@ def face_matches_lsh(
     projections is kept in the first.
     """
     people = recognition.known_encodings(known)
-    one = people.select(F.size("encoding").alias("n")).first()
-    if one is None:
+    size = F.size("encoding")
+    one = people.agg(F.min(size).alias("n"), F.max(size).alias("most")).first()
+    if one.n is None:
         return recognition.no_matches(faces)
+    same_length(one.n, one.most)
     buckets = projection_buckets(one.n, tables, bucket_length, seed)
 
     def in_buckets(rows: DataFrame) -> DataFrame:
@@ -42,9 +44,8 @@ def face_matches_lsh(
         each = numbered.select("*", F.posexplode_outer("buckets").alias("nth", "bucket"))
         return each.withColumn("cell", F.struct("nth", "bucket")).drop("bucket")
 
-    chunks, blocks = recognition.group_counts(faces, people.count())
     visits = in_buckets(faces.select("face_id", "image_id", "encoding"))
-    return in_groups(visits, in_buckets(people), chunks, blocks, tolerance)
+    return in_groups(visits, in_buckets(people), recognition.group_sizes(), tolerance)
 
 
 def train_people(faces: DataFrame, label: str = "person", iterations: int = 50) -> PipelineModel:

@@ -18,8 +18,6 @@ TOLERANCE = 0.6
 UNKNOWN_PERSON = "unknown_person"
 NO_PERSONS = "no_persons_found"
 
-# Faces per row of a face list.
-LIST_PART = 4096
 # Most cells known people are divided into: the centres stay under a megabyte however many
 # people there are.
 CENTRES = 128
@@ -40,17 +38,15 @@ def with_records(detections: DataFrame, detector: str = "face_recognition") -> D
     )
 
 
-def face_lists(records: DataFrame, part_size: int = LIST_PART) -> DataFrame:
-    """Face records of an image as one array, in order of position.
+def face_lists(records: DataFrame) -> DataFrame:
+    """Face records of an image as one array, in order of position, ``face_no`` in each.
 
-    An image with more than ``part_size`` faces gets several rows, numbered by ``part``:
-    no row, task or buffer ever has to hold an unbounded number of encodings.
+    A list is as long as its image has faces; :func:`with_records` gives a row per face.
     """
-    part = F.floor(c("face_no") / part_size).cast("int")
-    grouped = records.groupBy("image_id", part.alias("part")).agg(
+    grouped = records.groupBy("image_id").agg(
         F.array_sort(F.collect_list(F.struct("face_no", "face"))).alias("faces")
     )
-    return grouped.withColumn("faces", F.transform("faces", lambda f: f["face"]))
+    return grouped.withColumn("faces", F.transform("faces", lambda f: f["face"].withField("face_no", f["face_no"])))
 
 
 def face_boxes(detections: DataFrame, detector: str = "face_recognition") -> DataFrame:
@@ -122,7 +118,9 @@ def face_matches(
     a hash would put them all into one block. A group is one matrix product, not a row per
     pair.
 
-    Planning runs small jobs: two counts, and the centres and radii, at most ``count`` rows.
+    Planning runs two small jobs: one counts the known encodings and picks the centres, one
+    takes the radii, at most ``count`` rows. Known encodings of different lengths are an
+    error; a face of another length than theirs is near nobody.
     """
     people = known_encodings(known)
     cells = CellIndex.of(people, count)
@@ -136,8 +134,8 @@ def face_matches(
         .select("face_id", "image_id", "encoding", F.explode_outer("_v").alias("cell"))
         .where("cell IS NOT NULL")
     )
-    members = people.where(fits).withColumn("cell", cells.nearest()(c("encoding"))["cell"])
-    return in_groups(visits, members, *group_counts(faces, cells.people), tolerance)
+    members = people.withColumn("cell", cells.nearest()(c("encoding"))["cell"])
+    return in_groups(visits, members, group_sizes(), tolerance)
 
 
 def known_encodings(known: DataFrame) -> DataFrame:
@@ -156,9 +154,9 @@ def no_matches(faces: DataFrame) -> DataFrame:
     ).limit(0)
 
 
-def group_counts(faces: DataFrame, people: int) -> tuple[int, int]:
-    """Chunks and blocks that keep every group small even if all rows were in one cell."""
-    return max(1, -(-faces.count() // FACES_PER_GROUP)), max(1, -(-people // PEOPLE_PER_GROUP))
+def group_sizes() -> tuple[int, int]:
+    """Faces and people that meet in one group."""
+    return FACES_PER_GROUP, PEOPLE_PER_GROUP
 
 
 def any_match(faces: DataFrame, matches: DataFrame) -> DataFrame:
@@ -189,10 +187,14 @@ def images_without_faces(images: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def recognize(
-    images: DataFrame, faces: DataFrame, known: DataFrame, tolerance: float = TOLERANCE
+    images: DataFrame,
+    faces: DataFrame,
+    known: DataFrame,
+    tolerance: float = TOLERANCE,
+    count: int = CENTRES,
 ) -> DataFrame:
     """``file, name, distance`` lines of all images, including those without a face."""
-    named = named_faces(faces, face_matches(faces, known, tolerance))
+    named = named_faces(faces, face_matches(faces, known, tolerance, count))
     empty = images_without_faces(images, faces)
     lines = named.select(c("image_id").alias("file"), "name", "distance")
     return lines.unionByName(

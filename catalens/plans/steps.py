@@ -98,10 +98,10 @@ def _no_calls() -> Column:
 
 
 def _before_image() -> Column:
-    """A raw image is developed first."""
-    name = keys.base_name(c("filename"))
-    develop = call("dcraw", *RAW_OPTIONS, F.concat(c("work_dir"), F.lit("/"), name))
-    return F.when(mime.is_raw_image(c("mimetype")), F.array(develop)).otherwise(_no_calls())
+    """A raw image is developed first: in the work folder, as that is where the result goes."""
+    staged = F.concat(c("work_dir"), F.lit("/"), keys.base_name(c("filename")))
+    calls = F.array(call("ln", "-s", c("filename"), staged), call("dcraw", *RAW_OPTIONS, staged))
+    return F.when(mime.is_raw_image(c("mimetype")), calls).otherwise(_no_calls())
 
 
 def _audio() -> Column:
@@ -287,6 +287,26 @@ def with_steps(routed: DataFrame, converters: list[str] | None = None) -> DataFr
     return planned.select(*routed.columns, "steps")
 
 
+# File each converter leaves in the work folder.
+RESULTS = {
+    "image2image": "image2image.jpg",
+    "audio2audio": "audio2audio.webm",
+    "audio2image": "image2image.jpg",
+    "video2image": "image2image.jpg",
+    "video2video": "video2video_pass2.webm",
+    "document2document": "document2document.pdf",
+    "document2image": "image2image.jpg",
+}
+
+
+def with_result(routed: DataFrame) -> DataFrame:
+    """Add ``result``: the file to publish as ``filepath``. A PDF is published as it is."""
+    kind = c("converter")
+    passed = (kind == "document2document") & mime.is_pdf(c("mimetype"))
+    left = [F.when(kind == k, _file(name)) for k, name in RESULTS.items()]
+    return routed.withColumn("result", F.when(passed, c("filename")).otherwise(F.coalesce(*left)))
+
+
 def with_size(routed: DataFrame) -> DataFrame:
     """Add the predicted ``out_w``, ``out_h``; NULL where there is no picture."""
     kind = c("converter")

@@ -148,16 +148,18 @@ def exif_table(dumps: DataFrame, path: str = "SourceFile") -> DataFrame:
     """Dump texts -> ``path``, ``raw`` (VARIANT without bulky tags) and the typed tags.
 
     The media path is the dump's own ``SourceFile`` tag unless the table has a column of the
-    name given. A malformed dump keeps its row, with ``exif_ok`` false, if its path is known.
+    name given. A malformed dump keeps its row, with ``exif_ok`` false and its text in
+    ``bad_dump``; so does a dump that names no file.
     """
     own = path not in dumps.columns
     tags = [*([path] if own else []), *TAGS]
     parsed = dumps.withColumn("_tags", parse_dump(F.col("dump"), tags))
     named = parsed.withColumn("path", F.col(f"_tags.{path}") if own else F.col(path))
-    return named.where("path IS NOT NULL").select(
+    return named.select(
         "path",
         F.to_variant_object(clean_tags(light_tags(F.col("dump")))).alias("raw"),
         F.col("_tags").isNotNull().alias("exif_ok"),
+        F.when(F.col("_tags").isNull() | F.col("path").isNull(), F.col("dump")).alias("bad_dump"),
         *tag_columns("_tags"),
     )
 

@@ -8,18 +8,18 @@ from catalens.functions import keys
 
 MANIFEST_SCHEMA = (
     "id string, name string, filepath string, width int, height int, angle int, "
-    "mirror boolean, type string"
+    "mirror boolean, error string, type string"
 )
 
 
 def manifest_rows(listing: DataFrame) -> DataFrame:
-    """Listing ``filepath, name`` -> manifest rows; names that are no keys are left out."""
-    parsed = listing.withColumn("_k", keys.parse_key(F.col("name"))).where("_k.error IS NULL")
+    """Listing ``filepath, name`` -> manifest rows; a name that is no key has an ``error``."""
+    parsed = listing.withColumn("_k", keys.parse_key(F.col("name")))
     return parsed.select(
         keys.id_of_key(F.col("name")).alias("id"),
         "name",
         "filepath",
-        *[F.col(f"_k.{c}").alias(c) for c in ("width", "height", "angle", "mirror", "type")],
+        *[F.col(f"_k.{c}").alias(c) for c in ("width", "height", "angle", "mirror", "error", "type")],
     )
 
 
@@ -33,6 +33,9 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows by name; a filter on ``type`` prunes folders, one on ``id`` reaches the scan."""
+    """Rows by name; a filter on ``type`` prunes folders, one on ``id`` reaches the scan.
+
+    A listing that was appended twice gives each rendition once.
+    """
     columns = [c.strip().split(" ")[0] for c in MANIFEST_SCHEMA.split(",")]
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(path).select(*columns)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(path).select(*columns).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 FACE_LIST_SCHEMA = (
     "array<struct<id:string,x:double,y:double,w:double,h:double,detector:string,"
-    "confidence:int,encoding:array<double>>>"
+    "confidence:int,encoding:array<double>,face_no:int>>"
 )
 
 
@@ -15,11 +15,12 @@ def face_list_json(faces: Column) -> Column:
 
 
 def explode_face_list(lists: DataFrame, json_column: str, *keep: str) -> DataFrame:
-    """JSON face lists -> one row per face, with its position in the list."""
+    """JSON face lists -> one row per face, with its ``face_no``, or else its place in the list."""
     parsed = F.from_json(json_column, FACE_LIST_SCHEMA)
-    return lists.select(*keep, F.posexplode(parsed).alias("face_no", "face")).select(
-        *keep, "face_no", "face.*"
-    )
+    rows = lists.select(*keep, F.posexplode(parsed).alias("_place", "_face"))
+    face_no = F.coalesce("_face.face_no", "_place").alias("face_no")
+    fields = ("id", "x", "y", "w", "h", "detector", "confidence", "encoding")
+    return rows.select(*keep, face_no, *(f"_face.{f}" for f in fields))
 
 
 def recognition_lines(results: DataFrame, show_distance: bool = False) -> DataFrame:

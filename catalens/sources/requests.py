@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from catalens.functions import keys
+
 # Client values of these columns may be text, number or boolean.
 _LOOSE = ["angle", "mirror", "timeindex"]
+_SIZES = ["width", "height"]
 _SCHEMA = (
     "request_id bigint, ts timestamp, id string, filename string, type string, "
-    "width int, height int, angle variant, mirror variant, timeindex variant, "
+    "width variant, height variant, angle variant, mirror variant, timeindex variant, "
     "deinterlace boolean"
 )
 
@@ -24,8 +27,28 @@ def _loose_text(c: Column) -> Column:
     return F.when(written_as_text | ~F.coalesce(empty, F.lit(False)), text)
 
 
+def _size(c: Column) -> Column:
+    """Size sent as number or text as INT; NULL if it is no whole number, or a boolean."""
+    number = F.try_variant_get(c, "$", "double")
+    whole = (F.schema_of_variant(c) != "BOOLEAN") & (number == F.floor(number))
+    return F.when(whole, number.try_cast("int"))
+
+
+def _size_error(*sizes: str) -> Column:
+    """What is wrong with a size that was sent; an empty one is just absent."""
+    def wrong(name: str) -> Column:
+        text = _loose_text(F.col(name))
+        sent = text.isNotNull() & (text != "")
+        return F.when(sent & _size(F.col(name)).isNull(), F.concat(F.lit(keys.SIZE_ERROR), text))
+
+    return F.coalesce(*(wrong(s) for s in sizes))
+
+
 def _tidy(requests: DataFrame) -> DataFrame:
-    return requests.withColumns({c: _loose_text(F.col(c)) for c in _LOOSE})
+    sizes = {c: _size(F.col(c)) for c in _SIZES}
+    return requests.withColumns(
+        {c: _loose_text(F.col(c)) for c in _LOOSE} | sizes | {"size_error": _size_error(*_SIZES)}
+    )
 
 
 def read_requests(spark: SparkSession, root: str) -> DataFrame:

@@ -159,8 +159,14 @@ def latest(changes: DataFrame, *key: str) -> DataFrame:
 def lookup_stream(
     keyed: DataFrame, read_cached: Callable[[], DataFrame], folder: str
 ) -> StreamingQuery:
-    """Hit or miss of each request; the stored paths are read anew for every batch."""
+    """Hit or miss of each request; the stored paths are read anew for every batch.
+
+    Only those that the batch asks for go on from the scan, as long as its paths are few
+    enough to be sent there.
+    """
     def answer(batch: DataFrame) -> DataFrame:
-        return lookup.hit_or_miss(batch, read_cached()).select("request_id", "filepath", "hit")
+        asked = lookup.valid(batch).select("filepath").distinct()
+        stored = read_cached().join(asked, "filepath", "left_semi")
+        return lookup.hit_or_miss(batch, stored).select("request_id", "filepath", "hit")
 
     return run_batches(keyed, folder, answer)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalens.operators import people_model, recognition
-from catalens.operators.cells import CellIndex
+from catalens.operators.cells import CellIndex, cell_parts
 from catalens.sources import reports
 
 c = F.col
@@ -96,6 +96,35 @@ def test_groups_are_bounded(spark, monkeypatch):
     assert not Counter(near) - Counter(brute_force(vectors, named, 0.6)) and len(near) > 1000
 
 
+def test_only_full_cells_are_copied(spark, monkeypatch):
+    """Rows that meet grow with what the cells hold, not with faces times people."""
+    vectors, named = clustered(6, people=40, per_person=50, faces=4000)
+    faces, known = faces_table(spark, vectors), known_table(spark, named)
+    cells = CellIndex.of(recognition.known_encodings(known), 128)
+    visits = faces.select("face_id", "encoding", F.explode(cells.visited(0.3)(c("encoding"))).alias("cell"))
+    members = known.withColumn("cell", cells.nearest()(c("encoding"))["cell"])
+    parts = cell_parts(visits, members, (200, 40))
+    n_faces, n_people = (r.groupBy("cell").count() for r in (visits, members))
+    met = parts.join(n_faces.withColumnRenamed("count", "f"), "cell").join(
+        n_people.withColumnRenamed("count", "p"), "cell"
+    )
+    row = met.agg(F.sum(c("f") * c("blocks")).alias("f"), F.sum(c("p") * c("chunks")).alias("p")).first()
+    every_face = visits.count() * -(-len(named) // 40)
+    every_person = len(named) * -(-len(vectors) // 200)
+    assert row.f < every_face / 5 and row.p < every_person / 2
+    assert met.where("chunks > ceil(f / 200) OR blocks > ceil(p / 40)").count() == 0
+
+
+def test_known_encodings_of_one_length(spark):
+    faces = faces_table(spark, [np.zeros(2), np.zeros(3)])
+    mixed = known_table(spark, [("a", [0.0, 0.0]), ("b", [0.0, 0.0, 0.0])])
+    with pytest.raises(ValueError, match="between 2 and 3 components"):
+        recognition.face_matches(faces, mixed)
+    with pytest.raises(ValueError, match="between 2 and 3 components"):
+        people_model.face_matches_lsh(faces, mixed)
+    assert found(recognition.face_matches(faces, mixed.where("name = 'a'"))) == [(0, "a", 0.0)]
+
+
 def test_cells_prune(spark):
     """On clustered people most cells are never visited."""
     vectors, named = clustered(5, people=30)
@@ -154,19 +183,27 @@ def test_counts_per_image(spark):
     assert {r.face_id for r in recognition.first_faces(faces, "face_id").collect()} == {0, 3}
 
 
-def test_long_face_lists_come_in_parts(spark):
-    rows = [(1, i, 10, 60, 50, 5, 101, 103, [float(i)]) for i in range(25)] + [(2, 0, 1, 2, 3, 0, 101, 103, [0.5])]
+def test_face_lists_are_whole(spark):
+    rows = [(1, i * 3, 10, 60, 50, 5, 101, 103, [float(i * 3)]) for i in range(5000)]
+    rows += [(2, 0, 1, 2, 3, 0, 101, 103, [0.5])]
     schema = (
         "image_id bigint, face_no int, top int, right int, bottom int, left int, img_w int, img_h int,"
         "encoding array<double>"
     )
-    records = recognition.with_records(spark.createDataFrame(rows, schema))
-    lists = recognition.face_lists(records, part_size=10)
-    sizes = sorted((r.image_id, r.part, len(r.faces)) for r in lists.collect())
-    assert sizes == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 1)]
-    texts = lists.select("image_id", "part", reports.face_list_json(c("faces")).alias("j"))
-    back = reports.explode_face_list(texts, "j", "image_id", "part")
-    assert back.where("image_id = 1 AND encoding[0] = part * 10 + face_no").count() == 25
+    lists = recognition.face_boxes(spark.createDataFrame(rows, schema))
+    assert sorted((r.image_id, len(r.faces)) for r in lists.collect()) == [(1, 5000), (2, 1)]
+    texts = lists.select("image_id", reports.face_list_json(c("faces")).alias("j"))
+    back = reports.explode_face_list(texts, "j", "image_id")
+    assert back.where("image_id = 1 AND encoding[0] = face_no").count() == 5000
+    bare = spark.createDataFrame([(1, '[{"id": "a", "x": 0.5}, {"id": "b"}]')], "image_id int, j string")
+    assert [r.face_no for r in reports.explode_face_list(bare, "j", "image_id").collect()] == [0, 1]
+
+
+def test_match_size_of_odd_images(spark):
+    sizes = [(0, 5), (5, 0), (None, 5), (5, None), (-1, 5), (3200, 1600), (10, 20)]
+    rows = recognition.with_match_size(spark.createDataFrame(sizes, "img_w int, img_h int")).collect()
+    assert [(r.match_w, r.match_h, r.scale) for r in rows[:5]] == [(None, None, None)] * 5
+    assert [(r.match_w, r.match_h, r.scale) for r in rows[5:]] == [(1600, 800, 0.5), (10, 20, 1.0)]
 
 
 def test_classifier_learns_people(spark):

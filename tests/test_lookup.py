@@ -266,8 +266,9 @@ def test_plan_of_missing_renditions(spark):
 
     w = "/work/7_w20_h30_s0_a90_m1.jpg"
     assert lines("7") == [
-        f"1 dcraw -dcbe -w -T {w}/x.y.CR2",
-        f"2 convert {w}/x.y.tiff -set optionsion:filter:blur 0.8 -filter Lagrange -strip -rotate -90 +repage"
+        f"1 ln -s /in/x.y.CR2 {w}/x.y.CR2",
+        f"2 dcraw -dcbe -w -T {w}/x.y.CR2",
+        f"3 convert {w}/x.y.tiff -set optionsion:filter:blur 0.8 -filter Lagrange -strip -rotate -90 +repage"
         f" -resize 20x -gravity Center -crop 20x30+0+0 +repage -quality 91 -flop +repage {w}/image2image.jpg",
     ]
     first, second = lines("8")
@@ -281,6 +282,9 @@ def test_plan_of_missing_renditions(spark):
     assert [x.split()[1] for x in lines("11")] == ["unoconv", "convert", "convert", "convert"]
     assert "-resize 20x -quality" in lines("11")[3]
     assert lines("12") == [] and plans["12"].error is None
+    assert plans["12"].result == "/in/d.pdf" and plans["7"].result == f"{w}/image2image.jpg"
+    assert plans["8"].result == "/work/8_w20_h0_s0_a-90_m0.webm/video2video_pass2.webm"
+    assert plans["13"].result is None
     assert plans["13"].error == (
         'Unknown conversion path from source type to destination type "document", mimetype is '
         '"audio/mpeg and filename is /in/s.mp3'
@@ -290,16 +294,42 @@ def test_plan_of_missing_renditions(spark):
 def test_position_given_as_text(spark):
     rows = table(spark, [request(1, filename="/in/v.avi")]).withColumn("timeindex", F.lit("00:00:05"))
     sources = media(spark, ("/in/v.avi", "video/avi", 560, 320, None))
-    (row,) = render.plan(rows, stored(spark, "x"), sources, "/cache").collect()
+    (row,) = render.plan(rows, stored(spark, "x"), sources, "/cache", "/work").collect()
     assert row.steps[0].args[2:4] == ["-ss", "00:00:05"]
 
 
 def test_expressions_stay_in_the_jvm(spark):
     """No Python in the plans of requests."""
     sources = media(spark, ("/in/a.jpg", "image/jpeg", 350, 150, None))
-    planned = render.plan(table(spark, [request(1)]), stored(spark, "x"), sources, "/cache")
+    planned = render.plan(table(spark, [request(1)]), stored(spark, "x"), sources, "/cache", "/work")
     assert "Python" not in planned._jdf.queryExecution().executedPlan().toString()
 
 
 def test_routes(spark):
     assert routing.route_table(spark).count() == 7 == len(steps.CONVERTERS)
+
+
+def test_requests_that_cannot_be_keyed(spark):
+    rows = [request(1, id=None), request(2, id=None, type_="video"), request(3)]
+    keyed = lookup.with_key(table(spark, rows), "/cache")
+    got = {r.request_id: (r.filepath, r.error) for r in keyed.collect()}
+    assert got[1] == got[2] == (None, "Missing id") and got[3][1] is None
+    jobs = lookup.single_flight(keyed).collect()
+    assert [r.waiters for r in jobs] == [1] and jobs[0].filepath is not None
+    sized = table(spark, rows).withColumn("size_error", F.when(F.col("request_id") == 3, "bad size"))
+    assert {r.error for r in lookup.with_key(sized, "/cache").collect()} == {"Missing id", "bad size"}
+
+
+def test_only_missing_renditions_meet_sources(spark):
+    rows = [request(i, id=str(i % 4), filename=f"/in/{i % 2}") for i in range(40)]
+    rows += [request(100, id="9", filename="/gone"), request(101, id="9", filename="/in/1")]
+    sources = media(spark, *((f"/in/{i}", "image/jpeg", 350, 150, None) for i in range(2)))
+    keyed = lookup.valid(lookup.with_key(table(spark, rows), "/cache"))
+    names = {r.name for r in keyed.select("name").distinct().collect()}
+    kept = stored(spark, *sorted(n for n in names if n[0] in "012"))
+    jobs = {r.filepath: r for r in render.jobs_to_render(table(spark, rows), kept, sources, "/cache").collect()}
+    assert {p.split("/")[-1][0] for p in jobs} == {"3", "9"}
+    nine = next(r for p, r in jobs.items() if p.split("/")[-1][0] == "9")
+    assert (nine.request_id, nine.filename, nine.waiters) == (101, "/in/1", 1)
+    three = next(r for p, r in jobs.items() if p.split("/")[-1][0] == "3")
+    assert (three.request_id, three.waiters) == (3, 10)

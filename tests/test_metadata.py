@@ -215,7 +215,8 @@ def test_files_on_disk(spark, tmp_path):
     sums = {r.path.split("/")[-1]: r for r in inventory.checksum_stream(files, ["sha1", "md5"]).collect()}
     assert sums["notes.txt"].md5 == hashlib.md5(b"n").hexdigest()
     assert sums["7_w20_h0_s0_a0_m0.jpg"].sha1 == hashlib.sha1(body).hexdigest()
-    (row,) = manifest.manifest_rows(listing).collect()
+    row, other = sorted(manifest.manifest_rows(listing).collect(), key=lambda r: r.name)
+    assert other.error == "Not a rendition key" and other.type is None
     assert (row.id, row.width, row.type, row.mirror) == ("7", 20, "image", False)
     with pytest.raises(ValueError):
         inventory.checksum(c("content"), "crc")
@@ -228,8 +229,12 @@ def test_manifest_on_disk(spark, tmp_path):
     rows = manifest.manifest_rows(listing)
     manifest.write_manifest(rows, path)
     back = manifest.read_manifest(spark, path)
-    assert back.count() == 60
-    assert sorted(back.collect()) == sorted(rows.select(*back.columns).collect())
+    assert back.count() == 80
+    assert back.where("error IS NULL").count() == 60
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.select(*back.columns).collect()))
+    manifest.write_manifest(rows, path)
+    assert back.sparkSession.read.parquet(path).count() == 160
+    assert manifest.read_manifest(spark, path).count() == 80
     plan = back.where("type = 'image' AND id = '3'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(type" in plan and "EqualTo(id,3)" in plan
 
@@ -238,7 +243,9 @@ def test_dumps_on_disk(spark, tmp_path):
     lines = [json.dumps([{"SourceFile": f"/f{i}", "MIMEType": "image/png"}]) for i in range(3)]
     (tmp_path / "a.json").write_text("\n".join([*lines, "[{broken"]))
     table = dumps.exif_table(dumps.read_dumps(spark, str(tmp_path)))
-    assert sorted((r.path, r.MIMEType) for r in table.collect()) == [(f"/f{i}", "image/png") for i in range(3)]
+    *good, bad = sorted(table.collect(), key=lambda r: (not r.exif_ok, r.path))
+    assert [(r.path, r.MIMEType, r.bad_dump) for r in good] == [(f"/f{i}", "image/png", None) for i in range(3)]
+    assert (bad.path, bad.bad_dump, bad.MIMEType) == (None, "[{broken", None)
     (tmp_path / "whole").mkdir()
     (tmp_path / "whole" / "b.json").write_text('[{\n "SourceFile": "/g",\n "Model": 3\n}]')
     (row,) = dumps.exif_table(dumps.read_dumps(spark, str(tmp_path / "whole"), whole_files=True)).collect()
@@ -257,6 +264,9 @@ def test_loosely_typed_requests(spark, tmp_path):
         {"request_id": 2, "id": "x", "type": "image", "angle": "90abc", "mirror": "false", "timeindex": 0},
         {"request_id": 3, "id": "x", "type": "image", "angle": 0, "mirror": False, "timeindex": "00:01"},
         {"request_id": 4, "id": "x", "type": "image", "mirror": None, "width": 20},
+        {"request_id": 5, "id": "x", "type": "image", "width": "20", "height": 0},
+        {"request_id": 6, "id": "x", "type": "image", "width": 20.5, "height": "tall"},
+        {"request_id": 7, "id": "x", "type": "image", "width": "", "height": False},
     ]
     (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)))
     rows = {r.request_id: r for r in requests.read_requests(spark, str(tmp_path)).collect()}
@@ -264,6 +274,8 @@ def test_loosely_typed_requests(spark, tmp_path):
         ("90", "true", "1.5"), ("90abc", "false", None), (None, None, "00:01"), (None, None, None),
     ]
     assert rows[1].id == "7" and rows[4].width == 20
+    assert [(rows[i].width, rows[i].height) for i in (5, 6, 7)] == [(20, 0), (None, None), (None, None)]
+    assert [rows[i].size_error for i in (4, 5, 6, 7)] == [None, None, "Sizes are whole numbers, not 20.5", None]
     assert requests.stream_requests(spark, str(tmp_path)).isStreaming
 
 
