@@ -9,8 +9,13 @@ from catalens.sources.shared import shared_folder
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
-    """The table, written once, so that what follows does not depend on how it came about."""
+    """The table, written once, so that what follows does not depend on how it came about.
+
+    Spark deletes the shuffle files behind it when the driver collects its garbage, which may be long
+    after; asking for that here keeps the disk free for the next step.
+    """
     df.write.mode("overwrite").parquet(folder)
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

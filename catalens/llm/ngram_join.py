@@ -3,10 +3,13 @@
 All n-grams stand in one global order, rare ones first. Two sets can only reach the threshold if they
 share an n-gram within the first few of each, their prefixes, so only such pairs are looked at. The
 order is cut into fragments of equal weight, and a set into segments, one per fragment. A pair's
-overlaps are counted segment by segment and summed; the sum decides.
+overlaps are counted segment by segment and summed; the sum decides. Prefixes are a third longer than
+they must be: similar sets then share several n-grams of theirs, and only sets that share so many with
+others are ever cut into segments.
 
-The order comes from a sketch: document frequencies in counters of fixed number, counted over all
-documents. It only steers which n-grams are rare, never what is found.
+The order comes first from a sketch: document frequencies in counters of fixed number, counted over all
+documents. It only steers which n-grams are rare, never what is found. The sets that remain are ordered
+anew by the exact frequencies of their n-grams.
 
 Documents with equal sets are one node. Links inside a group need not all be found, so a few rounds
 first link every node with one leader that shares most of its prefix, a number of pairs that grows with
@@ -30,7 +33,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.llm.columns import NOT_SPACE, fresh
@@ -76,9 +79,29 @@ def ngrams(text: str | None, n: int, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def prefix_length(n: int, threshold: Fraction) -> int:
-    """So many of the first n-grams hold one of every set that is similar enough."""
-    return n - -(-n * threshold.numerator // threshold.denominator) + 1 if n else 0
+def _least(n, t: Fraction):
+    """Least whole number that is not below ``t * n``."""
+    return -(-n * t.numerator // t.denominator)
+
+
+def prefix_length(n, t: Fraction):
+    """Length of a prefix: a third more than what must hold one n-gram of every similar set.
+
+    With the longer prefix a similar set must share several, which few other sets do.
+    """
+    return np.minimum(n, -(-4 * (n - _least(n, t) + 1) // 3))
+
+
+def shared_at_least(n: int, t: Fraction) -> int:
+    """So many n-grams of its prefix a set of n must share with the prefix of any similar set.
+
+    Two sets of n and m need an overlap of t / (1 + t) * (n + m). What they share beyond both prefixes
+    is no more than the rest of the set whose prefix ends first.
+    """
+    m = np.arange(_least(n, t), n * t.denominator // t.numerator + 1)
+    overlap = -(-(n + m) * t.numerator // (t.numerator + t.denominator))
+    rest = np.maximum(n - prefix_length(n, t), m - prefix_length(m, t))
+    return max(1, int((overlap - rest).min()))
 
 
 def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -137,25 +160,37 @@ def ordered(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
 def _profiles(n: int, threshold: Fraction, levels: np.ndarray, bits: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()),
-         ("keys", pa.list_(pa.int64()))]
+         ("need", pa.int32()), ("rest", pa.int32()), ("keys", pa.list_(pa.int64()))]
     )
 
     def run(batches):
-        hashes = _word_hashes()
+        hashes, needs = _word_hashes(), {}
+        seen: set[int] = set()  # copies within a task give their n-grams once
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, need, rest, keys = [], [], [], [], []
+                if len(seen) > 1 << 20:
+                    seen.clear()
                 for text in part.column(2):
                     grams = ngrams(text.as_py(), n, hashes)
                     order = ordered(grams, levels, bits)
                     sizes.append(len(grams))
                     digest = xxhash.xxh3_64_digest(order.tobytes())
-                    nodes.append(int.from_bytes(digest, signed=True) if len(grams) else None)
-                    keys.append(order[: prefix_length(len(order), threshold)].view(np.int64))
+                    node = int.from_bytes(digest, signed=True) if len(grams) else None
+                    nodes.append(node)
+                    size = len(order)
+                    if size not in needs:
+                        needs[size] = shared_at_least(size, threshold) if size else 0
+                    need.append(needs[size])
+                    first = int(prefix_length(size, threshold)) if size else 0
+                    rest.append(size - first)
+                    keys.append(order[: 0 if node in seen else first].view(np.int64))
+                    seen.add(node)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()),
-                     pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                     pa.array(nodes, pa.int64()), pa.array(need, pa.int32()), pa.array(rest, pa.int32()),
+                     pa.array(keys, pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
@@ -206,7 +241,7 @@ def _counted(pairs: DataFrame, segments: DataFrame, t: Fraction) -> DataFrame:
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
     return (
         pairs.join(left, "a").join(right, ["b", "fragment"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+        .select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("part"))
         .groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("inter"))
         .filter(_enough(F.col("inter"), F.col("na"), F.col("nb"), t))
         .select("a", "b")
@@ -242,10 +277,6 @@ def _leader_pairs(keys: DataFrame, comps: DataFrame, seed: int, t: Fraction) ->
     )
 
 
-def _prefix(n, t: Fraction):
-    return n - F.ceil(n * t.numerator / t.denominator - 1e-9) + 1
-
-
 def _cross_pairs(keys: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of nodes in different groups whose shared prefix n-grams suffice.
 
@@ -259,19 +290,50 @@ def _cross_pairs(keys: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
     met = groups.select("key", F.col("comp").alias("ca")).join(
         groups.select("key", F.col("comp").alias("cb")), "key"
     ).filter("ca < cb")
-    left = placed.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
-    right = placed.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    left, right = (
+        placed.select("key", F.col("comp").alias(f"c{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"),
+                      F.col("rest").alias(f"r{x}"))
+        for x in "ab"
+    )
     pairs = (
         met.join(left, ["key", "ca"]).join(right, ["key", "cb"])
         .filter(_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), t))
-        .groupBy("a", "b", "na", "nb").count()
+        .groupBy("a", "b", "na", "nb", "ra", "rb").count()
     )
-    rest = F.greatest(
-        F.col("na") - _prefix(F.col("na"), t), F.col("nb") - _prefix(F.col("nb"), t)
+    most = F.col("count") + F.greatest("ra", "rb")
+    return pairs.filter(_enough(most, F.col("na"), F.col("nb"), t)).select("a", "b", "na", "nb")
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows (key, node, ...) whose n-gram another node has as well."""
+    w = Window.partitionBy("key")
+    ends = keys.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
+    return ends.filter("lo <> hi").drop("lo", "hi")
+
+
+def _rare_prefixes(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node: prefixes in the order of exact frequencies among the nodes of the segments.
+
+    An edit makes n-grams that no other set has. They come first, so a copy with many edits has
+    a prefix that is all its own and meets no other.
+    """
+    grams = segments.select("node", F.explode("grams").alias("key"))
+    often = grams.withColumn("df", F.count("*").over(Window.partitionBy("key"))).filter("df > 1")
+    mine = Window.partitionBy("node")
+    placed = often.join(nodes, "node").withColumns(
+        {
+            "unique": F.col("n") - F.count("*").over(mine),
+            "rank": F.row_number().over(mine.orderBy("df", "key")),
+        }
     )
-    return pairs.filter(
-        _enough(F.col("count") + rest, F.col("na"), F.col("nb"), t)
-    ).select("a", "b", "na", "nb")
+    return placed.filter("unique + rank <= n - rest").select("key", "node")
+
+
+def _likely(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n, rest of the nodes that share enough of their prefix to have a similar set."""
+    rows = shared.select("key", "node").distinct()
+    counts = rows.groupBy("node").count().join(nodes, "node").filter("count >= need")
+    return rows.join(counts.select("node", "n", "rest"), "node")
 
 
 def ngram_groups(
@@ -283,7 +345,7 @@ def ngram_groups(
     text: str = "text",
     fragments: int = 4,
     sketch_bits: int = 20,
-    leader_rounds: int = 3,
+    leader_rounds: int = 2,
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, group and component_id per document.
 
@@ -299,33 +361,34 @@ def ngram_groups(
     profiles = written(
         rows.mapInArrow(
             _profiles(n, threshold, levels, sketch_bits),
-            "doc_id long, text_key long, n long, node long, keys array<long>",
+            "doc_id long, text_key long, n long, node long, need int, rest int, keys array<long>",
         ),
         f"{folder}/profiles",
     )
-    # Prefix n-grams that different nodes share.
-    each = profiles.select(F.explode("keys").alias("key"), "node", "n")
-    shared = (
-        each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .filter("lo <> hi").select("key")
-    )
-    keys = written(each.join(shared, "key").dropDuplicates(["key", "node"]), f"{folder}/keys")
+    # Prefix n-grams that different nodes share; twice, as nodes without a chance take theirs along.
+    nodes = profiles.filter("node IS NOT NULL").select("node", "n", "need", "rest").distinct()
+    each = profiles.select(F.explode("keys").alias("key"), "node")
+    shared = written(_shared(each), f"{folder}/shared")
+    likely = written(_likely(shared, nodes), f"{folder}/likely")
+    near = written(_likely(_shared(likely), nodes), f"{folder}/near")
     # One text per node that shares any.
     chosen = (
         profiles.select("node", "doc_id", "text_key")
-        .join(keys.select("node").distinct(), "node", "left_semi")
+        .join(near.select("node").distinct(), "node", "left_semi")
         .groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("r"))
         .select("node", "r.text_key", "r.doc_id")
     )
     same = (rows["text_key"] == chosen["text_key"]) & rows["doc_id"].eqNullSafe(chosen["doc_id"])
     sets = rows.join(chosen, same).select("node", "text")
-    segments = written(
-        sets.mapInArrow(
-            _segments(n, levels, sketch_bits, pivots(levels, fragments)),
-            "node long, fragment int, grams array<long>",
-        ).dropDuplicates(["node", "fragment"]),
-        f"{folder}/segments",
+    parts = sets.mapInArrow(
+        _segments(n, levels, sketch_bits, pivots(levels, fragments)),
+        "node long, fragment int, grams array<long>",
     )
+    if not profiles.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        parts = parts.dropDuplicates(["node", "fragment"])  # equal rows give equal segments
+    segments = written(parts, f"{folder}/segments")
+    rare = written(_rare_prefixes(segments, nodes), f"{folder}/rare")
+    keys = written(_likely(_shared(rare), nodes), f"{folder}/keys")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     comps = docs.sparkSession.createDataFrame([], "node long, comp long")
     for k in range(leader_rounds + 1):
