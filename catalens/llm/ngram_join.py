@@ -255,7 +255,12 @@ def _leader_pairs(keys: DataFrame, comps: DataFrame, seed: int, t: Fraction) ->
     first one of another group than that.
     """
     placed = keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    me = F.struct(F.xxhash64("node", F.lit(seed)).alias("o"), "node", "n", "comp")
+    # Copies with few n-grams of their own lead first: they are near to most others.
+    own = F.bin(F.col("n") - F.col("common") + 1)
+    me = F.struct(
+        F.length(own).alias("own"), F.xxhash64("node", F.lit(seed)).alias("o"), "node", "n",
+        "comp", F.col("common").alias("v"),
+    )
     one = placed.groupBy("key").agg(
         F.min(me).alias("one"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
@@ -266,8 +271,11 @@ def _leader_pairs(keys: DataFrame, comps: DataFrame, seed: int, t: Fraction) ->
     led = both.join(two, "key").withColumn(
         "leader", F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one"))
     )
-    votes = led.groupBy("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("nto")).count()
-    near = votes.filter(_enough(F.least("n", "nto"), F.col("n"), F.col("nto"), t))
+    votes = led.groupBy(
+        "node", "n", F.col("common").alias("v"), F.col("leader.node").alias("to"),
+        F.col("leader.n").alias("nto"), F.col("leader.v").alias("vto"),
+    ).count()
+    near = votes.filter(_enough(F.least("v", "vto"), F.col("n"), F.col("nto"), t))
     best = near.groupBy("node", "n").agg(
         F.max(F.struct("count", "to", "nto")).alias("best")
     )
@@ -284,20 +292,24 @@ def _cross_pairs(keys: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
     """
     placed = keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Groups meet first, so that a group's own members never do.
-    groups = placed.select("key", "comp").distinct()
+    groups = placed.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("common").alias("v"))
     mixed = groups.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     groups = groups.join(mixed, "key")
-    met = groups.select("key", F.col("comp").alias("ca")).join(
-        groups.select("key", F.col("comp").alias("cb")), "key"
-    ).filter("ca < cb")
+    one, other = (
+        groups.select("key", F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+        for x in "ab"
+    )
+    # Not even the sets with most n-grams in common with any could overlap enough.
+    able = _enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t)
+    met = one.join(other, "key").filter((F.col("ca") < F.col("cb")) & able).select("key", "ca", "cb")
     left, right = (
         placed.select("key", F.col("comp").alias(f"c{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"),
-                      F.col("rest").alias(f"r{x}"))
+                      F.col("rest").alias(f"r{x}"), F.col("common").alias(f"v{x}"))
         for x in "ab"
     )
     pairs = (
         met.join(left, ["key", "ca"]).join(right, ["key", "cb"])
-        .filter(_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), t))
+        .filter(_enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t))
         .groupBy("a", "b", "na", "nb", "ra", "rb").count()
     )
     most = F.col("count") + F.greatest("ra", "rb")
@@ -312,7 +324,9 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def _rare_prefixes(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node: prefixes in the order of exact frequencies among the nodes of the segments.
+    """key, node, common: prefixes in the order of exact frequencies among the nodes of the segments.
+
+    common: n-grams of the node that any other has, which bounds its overlap with each.
 
     An edit makes n-grams that no other set has. They come first, so a copy with many edits has
     a prefix that is all its own and meets no other.
@@ -322,18 +336,18 @@ def _rare_prefixes(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("node")
     placed = often.join(nodes, "node").withColumns(
         {
-            "unique": F.col("n") - F.count("*").over(mine),
+            "common": F.count("*").over(mine).cast("int"),
             "rank": F.row_number().over(mine.orderBy("df", "key")),
         }
     )
-    return placed.filter("unique + rank <= n - rest").select("key", "node")
+    return placed.filter("n - common + rank <= n - rest").select("key", "node", "common")
 
 
 def _likely(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node, n, rest of the nodes that share enough of their prefix to have a similar set."""
+    """key, node and the columns of ``nodes`` (n, rest) of the nodes that share enough of their prefix to have a similar set."""
     rows = shared.select("key", "node").distinct()
     counts = rows.groupBy("node").count().join(nodes, "node").filter("count >= need")
-    return rows.join(counts.select("node", "n", "rest"), "node")
+    return rows.join(counts.drop("need", "count"), "node")
 
 
 def ngram_groups(
@@ -388,7 +402,8 @@ def ngram_groups(
         parts = parts.dropDuplicates(["node", "fragment"])  # equal rows give equal segments
     segments = written(parts, f"{folder}/segments")
     rare = written(_rare_prefixes(segments, nodes), f"{folder}/rare")
-    keys = written(_likely(_shared(rare), nodes), f"{folder}/keys")
+    common = nodes.join(rare.select("node", "common").distinct(), "node")
+    keys = written(_likely(_shared(rare), common), f"{folder}/keys")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     comps = docs.sparkSession.createDataFrame([], "node long, comp long")
     for k in range(leader_rounds + 1):
