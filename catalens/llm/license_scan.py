@@ -2,11 +2,12 @@
 
 Templates are short notices. Their words and positions form an index, and every word of it has an IDF
 counted over all documents. A file's licence words are compared with each template's by weight, an
-upper bound that most files fail. For the others the file's highest-IDF licence words are looked up in
-the postings; occurrences that agree in file position minus template position vote together, and the
-weight of the words that meet at the best relative position is the template's score. A label is given
-if the score reaches a threshold and one of the template's key phrases stands in the file. Phrases
-that name a licence outright are found by themselves as base labels.
+upper bound that most files fail. For each of the others, its highest-IDF words are looked up wherever
+they stand in the file, however many notices it holds; occurrences that agree in file position minus
+template position vote together, and the weight of the words that meet at the best relative position
+is the template's score. A label is given if the score reaches a threshold and one of the template's
+key phrases stands in the file. Phrases that name a licence outright are found by themselves as base
+labels.
 
 Everything is a column expression but the IDFs, one number per word of the templates, which the driver
 reads. Null text counts as empty: no words, no labels, score 0. Repeated rows and null or equal ids need
@@ -149,7 +150,7 @@ class LicenceIndex:
             F.array(*(enough(k) for k in range(len(self.templates)))), lambda k: k.isNotNull()
         )
 
-    def scores(self, words: Column, own: Column, candidates: Column) -> Column:
+    def scores(self, words: Column, candidates: Column) -> Column:
         """Per candidate: template number and the greatest share of weight at one relative position."""
         postings: dict[str, list[tuple[int, int]]] = {}
         for k, ws in enumerate(self.words):
@@ -167,20 +168,9 @@ class LicenceIndex:
         )
         weights = _literal_map([(F.lit(w), F.lit(v)) for w, v in self.idf.items()])
         totals = F.array(*(F.lit(self.weight(self.rarest(ws))) for ws in self.words))
-        known = F.array(*map(F.lit, postings))
-
-        rarest_of_file = F.slice(
-            F.transform(
-                F.array_sort(
-                    F.transform(
-                        F.array_intersect(known, own),
-                        lambda w: F.struct((-weights[w]).alias("v"), w.alias("w")),
-                    )
-                ),
-                lambda x: x["w"],
-            ),
-            1,
-            2 * self.top_words,
+        rarest = F.array(*(F.array(*map(F.lit, self.rarest(ws))) for ws in self.words))
+        sought_words = F.array_distinct(
+            F.flatten(F.transform(candidates, lambda k: F.get(rarest, k)))
         )
 
         def votes(sought: Column) -> Column:
@@ -217,7 +207,7 @@ class LicenceIndex:
             )
 
         best = F.aggregate(
-            let(rarest_of_file, votes),
+            let(sought_words, votes),
             F.struct(
                 F.lit(-1).alias("k"), F.lit(0).alias("at"), F.lit("").alias("w"),
                 F.lit(0.0).alias("sum"),
@@ -254,7 +244,7 @@ def scan_licences(
 
     score: the greatest share of a labelled template's weight found in place; where only a base phrase
     stands in the file, ``threshold``; else 0. ``top_words``: a template is weighed by so many of its
-    rarest words; of a file, the rarest twice as many licence words are looked up.
+    rarest words, and all of them are looked up in every file that can reach its threshold.
     """
     index = LicenceIndex(templates, measure_idf(docs, templates, text), top_words)
     known = F.array(*map(F.lit, vocabulary(templates)))
@@ -277,7 +267,7 @@ def scan_licences(
                     F.array_intersect(known, words),
                     lambda own: let(
                         index.candidates(own, threshold),
-                        lambda c: F.when(F.size(c) > 0, _labelled(line, index.scores(words, own, c)))
+                        lambda c: F.when(F.size(c) > 0, _labelled(line, index.scores(words, c)))
                         .otherwise(F.array().cast("array<struct<label:string,score:double>>")),
                     ),
                 ).alias("found"),

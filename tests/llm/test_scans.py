@@ -186,5 +186,41 @@ def test_licence_templates(spark):
     assert all(not found[i].labels and found[i].score == 0 for i in [*range(100, 120), 200])
 
 
+def _notices(words, idf, top_words=8, threshold=0.6):
+    """Labels and greatest score by trying every relative position of every template."""
+    line = f" {' '.join(words)} "
+    labels, score = {label for phrase, label in license_scan.BASE if f" {phrase} " in line}, 0.0
+    for t in license_scan.TEMPLATES:
+        own = license_scan._words(t.text)
+        rare = sorted(set(own), key=lambda w: (-idf[w], w))[:top_words]
+        best = max(
+            sum(idf[w] for w in rare if any(x == w and 0 <= at + p < len(words) and words[at + p] == w
+                                            for p, x in enumerate(own)))
+            for at in range(-len(own), len(words))
+        ) / sum(idf[w] for w in rare)
+        if best >= threshold and any(f" {key} " in line for key in t.keys):
+            labels.add(t.label)
+            score = max(score, best)
+    return labels, score
+
+
+def test_several_notices_in_one_file(spark):
+    texts = [t.text for t in license_scan.TEMPLATES]
+    filler = "boats came in again until the evening "
+    rng = random.Random(5)
+    rows = [(0, " ".join(texts)), (1, filler.join(texts)), (2, " ".join(reversed(texts)))]
+    rows += [(10 + i, filler.join(rng.sample(texts, rng.choice([2, 3, 4, 6])))) for i in range(30)]
+    rows += [(100 + i, filler * (i + 1)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = {w: max(v, 1e-3) for w, v in license_scan.measure_idf(docs, license_scan.TEMPLATES).items()}
+    for r in license_scan.scan_licences(docs).collect():
+        labels, score = _notices(license_scan._words(r.text), idf)
+        assert set(r.labels) == labels, r.doc_id
+        # A base phrase alone scores the threshold.
+        assert math.isclose(r.score, min(max(score, 0.6 * (r.n_base > 0)), 1.0), abs_tol=1e-9)
+        if r.doc_id < 3:
+            assert labels >= {t.label for t in license_scan.TEMPLATES}
+
+
 def test_licences_in_an_empty_table(spark):
     assert license_scan.scan_licences(_table(spark, []).filter("false")).count() == 0
