@@ -4,7 +4,11 @@ Base kinds are matches of fixed patterns. The entropy kinds look at candidate st
 of one character class. A window moves over a candidate; the counts of its characters change by the
 one that leaves and the one that enters, and with them the sum of c * log2(c), from which the
 window's Shannon entropy follows. Windows at or above the class's threshold are joined into spans.
-Candidates on the allow-list, and spans that touch a base span, are left out.
+Windows that meet an allow-listed part of their candidate are left out, and so are spans within base
+spans or within spans of a class listed before. Each kind of token has a class: hex, base64, small letters
+with or without digits, capitals likewise, letters of both cases; from 20 characters on (hex 24). A
+candidate is dropped before its entropy is looked at only if it reads like plain words: letters and
+digits do not alternate, and fewer than three pairs of letters are ones that words hardly have.
 
 Everything is a column expression. Null text counts as empty and has no spans. Rows are judged each by
 itself, so repeated rows and null or equal ids need no care. Positions are code points, end exclusive.
@@ -14,6 +18,7 @@ Columns of the input stay; an added one whose name clashes gets a leading unders
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +54,15 @@ class EntropyClass:
     needs: str
 
 
+#: Pairs of letters that words hardly have.
+_ODD = (
+    r"(?i:q[^u\W\d_]|j[b-df-hj-np-tv-z]|x[bdfgjkmnqrsvwxz]|v[bcdfghjkmnpqtwxz]|w[cgjpqvx]|z[bcdfgjknpqrsvx]"
+    r"|[b-df-hj-mp-tvwxz][jq]|[b-df-hj-mp-tvwz]x|b[cfgkpwz]|c[bdfgmnpvwz]|d[ckpz]|f[bcdghkmnpvwz]"
+    r"|g[bcfkpvz]|h[bcdfgkpvz]|k[cdfgpvz]|m[cdfghkrvwz]|p[bcdgkmvwz]|[bfgmpvwz]k|[cfgjkmpqvxz]v|[jqxv]w)"
+)
+#: Candidates that are more than plain words.
+_NO_WORDS = rf"[A-Za-z][0-9]+[A-Za-z]+[0-9]|[0-9][A-Za-z]+[0-9]+[A-Za-z]|{_ODD}.*?{_ODD}.*?{_ODD}"
+_DIGEST = "".join(rf"(?<!{a}{n}-)" for a in ("sha", "SHA") for n in (1, 256, 384, 512))
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (
     EntropyClass(
@@ -58,15 +72,35 @@ CLASSES = (
     EntropyClass(
         "entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}",
         _LETTERS + _LETTERS.lower() + "0123456789+/_-", 24, 3.91,
-        r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])",
+        rf"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])|{_NO_WORDS}",
+    ),
+    EntropyClass(
+        "entropy_short_hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,31}(?![0-9A-Fa-f])",
+        "0123456789abcdefABCDEF", 24, 3.02, r"[0-9].*[a-fA-F]|[a-fA-F].*[0-9]",
+    ),
+    EntropyClass(
+        "entropy_short_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,23}(?![A-Za-z0-9+/_-])",
+        _LETTERS + _LETTERS.lower() + "0123456789+/_-", 20, 3.65, _NO_WORDS,
+    ),
+    EntropyClass(
+        "entropy_small", rf"(?<![A-Za-z0-9])(?=[a-z0-9]{{20}}){_DIGEST}[a-z0-9]{{20,}}(?![A-Za-z0-9])",
+        _LETTERS.lower() + "0123456789", 20, 3.25, _NO_WORDS,
+    ),
+    EntropyClass(
+        "entropy_capital", rf"(?<![A-Za-z0-9])(?=[A-Z0-9]{{20}}){_DIGEST}[A-Z0-9]{{20,}}(?![A-Za-z0-9])",
+        _LETTERS + "0123456789", 20, 3.25, _NO_WORDS,
+    ),
+    EntropyClass(
+        "entropy_letters", rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{20}}){_DIGEST}[A-Za-z]{{20,}}(?![A-Za-z0-9])",
+        _LETTERS + _LETTERS.lower(), 20, 3.55, _NO_WORDS,
     ),
 )
-#: Candidates that are no secrets: identifiers with dashes in their usual places, digests under their
+#: Parts of candidates that are no secrets: identifiers with dashes in their usual places, digests under their
 #: name, documentation samples, sequences of letters or digits in order.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme",
-    r"(?i)^sha(1|256|384|512)-",
+    r"(?i)^sha(1|256|384|512)-.*",
     r"(?i)abcdefghij|0123456789",
 )
 KINDS = tuple(kind for kind, *_ in BASE) + tuple(c.kind for c in CLASSES)
@@ -130,7 +164,10 @@ def _clog(count: Column) -> Column:
 
 
 def hot_windows(candidate: Column, c: EntropyClass) -> Column:
-    """Spans (start, end) within a candidate that windows of high entropy cover."""
+    """Spans (start, end) within a candidate that windows of high entropy cover.
+
+    A window that holds a character outside the alphabet is never hot.
+    """
     size = len(c.alphabet)
     # A window's entropy is log2(window) - sum / window, so the threshold bounds the sum.
     most = (math.log2(c.window) - c.bits) * c.window
@@ -139,7 +176,7 @@ def hot_windows(candidate: Column, c: EntropyClass) -> Column:
     def step(a: Column, i: Column) -> Column:
         new = F.substring(candidate, i, F.lit(1))
         old = F.substring(candidate, i - c.window, F.lit(1))
-        k_in = F.instr(F.lit(c.alphabet), new) - 1
+        k_in = F.instr(F.lit(c.alphabet), new) - 1  # -1 outside the alphabet
         k_out = F.when(i > c.window, F.instr(F.lit(c.alphabet), old) - 1).otherwise(F.lit(-1))
 
         def moved(k: Column) -> Column:
@@ -151,16 +188,17 @@ def hot_windows(candidate: Column, c: EntropyClass) -> Column:
             ).otherwise(n)
 
             def entered(m: Column) -> Column:
-                was = F.get(m, i_in)
+                was = F.coalesce(F.get(m, i_in), F.lit(0))
+                bad = F.when(i_in < 0, i.cast("int")).otherwise(a["bad"])
                 total = (
                     a["sum"]
                     - F.when(i_out >= 0, _clog(less) - _clog(less - 1)).otherwise(F.lit(0.0))
-                    + _clog(was + 1) - _clog(was)
+                    + F.when(i_in >= 0, _clog(was + 1) - _clog(was)).otherwise(F.lit(0.0))
                 )
                 counts = F.transform(m, lambda v, j: F.when(j == i_in, v + 1).otherwise(v))
                 start = (i - c.window).cast("int")
                 last = F.get(a["spans"], F.size(a["spans"]) - 1)
-                hot = (i >= c.window) & (total <= most)
+                hot = (i - bad >= c.window) & (total <= most)
                 spans = (
                     F.when(~hot, a["spans"])
                     .when(
@@ -178,7 +216,8 @@ def hot_windows(candidate: Column, c: EntropyClass) -> Column:
                     )
                 )
                 return F.struct(
-                    counts.alias("n"), total.alias("sum"), spans.cast(intervals).alias("spans")
+                    counts.alias("n"), total.alias("sum"), spans.cast(intervals).alias("spans"),
+                    bad.alias("bad"),
                 )
 
             return let(left, entered)
@@ -191,6 +230,7 @@ def hot_windows(candidate: Column, c: EntropyClass) -> Column:
             F.array_repeat(F.lit(0), size).alias("n"),
             F.lit(0.0).alias("sum"),
             F.array().cast(intervals).alias("spans"),
+            F.lit(0).alias("bad"),
         ),
         step,
         lambda a: a["spans"],
@@ -201,7 +241,7 @@ def _entropy_spans(text: Column, c: EntropyClass, allowed: tuple[str, ...]) -> C
     run = f"{c.run}"
 
     def placed(found: Column) -> Column:
-        wanted = lambda m: m.rlike(c.needs) & ~_any(m, allowed)
+        wanted = lambda m: m.rlike(c.needs)
         spans = let(
             _starts(F.split(text, run, -1), found),
             lambda s: F.flatten(
@@ -210,7 +250,7 @@ def _entropy_spans(text: Column, c: EntropyClass, allowed: tuple[str, ...]) -> C
                     lambda m, i: F.when(
                         wanted(m),
                         F.transform(
-                            hot_windows(m, c),
+                            let(_masked(m, allowed), lambda x: hot_windows(x, c)),
                             lambda h: _span(c.kind, F.get(s, i) + h["start"], F.get(s, i) + h["end"]),
                         ),
                     ).otherwise(_no_spans()),
@@ -222,11 +262,22 @@ def _entropy_spans(text: Column, c: EntropyClass, allowed: tuple[str, ...]) -> C
     return let(F.regexp_extract_all(text, F.lit(run), F.lit(0)), placed)
 
 
-def _any(value: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for pattern in patterns:
-        out = out | value.rlike(pattern)
-    return out
+def _masked(value: Column, patterns: tuple[str, ...]) -> Column:
+    """The value with spaces in the place of all that the patterns match."""
+    # One alternation: a step per pattern makes the plan several times as long.
+    pattern = "|".join(f"(?:{p})" for p in patterns) or r"(?!)"
+
+    def blank(v: Column) -> Column:
+        blanks = F.transform(
+            F.regexp_extract_all(v, F.lit(pattern), F.lit(0)),
+            lambda m: F.repeat(F.lit(" "), F.length(m)),
+        )
+        pieces = F.zip_with(
+            F.split(v, pattern, -1), blanks, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))
+        )
+        return F.when(v.rlike(pattern), F.array_join(pieces, "")).otherwise(v)
+
+    return let(value, blank)
 
 
 def _sorted(spans: Column) -> Column:
@@ -245,12 +296,17 @@ def secret_spans(
     """Struct of arrays ``base`` and ``added`` of (kind, rank, start, end), each in text order."""
 
     def with_base(base: Column) -> Column:
-        added = F.concat(*(_entropy_spans(text, c, allowed) for c in classes))
+        # A text without any run that a window fits has no candidates.
+        every = re.escape("".join(sorted({x for c in classes for x in c.alphabet})))
+        added = F.when(
+            text.rlike(f"[{every}]{{{min(c.window for c in classes)}}}"),
+            F.concat(*(_entropy_spans(text, c, allowed) for c in classes)),
+        ).otherwise(_no_spans())
         clear = F.filter(
             added,
-            lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+            lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])),
         )
-        # A hex run is a base64 run as well; the narrower class names it.
+        # A hex run is a base64 run as well; the class listed first names it.
         return let(
             clear,
             lambda x: F.struct(
@@ -261,7 +317,7 @@ def secret_spans(
                         lambda s: ~F.exists(
                             x,
                             lambda o: (o["rank"] < s["rank"])
-                            & (o["start"] < s["end"]) & (s["start"] < o["end"]),
+                            & (o["start"] <= s["start"]) & (s["end"] <= o["end"]),
                         ),
                     )
                 ).alias("added"),

@@ -147,6 +147,53 @@ def test_secret_spans(spark):
     assert "550e8400" in next(r.clean for r in rows if r.text and r.text.startswith("550e"))
 
 
+def _planted(n):
+    """Strings of each class, by name and length, with the share of them that must be found."""
+    rng = random.Random(7)
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    sets = [
+        ("base36", low + dig, [(20, 0.9), (24, 0.95), (32, 0.95)]), ("base32", up + "234567", [(20, 0.9), (32, 0.95)]),
+        ("letters", low + up, [(20, 0.8), (32, 0.95)]), ("small", low, [(20, 0.8), (32, 0.95)]),
+        ("mixed", low + up + dig, [(20, 0.9), (22, 0.9), (32, 0.95)]), ("hex", dig + "ABCDEF", [(24, 0.95), (31, 0.95)]),
+    ]
+    return [
+        (f"{name}{size}", "".join(rng.choice(a) for _ in range(size)), share)
+        for name, a, sizes in sets for size, share in sizes for _ in range(n)
+    ]
+
+
+def test_every_kind_of_token_is_found(spark):
+    planted = _planted(100)
+    rows = [(f"See the notes ({s}) for the harbour.", kind, share) for kind, s, share in planted]
+    docs = spark.createDataFrame(rows, "text string, planted string, share double").repartition(8)
+    clean = secret_scan.redact(F.col("text"), F.col("all_spans"), "~")
+    gone = (F.size("all_spans") > 0).cast("int")
+    whole = (clean == "See the notes (~) for the harbour.").cast("int")
+    got = secret_scan.scan_secrets(docs).groupBy("planted").agg(
+        F.avg(gone).alias("found"), F.max("share").alias("share"), F.sum(whole).alias("whole")).collect()
+    for r in got:
+        assert r.found >= r.share and r.whole > 0, r
+
+
+def test_words_and_allowed_parts_are_no_secrets(spark):
+    rng = random.Random(8)
+    random_part = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    words = [
+        "Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "internationalization",
+        "createXmlRequestObjectFactory", "MAXIMUM_NUMBER_OF_CONNECTIONS", "counterrevolutionaries",
+        "docs/guides/getting-started-with-the-harbour", "entwicklungswerkzeug", "ELECTROENCEPHALOGRAPHICALLY",
+        "abcdefghijklmnopqrstuvwxyz", "550e8400-e29b-41d4-a716-446655440000",
+        "sha512-" + random_part, "incomprehensibilities2024", "antidisestablishmentarianism",
+    ]
+    rows = [(i, f"the {w} of it") for i, w in enumerate(words)] + [(100, f"the example{random_part} of it")]
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(
+        spark.createDataFrame(rows, "doc_id int, text string")
+    ).select("doc_id", secret_scan.span_text(F.col("all_spans")).alias("spans")).collect()}
+    assert not any(found[i] for i in range(len(words))), found
+    # All but the allow-listed word itself.
+    assert found[100].endswith(":11:51")
+
+
 def test_secrets_in_an_empty_table(spark):
     assert secret_scan.scan_secrets(_table(spark, []).filter("false")).count() == 0
 
