@@ -12,20 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm import line_dedup, ngram_join, packing, quality_rules, secret_scan
-from catalens.llm.columns import NOT_SPACE
+from catalens.llm.columns import NOT_SPACE, fresh
 from catalens.llm.query_tokens import tokenizer_file
 from catalens.sources.shared import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    judged, kept = quality_rules.apply_rules(docs), _added(docs, "kept")
+    return judged.filter(F.col(kept)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those that lose every word go."""
     deduped = line_dedup.dedup_lines(docs)
-    left = (F.col("n_deleted") == 0) | F.col("text").rlike(NOT_SPACE)
+    left = (F.col(_added(docs, "n_deleted")) == 0) | F.col("text").rlike(NOT_SPACE)
     return deduped.filter(left).withColumn("n_chars", _size()).select(*docs.columns)
 
 
@@ -37,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a mark in the place of every secret."""
     found = secret_scan.scan_secrets(docs)
-    clean = secret_scan.redact(F.col("text"), F.col("all_spans"))
+    clean = secret_scan.redact(F.col("text"), F.col(_added(docs, "all_spans")))
     return found.withColumn("text", clean).withColumn("n_chars", _size()).select(*docs.columns)
 
 
@@ -46,6 +47,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file())
 
 
+def _added(docs: DataFrame, name: str) -> str:
+    """Name that an operator gives to its column ``name`` where documents may have one like it."""
+    return fresh(docs, name)[0]
+
+
 def _size():
     return F.coalesce(F.length("text"), F.lit(0)).cast("long")
 

@@ -44,6 +44,29 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == set(ids(near))
 
 
+def test_columns_with_names_of_the_operators(spark):
+    def prose(k, n=60):
+        return " ".join(f"{'abcdefghij'[(i * (7 + k) + k) % 10]}word{(i * i * (3 + k) + k) % 997}x" for i in range(n))
+
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, prose(1)), (2, prose(1)), (3, "too short"), (4, prose(7) + f' token = "{secret}"')]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t), True, 5, [], [], "b") for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_deleted int,"
+        " all_spans array<struct<kind:string,rank:int,start:int,end:int>>, base_spans array<string>, body string",
+    )
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, "")
+    deduped = stages["line dedup"](spark, docs, "")
+    clean = stages["secret scans"](spark, docs, "")
+    assert kept.columns == deduped.columns == clean.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+    assert sorted(r.doc_id for r in deduped.collect()) == [1, 3, 4]
+    rows = clean.collect()
+    assert secret not in str(rows) and "[SECRET]" in str(rows)
+    assert all(r["kept"] and r.n_deleted == 5 and r.all_spans == [] and r.body == "b" for r in rows)
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame(
         [], "doc_id long, text string, lang string, source string, n_chars long"
