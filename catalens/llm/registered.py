@@ -1,6 +1,13 @@
 """All queries of the subpackage, by name."""
 
-from catalens.llm import query_chats, query_dedup, query_models, query_scans, query_tokens  # noqa: F401
+from catalens.llm import (  # noqa: F401
+    query_chats,
+    query_dedup,
+    query_models,
+    query_runs,
+    query_scans,
+    query_tokens,
+)
 from catalens.llm.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
