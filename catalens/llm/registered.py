@@ -6,6 +6,7 @@ from catalens.llm import (  # noqa: F401
     query_models,
     query_runs,
     query_scans,
+    query_search,
     query_tokens,
 )
 from catalens.llm.queries import ORACLE, QUERIES
