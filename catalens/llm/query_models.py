@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import neighbours, quality_classifier
+from catalens.llm import neighbours, quality_classifier, toxicity
 from catalens.llm.queries import query, table
 
 _OP4_SQL = """
@@ -39,3 +39,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         learn=fold != 0,
     )
     return ranked.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    scored = toxicity.classify_toxic(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "labels").select("doc_id", "toxic"),
+        learn=fold != 0,
+    )
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")

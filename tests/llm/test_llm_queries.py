@@ -16,6 +16,7 @@ COLUMNS = {
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
     ],
     "op10_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+    "op11_toxicity": ["doc_id", "held_out", "score", "predicted"],
 }
 
 
@@ -25,7 +26,7 @@ def con():
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) - set(ORACLE) == set(COLUMNS)
 
 
