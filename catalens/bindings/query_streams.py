@@ -11,7 +11,7 @@ from catalens.bindings.sql_views import with_views
 from catalens.functions import dates
 from catalens.operators import lookup
 from catalens.sources.shared import shared_folder
-from catalens.streaming import metadata_stream, request_stream
+from catalens.streaming import in_flight, metadata_stream, request_stream
 
 c = F.col
 HORIZON = "1 hour"
@@ -28,6 +28,60 @@ def _keyed_stream(spark, sf_dir):
     return lookup.with_key(views.requests_of(events), views.CACHE)
 
 
+# Parts of a staged stream, and files of each.
+STAGED_PARTS, STAGED_FILES = 4, 8
+TICK = "tick"
+# Their clock runs so many times as fast, or hardly two requests of a path would meet.
+FASTER = 200
+
+
+def _staged_requests(spark, sf_dir):
+    """Keyed requests written in order of time as several micro-batches, then a tick a day later."""
+    folder = shared_folder(spark, "staged")
+    faster = F.timestamp_micros(F.expr(f"unix_micros(cast(ts AS timestamp)) div {FASTER}"))
+    events = views.table(spark, sf_dir, "events").withColumn("ts", faster)
+    keyed = lookup.with_key(views.requests_of(events), views.CACHE).select("request_id", "filepath", "ts", "error")
+    shares = [i / STAGED_PARTS for i in range(1, STAGED_PARTS)]
+    micros = F.unix_micros("ts")
+    bounds, last = keyed.agg(F.percentile_approx(micros, shares), F.max(micros)).first()
+    edges = [None, *(bounds or []), None]
+    for low, high in zip(edges, edges[1:]):
+        part = keyed if low is None else keyed.where(micros > low)
+        part = part if high is None else part.where(micros <= high)
+        part.repartition(STAGED_FILES).write.mode("append").parquet(folder)
+    tick = spark.range(1).select(
+        F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("string").alias("filepath"),
+        (F.timestamp_micros(F.lit(last or 0)) + F.expr("INTERVAL 1 day")).alias("ts"), F.lit(TICK).alias("error"),
+    )
+    tick.write.mode("append").parquet(folder)
+
+    def stream():
+        reader = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", STAGED_FILES)
+        return reader.parquet(folder)
+
+    return stream, folder
+
+
+def _staged_arrivals(spark, sf_dir):
+    """Every third request stands for a job that ends twenty minutes later, every sixth one well."""
+    stream, folder = _staged_requests(spark, sf_dir)
+    ended = lookup.valid(stream()).where(c("request_id") % 3 == 0).select(
+        "filepath",
+        (c("ts") + F.expr("INTERVAL 20 minutes")).alias("outcome_ts"),
+        F.when(c("request_id") % 2 == 0, "done").otherwise("failed").alias("outcome"),
+    )
+    clock = stream().where(c("error") == TICK)
+    return in_flight.arrivals(stream(), ended, clock), f"{folder}-run"
+
+
+_FAST = f"""
+  SELECT request_id, filepath, make_timestamp(epoch_us(ts) // {FASTER}) AS ts FROM keyed WHERE error IS NULL"""
+_ENDED = f"""
+  SELECT filepath, ts + INTERVAL 20 minutes AS outcome_ts,
+    CASE WHEN request_id % 2 = 0 THEN 'done' ELSE 'failed' END AS outcome
+  FROM ({_FAST}) WHERE request_id % 3 = 0"""
+
+
 def _clock(column: str, pattern: str = "yyyy-MM-dd HH:mm:ss.SSSSSS"):
     """Instant as text in session time: the given times have no zone."""
     return F.date_format(column, pattern).alias(column)
@@ -46,6 +100,38 @@ def t1_single_flight(spark, sf_dir):
     return rows.select("filepath")
 
 
+@query(
+    "t1_admission",
+    with_views(
+        f"""
+SELECT r.request_id, r.filepath, strftime(r.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM (SELECT filepath, ts, min(request_id) AS request_id FROM ({_FAST}) GROUP BY ALL) r
+JOIN (
+  WITH RECURSIVE asked AS (SELECT DISTINCT filepath, ts FROM ({_FAST})),
+  flights AS (
+    SELECT a.filepath, a.ts, least(min(e.outcome_ts), a.ts + INTERVAL 1 hour) AS until
+    FROM asked a LEFT JOIN ({_ENDED}) e ON e.filepath = a.filepath AND e.outcome_ts >= a.ts
+    GROUP BY a.filepath, a.ts
+  ), admitted AS (
+    SELECT filepath, min(ts) AS ts FROM asked GROUP BY filepath
+    UNION ALL
+    SELECT m.filepath, min(a.ts)
+    FROM admitted m JOIN flights f ON f.filepath = m.filepath AND f.ts = m.ts
+    JOIN asked a ON a.filepath = m.filepath AND a.ts > f.until
+    GROUP BY m.filepath
+  )
+  SELECT * FROM admitted) m ON m.filepath = r.filepath AND m.ts = r.ts""",
+        "keyed",
+    ),
+)
+def t1_admission(spark, sf_dir):
+    """Requests that start a job: their path is not in flight, be it new, ended or given up."""
+    arriving, folder = _staged_arrivals(spark, sf_dir)
+    request_stream.run_appending(in_flight.admissions(arriving, 3600), folder).awaitTermination()
+    rows = request_stream.read_rows(spark, folder, "request_id bigint, filepath string, ts timestamp")
+    return rows.select("request_id", "filepath", _clock("ts"))
+
+
 @query(
     "t1_flight_windows",
     with_views(
@@ -120,6 +206,30 @@ def t3_pair_outcomes(spark, sf_dir):
     return rows.select("request_id", "filepath", _clock("outcome_ts"), "outcome")
 
 
+@query(
+    "t3_answers",
+    with_views(
+        f"""
+SELECT k.request_id, k.filepath,
+  strftime(coalesce(min(e.outcome_ts), k.ts + INTERVAL 30 minutes), '%Y-%m-%d %H:%M:%S.%f') AS answered_ts,
+  coalesce(arg_min(e.outcome, (e.outcome_ts, e.outcome)), 'timed out') AS outcome
+FROM ({_FAST}) k LEFT JOIN ({_ENDED}) e
+  ON e.filepath = k.filepath AND e.outcome_ts >= k.ts AND e.outcome_ts <= k.ts + INTERVAL 30 minutes
+GROUP BY k.request_id, k.filepath, k.ts""",
+        "keyed",
+    ),
+)
+def t3_answers(spark, sf_dir):
+    """Every valid request with the one outcome that its waiter sees."""
+    arriving, folder = _staged_arrivals(spark, sf_dir)
+    hot = in_flight.hot_paths(views.keyed(spark, sf_dir))
+    answered = in_flight.answers(arriving, 1800, hot=hot)
+    request_stream.run_appending(answered, folder).awaitTermination()
+    schema = "request_id bigint, filepath string, answered_ts timestamp, outcome string"
+    rows = request_stream.read_rows(spark, folder, schema)
+    return rows.select("request_id", "filepath", _clock("answered_ts"), "outcome")
+
+
 @query(
     "t4_live_status",
     with_views(
