@@ -9,7 +9,7 @@ from catalens.bindings.registry import query
 from catalens.bindings.sql_views import in_group, media_type, with_views
 from catalens.functions import dates, keys, mime
 from catalens.operators import metadata
-from catalens.sources import dumps, inventory, manifest, people, requests
+from catalens.sources import checksums, dumps, inventory, manifest, people, requests, store
 from catalens.sources.shared import shared_folder
 
 c = F.col
@@ -18,10 +18,28 @@ c = F.col
 # --- sources ----------------------------------------------------------------------------
 
 
-@query("s1_file_inventory")
+def _below(folder, name):
+    """Path of a file in one of 64 folders."""
+    return F.concat(F.lit(f"{folder}/"), F.hex(F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(64))), F.lit("/"), name)
+
+
+def _written_files(spark, sf_dir):
+    """Folder in which every document and page is a file."""
+    folder = shared_folder(spark, "files")
+    kind = F.when(c("mimetype") == "text/html", "page").otherwise("document")
+    name = F.concat_ws("-", kind, c("id").cast("string"))
+    store.write_files(views.files(spark, sf_dir).select(_below(folder, name).alias("path"), "content"))
+    return folder
+
+
+_WRITTEN = "(SELECT *, CASE WHEN mimetype = 'text/html' THEN 'page-' ELSE 'document-' END || id AS name FROM files)"
+
+
+@query("s1_file_inventory", with_views(f"SELECT name, length FROM {_WRITTEN}", "files"))
 def s1_file_inventory(spark, sf_dir):
-    listed = inventory.file_sizes(inventory.read_files(spark, sf_dir, "*.parquet"))
-    return listed.select(keys.base_name(c("path")).alias("name"), "length")
+    """Documents and pages written as files, and what their listing says."""
+    listed = store.list_files(spark, _written_files(spark, sf_dir), ("name", "length"))
+    return listed.select("name", "length")
 
 
 @query("s1_file_sizes", with_views("SELECT path, length FROM files", "files"))
@@ -106,11 +124,17 @@ def s5_mime_groups(spark, sf_dir):
     return typed.join(groups, "mimetype").groupBy("grp").agg(F.count("*").alias("files"))
 
 
-@query("s6_cache_listing", with_views("SELECT filepath, name FROM cached", "cached"))
+@query("s6_cache_listing", with_views("SELECT '/cache/' || name AS filepath, name FROM cached", "cached"))
 def s6_cache_listing(spark, sf_dir):
-    return views.cached(spark, sf_dir).select(
-        "filepath", keys.base_name(c("filepath")).alias("name")
-    )
+    """Stored renditions written as files and listed by name."""
+    folder = shared_folder(spark, "renditions")
+    name = c("name")
+    rows = views.cached(spark, sf_dir).select(_below(folder, name).alias("path"), F.encode(name, "UTF-8").alias("content"))
+    store.write_files(rows)
+    found = inventory.read_listing(spark, folder)
+    # The folder is new each time; the rest of the path must be what was written.
+    whole = c("filepath") == _below(folder, c("name"))
+    return found.select(F.when(whole, F.concat(F.lit("/cache/"), name)).alias("filepath"), "name")
 
 
 @query(
@@ -588,6 +612,18 @@ def p29_exif_date(spark, sf_dir):
     )
 
 
+@query(
+    "p30_checksums_in_pieces",
+    with_views(f"SELECT name, length, sha1(content) AS sha1, md5(content) AS md5 FROM {_WRITTEN}", "files"),
+)
+def p30_checksums_in_pieces(spark, sf_dir):
+    """Sums of files that the tasks open, dealt to them by size and read a piece at a time."""
+    listed = store.list_files(spark, _written_files(spark, sf_dir), ("path", "length"))
+    sums = checksums.checksums(listed, chunk_bytes=4096)
+    joined = listed.join(sums.where("checksum_error IS NULL"), "path", "left")
+    return joined.select(keys.base_name(c("path")).alias("name"), "length", "sha1", "md5")
+
+
 @query(
     "p30_checksums",
     with_views(

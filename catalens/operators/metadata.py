@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalens.functions import dates, js, mime
-from catalens.sources import inventory
+from catalens.sources import checksums as piecewise, inventory
 
 # Fixed values of records whose tags could not be read, and of device times.
 UNKNOWN_NAME = "unknown_filename"
@@ -204,21 +204,37 @@ def with_fallback(exif: DataFrame) -> DataFrame:
 
 
 def metadata(
-    files: DataFrame, exif: DataFrame, mime_fallback: DataFrame, checksums: bool = True
+    files: DataFrame,
+    exif: DataFrame,
+    mime_fallback: DataFrame,
+    checksums: bool = True,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """One record per file.
 
-    ``files``: path, length, and content if checksums are asked for. ``exif``: path, exif_ok,
+    ``files``: path, length, and content where checksums are to be taken of cells. Without that column
+    the files are read in pieces by the tasks (:func:`catalens.sources.checksums.checksums`), which is
+    the way for files beyond 2 GiB; ``sums`` (path, sha1, md5) are checksums taken before. ``exif``: path, exif_ok,
     raw and tag columns (:func:`catalens.sources.dumps.exif_table`). ``mime_fallback``: path,
     mimetype. Each has at most one row per path.
 
     Checksums are taken in the scan, so contents never enter a shuffle; without them they are
-    not read at all. Both joins are on the path and share one partitioning of the files.
+    not read at all. All joins are on the path and share one partitioning of the files. A file whose
+    content cannot be read has no checksums and an ``error``.
     """
-    sums = []
-    if checksums:
-        sums = [inventory.checksum(c("content"), a).alias(a) for a in ("sha1", "md5")]
-    base = files.select("path", c("length").alias("size"), *sums)
+    kinds = ("sha1", "md5")
+    in_cells = []
+    if checksums and sums is None:
+        if "content" in files.columns:
+            in_cells = [inventory.checksum(c("content"), a).alias(a) for a in kinds]
+        else:
+            sums = piecewise.checksums(files, kinds)
+    base = files.select("path", c("length").alias("size"), *in_cells)
+    unread = F.lit(None).cast("string")
+    if checksums and sums is not None:
+        if "checksum_error" in sums.columns:
+            unread = c("checksum_error")
+        base = base.join(sums, "path", "left")
     feed = mime_fallback.select("path", c("mimetype").alias("fallback_mimetype"))
     joined = with_fallback(base.join(exif, "path", "left").join(feed, "path", "left"))
     joined = with_facts(joined)
@@ -239,5 +255,5 @@ def metadata(
         "size",
         *[F.col(s) for s in ("sha1", "md5") if checksums],
         *record_columns(),
-        F.coalesce(unreadable, record_error()).alias("error"),
+        F.coalesce(unreadable, record_error(), unread).alias("error"),
     )

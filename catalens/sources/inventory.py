@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalens.functions import keys
 from catalens.shipping import ship_by_value
+from catalens.sources import store
 
 ship_by_value(__name__)
+c = F.col
 
 # Bytes read at a time by :func:`checksum_stream`.
 CHUNK_BYTES = 8 * 1024 * 1024
@@ -32,12 +33,10 @@ def file_sizes(files: DataFrame) -> DataFrame:
     return files.select("path", "length")
 
 
-def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Rendition files in a folder: ``filepath, name``."""
-    path = F.regexp_replace("path", "^file:", "")
-    return read_files(spark, root).select(
-        path.alias("filepath"), keys.base_name(path).alias("name")
-    )
+def read_listing(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
+    """Rendition files below a folder: ``filepath, name``. The tasks list it, and names only."""
+    listed = store.list_files(spark, root, ("path", "name"), levels)
+    return listed.select(c("path").alias("filepath"), "name")
 
 
 def checksum(content: Column, algorithm: str) -> Column:
