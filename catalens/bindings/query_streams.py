@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalens.bindings import views
-from catalens.bindings.query_files import _TYPED_EXIF, _date_columns, _DEVICE_TIME, _ANGLE
+from catalens.bindings.query_files import (
+    _ANGLE, _DEVICE_TIME, _TYPED_EXIF, _TYPED_RECORDS, _date_columns,
+)
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import with_views
 from catalens.functions import dates
@@ -278,3 +280,81 @@ def t5_metadata_stream(spark, sf_dir):
         f"device_{p} string" for p in parts
     )
     return request_stream.read_rows(spark, folder, schema)
+
+
+# Hours at which tags, secondary types and the closing ticks of a file's hour arrive.
+_TAGS_LATER, _TYPES_LATER, _FIRST_HOUR, _LAST_HOUR = (7, [0, 1, 2]), (5, [0, 1, 0, 2]), 1000, 1100
+
+
+def _later(n, rule):
+    modulus, hours = rule
+    rest = n % modulus
+    return F.coalesce(*[F.when(rest == k, F.lit(h)) for k, h in enumerate(hours)], F.lit(0))
+
+
+def _in_time(column, rule):
+    """SQL: not later than the hour that a record waits."""
+    modulus, hours = rule
+    return f"{column} % {modulus} NOT IN ({', '.join(str(k) for k, h in enumerate(hours) if h > 1)})"
+
+
+_IN_TIME = _TYPED_RECORDS.replace(
+    "dumped", f"(SELECT * FROM dumped WHERE {_in_time('id', _TAGS_LATER)})"
+).replace(
+    "mime_feed",
+    f"(SELECT m.* FROM mime_feed m JOIN files f ON f.path = m.path WHERE {_in_time('f.id', _TYPES_LATER)})",
+)
+
+
+@query(
+    "t5_file_records",
+    with_views(
+        f"""
+SELECT path, size, sha1(content) AS sha1, md5(content) AS md5, "FileName" AS name, "MIMEType" AS mimetype, type,
+  CASE WHEN NOT ok AND fallback IS NULL THEN 'Neither tags nor MIME type could be read' END AS error
+FROM {_IN_TIME}""",
+        "files", "dumped", "mime_feed",
+    ),
+)
+def t5_file_records(spark, sf_dir):
+    """Files, tags and secondary types arrive hour by hour, some of them later than a record waits."""
+    folder = shared_folder(spark, "records")
+    files = views.files(spark, sf_dir)
+    hour = _FIRST_HOUR + c("id") % 2
+    sums = [F.sha1("content").alias("sha1"), F.md5("content").alias("md5")]
+    media = files.select("path", "length", *sums, F.timestamp_seconds(hour * 3600).alias("ts"), "id")
+    tick = spark.range(1).select(F.lit("tick").alias("path"), F.timestamp_seconds(F.lit(_LAST_HOUR * 3600)).alias("ts"))
+    hours = range(_FIRST_HOUR, _FIRST_HOUR + 4)
+    for n in hours[:2]:
+        media.where(hour == n).drop("id").repartition(STAGED_FILES).write.mode("append").parquet(f"{folder}/files")
+    last = tick.select(*[c(f) if f in tick.columns else F.lit(None).cast(t).alias(f) for f, t in media.drop("id").dtypes])
+    last.write.mode("append").parquet(f"{folder}/files")
+
+    dumped = files.where(c("id") % 10 != 9).select("path", "id")
+    typed = views.mime_feed(spark, sf_dir).join(files.select("path", "id"), "path")
+    for n in (*hours, _LAST_HOUR):
+        if n == _LAST_HOUR:
+            lines = tick.select(F.to_json(F.array(F.struct(c("path").alias("SourceFile")))).alias("value"))
+            records = tick.select("path", F.lit("x").alias("mimetype"))
+        else:
+            lines = views.dumps_of(dumped.where(hour + _later(c("id"), _TAGS_LATER) == n), c("id"))
+            lines = lines.select(c("dump").alias("value"))
+            records = typed.where(hour + _later(c("id"), _TYPES_LATER) == n)
+            records = records.select("path", F.trim(F.regexp_replace("mimetype", "\n", "")).alias("mimetype"))
+        lines.repartition(STAGED_FILES).write.text(f"{folder}/dumps/h{n}")
+        records.repartition(STAGED_FILES).write.csv(f"{folder}/types/h{n}")
+
+    # The hour is the name of the folder that a file arrives in.
+    arrived = F.timestamp_seconds(F.regexp_extract("_metadata.file_path", "/h([0-9]+)/", 1).cast("int") * 3600)
+    reader = spark.readStream.schema(media.drop("id").schema).option("maxFilesPerTrigger", STAGED_FILES)
+    found = metadata_stream.records_stream(
+        reader.parquet(f"{folder}/files"),
+        metadata_stream.stream_dumps(spark, f"{folder}/dumps/*", STAGED_FILES, arrived),
+        metadata_stream.stream_feed(spark, f"{folder}/types/*", STAGED_FILES, arrived),
+    )
+    flat = found.select("path", "size", "sha1", "md5", "name", "mimetype", "type", "error")
+    request_stream.run_appending(flat, f"{folder}/run").awaitTermination()
+    rows = request_stream.read_rows(spark, f"{folder}/run", flat.schema).where("path <> 'tick'")
+    # Dates are the concern of another query.
+    unread = F.when(c("error").startswith("Neither"), c("error"))
+    return rows.select("path", "size", "sha1", "md5", "name", "mimetype", "type", unread.alias("error"))

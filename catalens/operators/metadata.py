@@ -236,24 +236,28 @@ def metadata(
             unread = c("checksum_error")
         base = base.join(sums, "path", "left")
     feed = mime_fallback.select("path", c("mimetype").alias("fallback_mimetype"))
-    joined = with_fallback(base.join(exif, "path", "left").join(feed, "path", "left"))
-    joined = with_facts(joined)
+    joined = base.join(exif, "path", "left").join(feed, "path", "left")
+    sums_of = kinds if checksums else ()
+    return described(joined, "path", "size", *sums_of, unread=unread, raw="raw" in exif.columns)
 
+
+def described(
+    joined: DataFrame, path: str, *kept: str, unread: Column | None = None, raw: bool = False
+) -> DataFrame:
+    """Record per row of files with their tags and secondary MIME types, a table or a stream.
+
+    Columns ``path``, then ``raw`` if asked for, then ``kept``, the record, ``error``.
+    """
+    joined = with_facts(with_fallback(joined))
     ok = F.coalesce(c("exif_ok"), F.lit(False))
     unreadable = F.when(
         ~ok & c("fallback_mimetype").isNull(), F.lit("Neither tags nor MIME type could be read")
     )
-    raw = []
-    if "raw" in exif.columns:
+    raws = []
+    if raw:
         placeholder = F.to_variant_object(
             F.struct(c("MIMEType").alias("MIMEType"), c("FileName").alias("FileName"))
         )
-        raw = [F.when(ok, c("raw")).otherwise(placeholder).alias("raw")]
-    return joined.select(
-        "path",
-        *raw,
-        "size",
-        *[F.col(s) for s in ("sha1", "md5") if checksums],
-        *record_columns(),
-        F.coalesce(unreadable, record_error(), unread).alias("error"),
-    )
+        raws = [F.when(ok, c("raw")).otherwise(placeholder).alias("raw")]
+    errors = [unreadable, record_error(), *([unread] if unread is not None else [])]
+    return joined.select(path, *raws, *kept, *record_columns(), F.coalesce(*errors).alias("error"))

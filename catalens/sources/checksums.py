@@ -71,21 +71,30 @@ def checksums(
     ``files``: path, length. Every task opens the files dealt to it and reads them once, ``chunk_bytes``
     at a time, for all algorithms; contents are in no row. A file that cannot be read has an error.
     """
+    spark = files.sparkSession
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    least = min(n, spark.sparkContext.defaultParallelism)
+    bins = max(1, least, math.ceil(total / task_bytes))
+    dealt = deal_by_size(files.select("path", "length"), bins).repartitionById(bins, c("bin"))
+    return with_checksums(dealt.select("path"), algorithms, chunk_bytes)
+
+
+def with_checksums(
+    files: DataFrame, algorithms: tuple[str, ...] = ("sha1", "md5"), chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """Rows with a ``path`` first, a table or a stream, and the sums of each file where the row lies."""
     unknown = set(algorithms) - hashlib.algorithms_available
     if unknown:
         raise ValueError(f"Unknown checksum algorithm, {', '.join(sorted(unknown))}")
-    schema = ", ".join(f"{name} string" for name in ("path", *algorithms, "checksum_error"))
-    names = ["path", *algorithms, "checksum_error"]
+    sums = [(name, "string") for name in (*algorithms, "checksum_error")]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in [*files.dtypes, *sums])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                row = [path, *_digest(path, algorithms, chunk_bytes)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in row], names=names)
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                own = [pa.array([v], pa.string()) for v in _digest(path, algorithms, chunk_bytes)]
+                columns = [*batch.slice(k, 1).columns, *own]
+                names = [*batch.schema.names, *algorithms, "checksum_error"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spark = files.sparkSession
-    n, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    least = min(n, spark.sparkContext.defaultParallelism)
-    bins = max(1, least, math.ceil(total / task_bytes))
-    dealt = deal_by_size(files.select("path", "length"), bins).repartitionById(bins, c("bin"))
-    return dealt.select("path").mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)

@@ -144,9 +144,11 @@ def clean_tags(tags: Column) -> Column:
     )
 
 
-def exif_table(dumps: DataFrame, path: str = "SourceFile") -> DataFrame:
+def exif_table(dumps: DataFrame, path: str = "SourceFile", keep: tuple[str, ...] = ()) -> DataFrame:
     """Dump texts -> ``path``, ``raw`` (VARIANT without bulky tags) and the typed tags.
 
+    Columns of the table named in ``keep`` come first.
+
     The media path is the dump's own ``SourceFile`` tag unless the table has a column of the
     name given. A malformed dump keeps its row, with ``exif_ok`` false and its text in
     ``bad_dump``; so does a dump that names no file.
@@ -156,6 +158,7 @@ def exif_table(dumps: DataFrame, path: str = "SourceFile") -> DataFrame:
     parsed = dumps.withColumn("_tags", parse_dump(F.col("dump"), tags))
     named = parsed.withColumn("path", F.col(f"_tags.{path}") if own else F.col(path))
     return named.select(
+        *keep,
         "path",
         F.to_variant_object(clean_tags(light_tags(F.col("dump")))).alias("raw"),
         F.col("_tags").isNotNull().alias("exif_ok"),

@@ -21,7 +21,8 @@ CHUNK_BYTES = 8 * 1024 * 1024
 def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Files below a folder: ``path, modificationTime, length, content``.
 
-    ``content`` is only read if a later step uses it.
+    ``content`` is only read if a later step uses it. The format passes over empty files;
+    :func:`catalens.sources.store.list_files` has them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
