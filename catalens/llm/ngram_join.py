@@ -14,8 +14,10 @@ anew by the exact frequencies of their n-grams.
 Documents with equal sets are one node. Links inside a group need not all be found, so a few rounds
 first link every node with one leader that shares most of its prefix, a number of pairs that grows with
 the nodes however many copies a text has. Then every pair of nodes that share a prefix n-gram, are in
-different groups and share enough of their prefixes is counted. No link between different texts is lost
-and no group is expanded into its pairs.
+different groups and share enough of their prefixes is counted. Near copies below the threshold would
+meet in as many pairs as the square of their number; parities of their sets (1024 bins) keep nearly all
+of these pairs from becoming rows, and can never hide a pair that reaches the threshold. No group is
+expanded into its pairs; links within a group are not all listed.
 
 Words are what stands between ASCII white space, with A-Z in lower case. A text with fewer words than n
 is one n-gram. Null texts and texts without words have an empty set and no links. Null ids: the row is
@@ -33,6 +35,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ from catalens.sources.shared import shared_folder
 ship_by_value(__name__)
 
 _LEVEL_SHIFT = 58
+# Parities of a set are kept in so many whole numbers.
+_MARKS = 16
 
 
 class _WordHashes(dict):
@@ -106,8 +111,9 @@ def shared_at_least(n: int, t: Fraction) -> int:
 
 def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """Level of each counter: how often the mean its n-grams occur, in powers of two."""
-    width, parts = 1 << bits, 64
-    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    width, parts = 1 << bits, min(512, 1 << bits)
+    schema = pa.schema([("part", pa.int32()), ("slot", pa.int32()), ("counts", pa.binary())])
+    columns = "part int, slot int, counts binary"
 
     def count(batches):
         counts = np.zeros(width, np.uint64)
@@ -124,24 +130,32 @@ def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
             if found:
                 counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=width).astype(np.uint64)
         rows = np.minimum(counts, (1 << 32) - 1).astype("<u4").reshape(parts, -1)
+        task = TaskContext.get()
+        slot = task.partitionId() % 16 if task else 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(parts), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+            [pa.array(range(parts), pa.int32()), pa.array([slot] * parts, pa.int32()),
+             pa.array([r.tobytes() for r in rows], pa.binary())],
             schema=schema,
         )
 
     def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        # Counters of a task have four bytes each, sums eight.
         total = np.zeros(width // parts, np.uint64)
         for counts in group["counts"]:
-            total += np.frombuffer(counts.as_py(), "<u4")
+            total += np.frombuffer(counts.as_py(), "<u4" if len(key) > 1 else "<u8")
+        slot = key[1].as_py() if len(key) > 1 else 0
         return pa.table(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<u8").tobytes()])],
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([slot], pa.int32()),
+             pa.array([total.astype("<u8").tobytes()])],
             schema=schema,
         )
 
-    # The driver reads the sum of the counters, whose size does not depend on the data.
+    # In two steps, so that no group gets a row from every task of a large job. The driver reads the sum
+    # of the counters, whose size does not depend on the data.
     summed = (
-        docs.select("text").mapInArrow(count, "part int, counts binary")
-        .groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+        docs.select("text").mapInArrow(count, columns)
+        .groupBy("part", "slot").applyInArrow(add, columns)
+        .groupBy("part").applyInArrow(add, columns).select("part", "counts").collect()
     )
     if not summed:
         return np.zeros(width, np.uint8)
@@ -153,7 +167,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 def ordered(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     """N-grams as numbers in the global order: level first, then hash."""
     level = levels[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-    # The lowest bits of the hash go; its upper ones chose the counter.
+    # The upper bits of the hash, which chose the counter, make room for the level.
     return np.unique((level << np.uint64(_LEVEL_SHIFT)) | (grams & np.uint64((1 << _LEVEL_SHIFT) - 1)))
 
 
@@ -203,9 +217,20 @@ def pivots(levels: np.ndarray, fragments: int) -> np.ndarray:
     return rare if fragments > 1 else rare[:0]
 
 
+def parities(order: np.ndarray) -> np.ndarray:
+    """For each of 64 * _MARKS bins whether an odd number of n-grams falls into it, as whole numbers.
+
+    Every n-gram that only one of two sets has turns one bin, so the sets differ in at least as many
+    n-grams as their parities in bins.
+    """
+    odd = np.bincount((order % np.uint64(64 * _MARKS)).astype(np.int64), minlength=64 * _MARKS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _segments(n: int, levels: np.ndarray, bits: int, cuts: np.ndarray):
     schema = pa.schema(
-        [("node", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))]
+        [("node", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64())),
+         ("marks", pa.list_(pa.int64()))]
     )
 
     def run(batches):
@@ -213,17 +238,20 @@ def _segments(n: int, levels: np.ndarray, bits: int, cuts: np.ndarray):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                nodes, fragments, grams = [], [], []
+                nodes, fragments, grams, marks = [], [], [], []
                 for node, text in zip(part.column(0).to_pylist(), part.column(1)):
                     order = ordered(ngrams(text.as_py(), n, hashes), levels, bits)
+                    mark = parities(order)  # with the first segment only
                     for k, segment in enumerate(np.split(order, np.searchsorted(order, cuts))):
                         if len(segment):
                             nodes.append(node)
                             fragments.append(k)
                             grams.append(segment.view(np.int64))
+                            marks.append(mark)
+                            mark = None
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()),
-                     pa.array(grams, pa.list_(pa.int64()))],
+                     pa.array(grams, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
@@ -285,31 +313,56 @@ def _leader_pairs(keys: DataFrame, comps: DataFrame, seed: int, t: Fraction) ->
     )
 
 
-def _cross_pairs(keys: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
+def _alike(t: Fraction):
+    """Whether the parities of two sets a and b let their Jaccard similarity reach the threshold.
+
+    Sets of na and nb n-grams reach it if they differ in (1 - t) / (1 + t) * (na + nb) at most.
+    """
+    differ = sum(
+        (F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(_MARKS)), start=F.lit(0)
+    )
+    size = (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
+    return differ * (t.denominator + t.numerator) <= size
+
+
+def _cross_pairs(keys: DataFrame, comps: DataFrame, marks: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of nodes in different groups whose shared prefix n-grams suffice.
 
-    Beyond their prefixes two sets share at most what is left of the one whose prefix ends first.
+    Beyond their prefixes two sets share at most what is left of the one whose prefix ends first. Sets
+    that share n-grams with many but are like none of them are told apart by their parities, within
+    the join: a pair becomes a row only if its parities leave it a chance.
     """
     placed = keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Groups meet first, so that a group's own members never do.
-    groups = placed.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("common").alias("v"))
-    mixed = groups.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    groups = groups.join(mixed, "key")
-    one, other = (
-        groups.select("key", F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
-        for x in "ab"
+    kinds = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = kinds.filter("lo <> hi").select("key")
+    bits = [f"m{k}" for k in range(_MARKS)]
+    marked = placed.join(mixed, "key").join(
+        marks.select("node", *[F.get("marks", F.lit(k)).alias(m) for k, m in enumerate(bits)]), "node"
     )
+    groups = marked.groupBy("key", "comp").agg(
+        F.min("n").alias("n"), F.max("common").alias("v"), (F.count("*") == 1).alias("single"),
+        *[F.min(m).alias(m) for m in bits],
+    )
+
+    def side(table: DataFrame, x: str, **more: str) -> DataFrame:
+        named = {"comp": f"c{x}", "n": f"n{x}", **{old: f"{new}{x}" for old, new in more.items()}}
+        own = [F.col(m).alias(f"{x}{k}") for k, m in enumerate(bits)]
+        return table.select("key", *[F.col(old).alias(new) for old, new in named.items()], *own)
+
     # Not even the sets with most n-grams in common with any could overlap enough.
     able = _enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t)
-    met = one.join(other, "key").filter((F.col("ca") < F.col("cb")) & able).select("key", "ca", "cb")
+    one, other = (side(groups, x, v="v", single="single") for x in "ab")
+    # The parities of one set are those of a group of one.
+    chance = ~F.col("singlea") | ~F.col("singleb") | _alike(t)
+    met = one.join(other, "key").filter((F.col("ca") < F.col("cb")) & able & chance).select("key", "ca", "cb")
     left, right = (
-        placed.select("key", F.col("comp").alias(f"c{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"),
-                      F.col("rest").alias(f"r{x}"), F.col("common").alias(f"v{x}"))
-        for x in "ab"
+        side(marked.withColumn("id", F.col("node")), x, id="id", rest="r", common="v") for x in "ab"
     )
     pairs = (
         met.join(left, ["key", "ca"]).join(right, ["key", "cb"])
-        .filter(_enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t))
+        .filter(_enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t) & _alike(t))
+        .select(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb", "ra", "rb")
         .groupBy("a", "b", "na", "nb", "ra", "rb").count()
     )
     most = F.col("count") + F.greatest("ra", "rb")
@@ -396,11 +449,12 @@ def ngram_groups(
     sets = rows.join(chosen, same).select("node", "text")
     parts = sets.mapInArrow(
         _segments(n, levels, sketch_bits, pivots(levels, fragments)),
-        "node long, fragment int, grams array<long>",
+        "node long, fragment int, grams array<long>, marks array<long>",
     )
     if not profiles.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         parts = parts.dropDuplicates(["node", "fragment"])  # equal rows give equal segments
     segments = written(parts, f"{folder}/segments")
+    marks = segments.filter("marks IS NOT NULL").select("node", "marks").dropDuplicates(["node"])
     rare = written(_rare_prefixes(segments, nodes), f"{folder}/rare")
     common = nodes.join(rare.select("node", "common").distinct(), "node")
     keys = written(_likely(_shared(rare), common), f"{folder}/keys")
@@ -408,7 +462,7 @@ def ngram_groups(
     comps = docs.sparkSession.createDataFrame([], "node long, comp long")
     for k in range(leader_rounds + 1):
         last = k == leader_rounds
-        pairs = _cross_pairs(keys, comps, threshold) if last else _leader_pairs(keys, comps, k, threshold)
+        pairs = _cross_pairs(keys, comps, marks, threshold) if last else _leader_pairs(keys, comps, k, threshold)
         found = written(_counted(pairs, segments, threshold), f"{folder}/links-{k}")
         if not found.isEmpty():
             links = links.unionByName(found)

@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from catalens.llm import components, line_dedup, ngram_join
@@ -122,3 +123,39 @@ def test_components(spark):
             parent[b] = a
     got = components.connected(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in list(parent))
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size, other in ((40, 3), (500, 60), (5000, 4000)):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - other], rng.integers(0, 1 << 63, other, dtype=np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        turned = sum(int(x).bit_count() for x in (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64))
+        assert turned <= differ and (turned > differ / 2 or size == 5000)
+    assert not ngram_join.parities(np.empty(0, np.uint64)).any()
+
+
+def test_many_texts_below_the_threshold(spark):
+    """Texts that share most n-grams, all pairs just below the threshold, and two that reach it."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for i in rng.sample(range(200), 6):
+            words[i] = f"x{k}.{i}"
+        rows.append((k, " ".join(words)))
+    close = rows[7][1].split()
+    close[100] = "other"
+    rows.append((500, " ".join(close)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs, n=4, threshold=Fraction(85, 100)).collect()}
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(197)} for i, t in rows}
+    reach = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            if j > i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                low, high = sorted((reach[i], reach[j]))
+                reach = {k: low if v == high else v for k, v in reach.items()}
+    assert got == reach and 100 < len(set(got.values())) < len(rows)
