@@ -197,12 +197,14 @@ FROM keyed WHERE error IS NULL AND request_id // 8 % 2 = 0""",
     ),
 )
 def s9_manifest_sink(spark, sf_dir):
-    """Stored renditions written as a manifest, twice, and read back."""
+    """Stored renditions appended in two batches, one of them again, then put together and read back."""
     folder = shared_folder(spark, "manifest")
     rows = manifest.manifest_rows(views.cached(spark, sf_dir))
-    manifest.write_manifest(rows, folder)
-    manifest.write_manifest(rows.where("type = 'image'"), folder)
-    return manifest.read_manifest(spark, folder)
+    manifest.write_manifest(rows.where("type = 'image'"), folder, "images")
+    for _ in range(2):
+        manifest.write_manifest(rows, folder, "all")
+    manifest.compact(spark, folder, "together")
+    return manifest.read_manifest(spark, folder).drop("bucket")
 
 
 # --- MIME and keys ----------------------------------------------------------------------

@@ -12,6 +12,7 @@ from catalens.bindings.registry import query
 from catalens.bindings.sql_views import with_views
 from catalens.functions import dates
 from catalens.operators import lookup
+from catalens.sources import manifest
 from catalens.sources.shared import shared_folder
 from catalens.streaming import in_flight, metadata_stream, request_stream
 
@@ -170,9 +171,13 @@ FROM keyed k LEFT JOIN cached s ON k.filepath = s.filepath WHERE k.error IS NULL
     ),
 )
 def t2_hit_miss(spark, sf_dir):
+    """Requests of several batches against a manifest, of which each batch reads its own buckets."""
     folder = shared_folder(spark, "t2")
+    stored = f"{folder}/manifest"
+    manifest.write_manifest(manifest.manifest_rows(views.cached(spark, sf_dir)), stored, "stored")
+    stream, _ = _staged_requests(spark, sf_dir)
     run = request_stream.lookup_stream(
-        _keyed_stream(spark, sf_dir), lambda: views.cached(spark, sf_dir), folder
+        stream(), lambda: manifest.read_manifest(spark, stored).select("filepath", "bucket"), folder
     )
     run.awaitTermination()
     schema = "request_id bigint, filepath string, hit boolean, batch bigint"

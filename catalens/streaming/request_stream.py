@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from catalens.operators import lookup
 from catalens.shipping import ship_by_value
+from catalens.sources import manifest
 
 ship_by_value(__name__)
 c = F.col
@@ -161,12 +162,16 @@ def lookup_stream(
 ) -> StreamingQuery:
     """Hit or miss of each request; the stored paths are read anew for every batch.
 
-    Only those that the batch asks for go on from the scan, as long as its paths are few
-    enough to be sent there.
+    Of a manifest, which has a ``bucket``, only the files of the buckets that the batch asks for are
+    read. Only rows that it asks for go on from the scan, as long as its paths are few enough to be
+    sent there.
     """
     def answer(batch: DataFrame) -> DataFrame:
         asked = lookup.valid(batch).select("filepath").distinct()
-        stored = read_cached().join(asked, "filepath", "left_semi")
+        cached = read_cached()
+        if "bucket" in cached.columns:
+            cached = manifest.in_buckets_of(cached, asked)
+        stored = cached.join(asked, "filepath", "left_semi")
         return lookup.hit_or_miss(batch, stored).select("request_id", "filepath", "hit")
 
     return run_batches(keyed, folder, answer)

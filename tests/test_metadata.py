@@ -228,12 +228,11 @@ def test_manifest_on_disk(spark, tmp_path):
     path = str(tmp_path / "manifest")
     rows = manifest.manifest_rows(listing)
     manifest.write_manifest(rows, path)
-    back = manifest.read_manifest(spark, path)
+    back = manifest.read_manifest(spark, path).drop("bucket")
     assert back.count() == 80
     assert back.where("error IS NULL").count() == 60
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.select(*back.columns).collect()))
     manifest.write_manifest(rows, path)
-    assert back.sparkSession.read.parquet(path).count() == 160
     assert manifest.read_manifest(spark, path).count() == 80
     plan = back.where("type = 'image' AND id = '3'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(type" in plan and "EqualTo(id,3)" in plan
