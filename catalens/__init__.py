@@ -3,6 +3,7 @@
 The names below are the operations a client calls; the modules hold their parts.
 """
 
+from catalens.operators.jobs import job_table, jobs_at
 from catalens.operators.lookup import admit, lookup, remove, single_flight, status, versions
 from catalens.operators.metadata import metadata
 from catalens.operators.people_model import predict_people, train_people
@@ -14,6 +15,8 @@ __all__ = [
     "admit",
     "build_session",
     "face_boxes",
+    "job_table",
+    "jobs_at",
     "lookup",
     "metadata",
     "plan",

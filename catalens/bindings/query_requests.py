@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from catalens.bindings import views
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import media_type, with_views
 from catalens.functions import geometry, mime
-from catalens.operators import lookup
+from catalens.operators import jobs, lookup
 from catalens.plans import render, routing, steps
 
 c = F.col
@@ -212,6 +214,80 @@ def a3_job_status(spark, sf_dir):
     return lookup.status(views.jobs(spark, sf_dir))
 
 
+INSTANTS = ["2024-01-01 00:10:00", "2024-01-02 12:00:00", "2024-01-09 06:30:00", "2024-01-30 00:00:00"]
+
+# The first end of a path at or after a moment.
+_NEXT = "(SELECT min(ended_ts) FROM ended e WHERE e.filepath = x.filepath AND e.ended_ts >= x.{at})"
+
+
+def _records(spark, sf_dir):
+    """Every second request has a job start two minutes after it, every third one an end after twenty."""
+    keyed, n = views.keyed(spark, sf_dir), c("request_id")
+    valid = lookup.valid(keyed)
+    started = valid.where(n % 2 == 0).select("filepath", (c("ts") + F.expr("INTERVAL 2 minutes")).alias("started_ts"))
+    ended = valid.where(n % 3 == 0).select(
+        "filepath", (c("ts") + F.expr("INTERVAL 20 minutes")).alias("ended_ts"),
+        F.when(n % 2 == 0, "done").otherwise("failed").alias("outcome"),
+    )
+    return jobs.job_table(keyed, started, ended)
+
+
+_JOB_TABLE = f"""
+WITH valid AS (SELECT filepath, request_id, type, ts FROM keyed WHERE error IS NULL),
+started AS (SELECT filepath, ts + INTERVAL 2 minutes AS started_ts FROM valid WHERE request_id % 2 = 0),
+ended AS (
+  SELECT filepath, ts + INTERVAL 20 minutes AS ended_ts,
+    min(CASE WHEN request_id % 2 = 0 THEN 'done' ELSE 'failed' END) AS outcome
+  FROM valid WHERE request_id % 3 = 0 GROUP BY ALL
+), asked AS (
+  SELECT filepath, ended_ts, min(ts) AS arrival, arg_min((request_id, type), (ts, request_id)) AS first, count(*) AS waiters
+  FROM (SELECT *, {_NEXT.format(at='ts')} AS ended_ts FROM valid x) GROUP BY ALL
+), begun AS (
+  SELECT filepath, ended_ts, min(started_ts) AS started_ts
+  FROM (SELECT *, {_NEXT.format(at='started_ts')} AS ended_ts FROM started x) GROUP BY ALL
+)
+SELECT a.filepath, a.first[1] AS request_id, a.first[2] AS type, a.arrival, a.waiters, a.ended_ts, e.outcome,
+  CASE WHEN b.started_ts IS NOT NULL THEN greatest(b.started_ts, a.arrival) END AS started_ts
+FROM asked a LEFT JOIN begun b ON b.filepath = a.filepath AND b.ended_ts IS NOT DISTINCT FROM a.ended_ts
+LEFT JOIN ended e ON e.filepath = a.filepath AND e.ended_ts = a.ended_ts"""
+
+
+@query(
+    "a3_job_table",
+    with_views(
+        f"""
+SELECT filepath, request_id, waiters, outcome, {', '.join(
+    f"strftime({t}, '%Y-%m-%d %H:%M:%S.%f') AS {t}" for t in ("arrival", "started_ts", "ended_ts"))}
+FROM ({_JOB_TABLE})""",
+        "keyed",
+    ),
+)
+def a3_job_table(spark, sf_dir):
+    times = [
+        F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(t) for t in ("arrival", "started_ts", "ended_ts")
+    ]
+    return _records(spark, sf_dir).select("filepath", "request_id", "waiters", "outcome", *times)
+
+
+@query(
+    "a3_status_over_time",
+    with_views(
+        f"""
+SELECT strftime(moment, '%Y-%m-%d %H:%M:%S') AS "at", job_class, running, count(*) AS jobs FROM (
+  SELECT moment, CASE WHEN type IN ('image', 'document') THEN 'image' WHEN type IN ('video', 'audio') THEN 'video' END AS job_class,
+    coalesce(started_ts <= moment, false) AS running
+  FROM ({_JOB_TABLE}) JOIN (SELECT unnest([{', '.join(f"TIMESTAMP '{t}'" for t in INSTANTS)}]) AS moment)
+    ON arrival <= moment AND (ended_ts IS NULL OR ended_ts > moment))
+GROUP BY ALL""",
+        "keyed",
+    ),
+)
+def a3_status_over_time(spark, sf_dir):
+    alive = jobs.jobs_at(_records(spark, sf_dir), [datetime.fromisoformat(t) for t in INSTANTS])
+    counts = lookup.status(alive, "at")
+    return counts.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "w1_admission",
     with_views(

@@ -164,9 +164,9 @@ def job_class(type_: Column) -> Column:
     return F.coalesce(*cases)
 
 
-def status(jobs: DataFrame) -> DataFrame:
-    """Number of jobs per class and state."""
-    return jobs.groupBy("job_class", "running").agg(F.count("*").alias("jobs"))
+def status(jobs: DataFrame, *by: str) -> DataFrame:
+    """Number of jobs per class and state, and per further columns."""
+    return jobs.groupBy(*by, "job_class", "running").agg(F.count("*").alias("jobs"))
 
 
 def admit(jobs: DataFrame, slots: dict[str, int], spread: int = ADMISSION_SPREAD) -> DataFrame:
