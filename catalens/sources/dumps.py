@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalens.functions import dates
+from catalens.sources import quoted_csv
 
 # Bulky tags never kept.
 HEAVY_TAGS = [
@@ -182,9 +183,12 @@ def size_of_dump(dumps: DataFrame) -> DataFrame:
     return _narrow(dumps, ["ImageWidth", "ImageHeight"])
 
 
-def read_mime_feed(spark: SparkSession, root: str) -> DataFrame:
-    """Secondary MIME types: CSV ``path,mimetype``, stray line breaks removed."""
-    feed = spark.read.schema("path string, mimetype string").option("multiLine", True).csv(root)
+def read_mime_feed(spark: SparkSession, root: str, range_bytes: int = quoted_csv.RANGE_BYTES) -> DataFrame:
+    """Secondary MIME types: CSV ``path,mimetype``, stray line breaks removed.
+
+    Quotes within a value are doubled. A file is read by as many tasks as it has ranges.
+    """
+    feed = quoted_csv.read_quoted(spark, root, ["path", "mimetype"], range_bytes)
     return feed.select("path", clean_mime(F.col("mimetype")).alias("mimetype"))
 
 
