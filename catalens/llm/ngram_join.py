@@ -53,7 +53,7 @@ _MARKS = 16
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -341,7 +341,7 @@ def _cross_pairs(keys: DataFrame, comps: DataFrame, marks: DataFrame, t: Fractio
         marks.select("node", *[F.get("marks", F.lit(k)).alias(m) for k, m in enumerate(bits)]), "node"
     )
     groups = marked.groupBy("key", "comp").agg(
-        F.min("n").alias("n"), F.max("common").alias("v"), (F.count("*") == 1).alias("single"),
+        F.min("n").alias("n"), F.max("common").alias("v"), F.count("*").alias("members"),
         *[F.min(m).alias(m) for m in bits],
     )
 
@@ -352,17 +352,25 @@ def _cross_pairs(keys: DataFrame, comps: DataFrame, marks: DataFrame, t: Fractio
 
     # Not even the sets with most n-grams in common with any could overlap enough.
     able = _enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t)
-    one, other = (side(groups, x, v="v", single="single") for x in "ab")
-    # The parities of one set are those of a group of one.
-    chance = ~F.col("singlea") | ~F.col("singleb") | _alike(t)
-    met = one.join(other, "key").filter((F.col("ca") < F.col("cb")) & able & chance).select("key", "ca", "cb")
+    one, other = (side(groups, x, v="v", members="s") for x in "ab")
+    # The parities of one set are those of a group of one. The smaller group of two is spread first.
+    chance = (F.col("sa") > 1) | (F.col("sb") > 1) | _alike(t)
+    smaller = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("ca") < F.col("cb")))
+    met = one.join(other, "key").filter(smaller & able & chance).select("key", "ca", "cb")
     left, right = (
         side(marked.withColumn("id", F.col("node")), x, id="id", rest="r", common="v") for x in "ab"
     )
     pairs = (
         met.join(left, ["key", "ca"]).join(right, ["key", "cb"])
         .filter(_enough(F.least("va", "vb"), F.col("na"), F.col("nb"), t) & _alike(t))
-        .select(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb", "ra", "rb")
+        # A pair may have met either way round.
+        .select(
+            F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"),
+            *[
+                F.when((F.col("ida") < F.col("idb")) == (x == "a"), F.col(f"{f}a")).otherwise(F.col(f"{f}b")).alias(f"{f}{x}")
+                for f in "nr" for x in "ab"
+            ],
+        )
         .groupBy("a", "b", "na", "nb", "ra", "rb").count()
     )
     most = F.col("count") + F.greatest("ra", "rb")
