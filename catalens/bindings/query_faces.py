@@ -8,7 +8,7 @@ from catalens.bindings import views
 from catalens.bindings.registry import query
 from catalens.bindings.sql_views import with_views
 from catalens.functions import boxes, vectors
-from catalens.operators import lookup, people_model, recognition, uneven
+from catalens.operators import lookup, people_kernel, people_model, recognition, uneven
 from catalens.plans import routing
 from catalens.sources import reports
 from catalens.sources.shared import shared_folder
@@ -314,6 +314,37 @@ def a7_train_people(spark, sf_dir):
     )
 
 
+@query(
+    "a7_training_rows",
+    with_views(
+        """
+SELECT name, count(*) AS examples FROM (
+  SELECT CAST(min(person) AS VARCHAR) AS name FROM faces GROUP BY image_id HAVING count(*) = 1)
+GROUP BY name""",
+        "faces",
+    ),
+)
+def a7_training_rows(spark, sf_dir):
+    """Examples per person that a classifier is trained on."""
+    rows = people_kernel.training_rows(views.faces(spark, sf_dir))
+    return rows.groupBy("name").agg(F.count("*").alias("examples"))
+
+
+@query("a7_train_kernel")
+def a7_train_kernel(spark, sf_dir):
+    """Examples per person the kernel machines were trained on, and how many they get right."""
+    faces = views.faces(spark, sf_dir)
+    model = people_kernel.train_people_kernel(faces)
+    single = recognition.single_face_images(faces, "face_no", "person", "encoding")
+    predicted = people_kernel.predict_people_kernel(model, single)
+    right = (c("predicted") == c("person").cast("string")).cast("bigint")
+    return (
+        predicted.join(single.select("image_id", "person"), "image_id")
+        .groupBy("person")
+        .agg(F.count("*").alias("examples"), F.sum(right).alias("right"))
+    )
+
+
 @query("a8_predict_people")
 def a8_predict_people(spark, sf_dir):
     model = people_model.train_people(views.faces(spark, sf_dir))

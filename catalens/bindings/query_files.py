@@ -529,6 +529,7 @@ def p26_gps(spark, sf_dir):
     return _facts(spark, sf_dir).select("id", metadata.gps().alias("gps")).select("id", "gps.*")
 
 
+# Fixed value: the pattern of dates, as in catalens.functions.dates.
 _DATE = (
     r"([0-9]{4})[:/]([0-9]{2})[:/]([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.[0-9]+)?([\+|\-|Z].*)?"
 )

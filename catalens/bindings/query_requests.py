@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalens.bindings import views
 from catalens.bindings.registry import query
-from catalens.bindings.sql_views import media_type, with_views
+from catalens.bindings.sql_views import in_group, media_type, with_views
 from catalens.functions import geometry, mime
 from catalens.operators import jobs, lookup
 from catalens.plans import render, routing, steps
@@ -578,7 +578,7 @@ _TW = "CASE WHEN abs(angle) IN (90, 270) THEN src_h ELSE src_w END"
 _TH = "CASE WHEN abs(angle) IN (90, 270) THEN src_w ELSE src_h END"
 _BASE = "string_split(filename, '/')[-1]"
 _STEM = "regexp_replace(string_split(filename, '/')[-1], '(.)\\.[^.]*$', '\\1')"
-_IS_RAW = "mimetype IN ('image/x-canon-cr2', 'image/x-raw', 'image/x-canon-crw', 'image/x-nikon-nef', 'image/CR2', 'image/x-panasonic-rw2', 'image/x-fujifilm-raf')"
+_IS_RAW = in_group("mimetype", "rawimage")
 _WAVE_TW = f"CASE WHEN abs(angle) IN (90, 270) THEN {_WAVE_H} ELSE {_WAVE_W} END"
 _WAVE_TH = f"CASE WHEN abs(angle) IN (90, 270) THEN {_WAVE_W} ELSE {_WAVE_H} END"
 _IS_PDF = "mimetype = 'application/pdf'"
@@ -602,6 +602,7 @@ _VIDEO_SHARED = _joined(
     " -max_muxing_queue_size 9999 -threads 8'",
 )
 
+# The arguments of the tool calls, as in catalens.plans.steps.
 _SQL_CALLS: dict[str, list[tuple[str, str, str, str]]] = {
     # converter: (condition, step, tool, arguments)
     "image2image": [

@@ -9,7 +9,7 @@ from catalens.bindings.registry import ORACLE, QUERIES
 from compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"j7_face_match_lsh", "a7_train_people", "a8_predict_people"}
+ROWS_ONLY = {"j7_face_match_lsh", "a7_train_people", "a7_train_kernel", "a8_predict_people"}
 
 
 @pytest.fixture(scope="module")
