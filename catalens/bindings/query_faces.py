@@ -334,7 +334,7 @@ def a7_training_rows(spark, sf_dir):
 def a7_train_kernel(spark, sf_dir):
     """Examples per person the kernel machines were trained on, and how many they get right."""
     faces = views.faces(spark, sf_dir)
-    model = people_kernel.train_people_kernel(faces)
+    model = people_kernel.train_people_kernel(faces, features=128, iterations=10)
     single = recognition.single_face_images(faces, "face_no", "person", "encoding")
     predicted = people_kernel.predict_people_kernel(model, single)
     right = (c("predicted") == c("person").cast("string")).cast("bigint")
