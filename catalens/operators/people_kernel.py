@@ -4,6 +4,9 @@ Random Fourier features turn the kernel exp(-gamma * |x - y|^2) into a plain inn
 becomes cosines along random directions, and a linear machine on them is a kernel machine on faces, up
 to an error that falls with the number of features. One machine per person against all others, trained
 by Spark ML in passes over the distributed rows; the driver holds people times features coefficients.
+
+Only these numbers go to the tasks that predict. A Spark ML machine would take its training summary along,
+and with it the session and every observation that waits in it, which cannot be sent.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,8 +35,9 @@ class KernelModel:
     """Dimensions x features."""
     phases: np.ndarray
     names: list[str]
-    machines: OneVsRestModel | None
-    """None if there is one person only."""
+    weights: np.ndarray | None
+    """People x features; None if there is one person only."""
+    shifts: np.ndarray | None
 
 
 def training_rows(faces: DataFrame, label: str = "person") -> DataFrame:
@@ -98,14 +102,32 @@ def train_people_kernel(
     directions, phases = random_directions(most, gamma or gamma_scale(examples), features, seed)
     index = StringIndexer(inputCol="name", outputCol="label", stringOrderType="alphabetAsc").fit(examples)
     names = list(index.labels)
-    machines = None
+    weights = shifts = None
     if len(names) > 1:
         cosines = kernel_features(directions, phases)
         rows = index.transform(examples).select("label", array_to_vector(cosines("encoding")).alias("features"))
         # A sum of costs with a weight is a mean of costs with a ridge.
         machine = LinearSVC(maxIter=iterations, regParam=1 / (penalty * n), standardization=False)
-        machines = OneVsRest(classifier=machine, parallelism=4).fit(rows)
-    return KernelModel(directions, phases, names, machines)
+        machines = OneVsRest(classifier=machine, parallelism=4).fit(rows).models
+        weights = np.stack([m.coefficients.toArray() for m in machines])
+        shifts = np.array([m.intercept for m in machines])
+    return KernelModel(directions, phases, names, weights, shifts)
+
+
+def _best_name(model: KernelModel):
+    """Column function: encoding -> person whose machine answers most, the first of equal ones."""
+    scale = np.sqrt(2 / len(model.phases))
+    directions, phases, weights, shifts = model.directions, model.phases, model.weights, model.shifts
+    names = np.array(model.names, dtype=object)
+
+    @F.pandas_udf("string")
+    def best(encodings: pd.Series) -> pd.Series:
+        if not len(encodings):
+            return pd.Series([], dtype=object)
+        x = np.stack(encodings.to_list()).astype(float)
+        return pd.Series(names[(scale * np.cos(x @ directions + phases) @ weights.T + shifts).argmax(1)])
+
+    return best
 
 
 def predict_people_kernel(model: KernelModel, faces: DataFrame) -> DataFrame:
@@ -113,11 +135,5 @@ def predict_people_kernel(model: KernelModel, faces: DataFrame) -> DataFrame:
     fits = F.coalesce(F.size("encoding") == len(model.directions), F.lit(False))
     odd = faces.where(~fits).select("image_id", "face_no", F.lit(None).cast("string").alias("predicted"))
     usable = faces.where(fits)
-    if model.machines is None:
-        found = usable.select("image_id", "face_no", F.lit(model.names[0]).alias("predicted"))
-        return found.unionByName(odd)
-    cosines = kernel_features(model.directions, model.phases)
-    rows = usable.select("image_id", "face_no", array_to_vector(cosines("encoding")).alias("features"))
-    names = F.array(*[F.lit(n) for n in model.names])
-    predicted = F.get(names, c("prediction").cast("int")).alias("predicted")
-    return model.machines.transform(rows).select("image_id", "face_no", predicted).unionByName(odd)
+    who = F.lit(model.names[0]) if model.weights is None else _best_name(model)(c("encoding"))
+    return usable.select("image_id", "face_no", who.alias("predicted")).unionByName(odd)

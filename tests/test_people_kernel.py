@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation, functions as F
 
 from catalens.operators import people_kernel as pk
 
@@ -82,3 +83,13 @@ def test_one_person_and_none(spark, case):
     mixed = faces.unionByName(spark.createDataFrame([(990, 0, "y", [1.0])], FACE))
     with pytest.raises(ValueError, match="1 to 3"):
         pk.train_people_kernel(mixed)
+
+
+def test_an_observation_that_waits(spark, case):
+    """The session holds it, so a task that took the session along could not be sent."""
+    faces, *_, new, _, _ = case
+    waiting = faces.observe(Observation("waits"), F.count("*").alias("n"))
+    model = pk.train_people_kernel(faces, features=16, iterations=2)
+    assert pk.predict_people_kernel(model, new).count() == 202
+    assert {r.predicted for r in pk.predict_people_kernel(model, new).collect()} <= {"x", "y", "z", None}
+    assert waiting.count()
