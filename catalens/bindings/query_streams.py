@@ -130,7 +130,7 @@ JOIN (
 def t1_admission(spark, sf_dir):
     """Requests that start a job: their path is not in flight, be it new, ended or given up."""
     arriving, folder = _staged_arrivals(spark, sf_dir)
-    request_stream.run_appending(in_flight.admissions(arriving, 3600), folder).awaitTermination()
+    in_flight.run_appending(in_flight.admissions(arriving, 3600), folder).awaitTermination()
     rows = request_stream.read_rows(spark, folder, "request_id bigint, filepath string, ts timestamp")
     return rows.select("request_id", "filepath", _clock("ts"))
 
@@ -231,7 +231,7 @@ def t3_answers(spark, sf_dir):
     arriving, folder = _staged_arrivals(spark, sf_dir)
     hot = in_flight.hot_paths(views.keyed(spark, sf_dir))
     answered = in_flight.answers(arriving, 1800, hot=hot)
-    request_stream.run_appending(answered, folder).awaitTermination()
+    in_flight.run_appending(answered, folder).awaitTermination()
     schema = "request_id bigint, filepath string, answered_ts timestamp, outcome string"
     rows = request_stream.read_rows(spark, folder, schema)
     return rows.select("request_id", "filepath", _clock("answered_ts"), "outcome")

@@ -6,6 +6,9 @@ requests and outcomes, see :func:`arrivals`, and keep their state by path.
 
 Arrivals: ``filepath``, ``ts`` (event time), ``request_id`` for a request, ``outcome`` for an outcome.
 A row without a path only tells the time: without later rows the last requests would wait for ever.
+
+A key has several states and timers. Spark's default state store, which holds them on the heap, cannot
+keep them; :func:`run_appending` starts a stream with one that can, whatever the session's setting.
 """
 
 from __future__ import annotations
@@ -16,15 +19,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from catalens.operators import lookup
+from catalens.session import SETTINGS
 from catalens.shipping import ship_by_value
+from catalens.streaming import request_stream
 
 ship_by_value(__name__)
 c = F.col
 
 TIMED_OUT = "timed out"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+# The default, which keeps one state per key.
+_SINGLE = "HDFSBackedStateStoreProvider"
 # Parts that the waiters of a hot path are dealt to.
 HOT_PARTS = 32
 _SECOND = 1_000_000
@@ -249,3 +258,22 @@ def admissions(arriving: DataFrame, horizon: float = 3600, delay: str = "1 hour"
         _Admission(_micros(horizon)), "request_id bigint, filepath string, us bigint", "Append", "EventTime"
     )
     return out.select("request_id", "filepath", F.timestamp_micros("us").alias("ts"))
+
+
+def run_appending(stream: DataFrame, folder: str, **options: str) -> StreamingQuery:
+    """:func:`request_stream.run_appending` with a state store that holds several states per key.
+
+    A stream takes over the session's settings when it starts; afterwards the session has its own again.
+    """
+    conf = stream.sparkSession.conf
+    named = conf.getAll.get(_STORE)
+    if named is not None and not named.endswith(_SINGLE):
+        return request_stream.run_appending(stream, folder, **options)
+    conf.set(_STORE, SETTINGS[_STORE])
+    try:
+        return request_stream.run_appending(stream, folder, **options)
+    finally:
+        if named is None:
+            conf.unset(_STORE)
+        else:
+            conf.set(_STORE, named)

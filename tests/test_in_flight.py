@@ -109,3 +109,20 @@ def test_hot_paths(spark):
     keyed = spark.createDataFrame(rows, "request_id bigint, filepath string, error string")
     assert in_flight.hot_paths(keyed, 0.1) == ["a"]
     assert in_flight.hot_paths(keyed.where("false")) == []
+
+
+@pytest.mark.parametrize("named", [None, "HDFSBackedStateStoreProvider"])
+def test_a_session_with_the_default_state_store(spark, arrived, tmp_path, named):
+    events, folder = arrived
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key)
+    default = f"org.apache.spark.sql.execution.streaming.state.{named}" if named else None
+    spark.conf.set(key, default) if named else spark.conf.unset(key)
+    try:
+        answered = in_flight.answers(arriving(spark, folder, 3), 900)
+        in_flight.run_appending(answered, str(tmp_path)).awaitTermination()
+        assert spark.conf.getAll.get(key) == default
+    finally:
+        spark.conf.set(key, own)
+    schema = "request_id bigint, filepath string, ts timestamp, answered_ts timestamp, outcome string"
+    assert sorted(map(tuple, rs.read_rows(spark, str(tmp_path), schema).collect())) == expected_answers(events, 900)
