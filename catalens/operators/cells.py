@@ -6,7 +6,7 @@ product about ten nanoseconds; Spark does the partitioning, Arrow hands over the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,10 @@ c = F.col
 
 # Relative slack on pruning bounds, far above rounding error.
 SLACK = 1e-9
-# Rows of a group compared at a time.
+# Rows of a group compared at a time, entries of their product, and candidates that differences decide.
 TILE = 512
+ENTRIES = 1 << 20
+CANDIDATES = 1 << 14
 
 
 def matrix(encodings: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -56,6 +58,7 @@ class CellIndex:
         self.centres = centres
         self.people = people
         self.radii = np.full(len(centres), -np.inf)
+        self.members = np.zeros(len(centres), dtype=int)
 
     @property
     def dimensions(self) -> int:
@@ -84,10 +87,19 @@ class CellIndex:
         centres = np.unique(np.array([r[0] for r in picked[:wanted]], dtype=float), axis=0)
         index = cls(centres, seen.get["n"])
         near = known.select(index.nearest()("encoding").alias("n"))
-        for cell, radius in near.groupBy("n.cell").agg(F.max("n.d")).collect():
-            index.radii[cell] = radius
+        for cell, radius, n in near.groupBy("n.cell").agg(F.max("n.d"), F.count("*")).collect():
+            index.radii[cell], index.members[cell] = radius, n
         return index
 
+    def bundles(self, most: int) -> np.ndarray:
+        """Ascending number of each cell's bundle: as many cells in a row as ``most`` people fill, or one cell."""
+        numbers, held = [0], int(self.members[0])
+        for n in self.members[1:].tolist():
+            full = held + n > most
+            held = n if full else held + n
+            numbers.append(numbers[-1] + full)
+        return np.array(numbers)
+
     def nearest(self) -> Callable[[Column], Column]:
         """Column function: encoding -> struct(cell, d)."""
         centres = self.centres
@@ -105,18 +117,47 @@ class CellIndex:
 
     def visited(self, tolerance: float) -> Callable[[Column], Column]:
         """Column function: encoding -> cells that may hold an encoding within the tolerance."""
-        centres, radii = self.centres, self.radii
+        near = self._near(tolerance)
 
         @F.arrow_udf("array<int>")
         def visited_cells(encodings: pa.Array) -> pa.Array:
-            d = distances(matrix(encodings), centres)
-            bound = np.minimum(radii + tolerance, d.min(axis=1, keepdims=True) + 2 * tolerance)
-            row, cell = np.nonzero(d <= bound + SLACK * (1 + np.abs(d)))
-            ends = np.searchsorted(row, np.arange(len(d) + 1))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))
+            return _lists(near(matrix(encodings)))
 
         return visited_cells
 
+    def visited_bundles(self, tolerance: float, bundles: np.ndarray) -> Callable[[Column], Column]:
+        """Column function: encoding -> struct(bundles, cells), ``cells`` a bit for each that is visited."""
+        near, starts = self._near(tolerance), np.flatnonzero(np.diff(bundles, prepend=-1))
+
+        @F.arrow_udf("struct<bundles:array<int>,cells:binary>")
+        def visited(encodings: pa.Array) -> pa.Array:
+            cells = near(matrix(encodings))
+            bits = np.packbits(cells, axis=1)
+            ends = np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]
+            masks = pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(ends), pa.py_buffer(bits.tobytes())])
+            lists = _lists(np.logical_or.reduceat(cells, starts, axis=1))
+            return pa.StructArray.from_arrays([lists, masks], names=["bundles", "cells"])
+
+        return visited
+
+    def _near(self, tolerance: float) -> Callable[[np.ndarray], np.ndarray]:
+        """Function: rows -> whether each visits each cell."""
+        centres, radii = self.centres, self.radii
+
+        def near(rows: np.ndarray) -> np.ndarray:
+            d = distances(rows, centres)
+            bound = np.minimum(radii + tolerance, d.min(axis=1, keepdims=True) + 2 * tolerance)
+            return d <= bound + SLACK * (1 + np.abs(d))
+
+        return near
+
+
+def _lists(hits: np.ndarray) -> pa.Array:
+    """Per row the numbers of the columns that are set."""
+    row, column = np.nonzero(hits)
+    ends = np.searchsorted(row, np.arange(len(hits) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(column, pa.int32()))
+
 
 def projection_buckets(
     dimensions: int, tables: int, bucket_length: float, seed: int
@@ -167,8 +208,13 @@ def in_groups(
     group is not copied at all, and one without faces or without people is left out. Each
     chunk meets each block once. Both may have ``buckets`` and ``nth``: then a pair that
     shares an earlier bucket as well is left to the group of that one.
+
+    ``cell`` may be a bundle of cells, at most some hundred in all. Faces then have ``cells``, the bits of
+    the cells that they visit, and people ``own``, their cell: a group compares only these.
     """
     parts = cell_parts(faces, people, most)
+    if "cells" in faces.columns:
+        parts = F.broadcast(parts)  # saves a shuffle of all visits
 
     def spread(key: list[str], number: str) -> Column:
         return F.pmod(F.xxhash64(*key), c(number)).cast("int")
@@ -205,6 +251,38 @@ def _seen_before(faces: pa.Table, people: pa.Table) -> Callable[[np.ndarray, np.
     return lambda i, j: (a[i] == b[j]).any(axis=1)
 
 
+def _met(faces: pa.Table, people: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of faces and people to compare: all, or cell by cell those that visit and live there."""
+    if "cells" not in faces.column_names:
+        yield np.arange(faces.num_rows), np.arange(people.num_rows)
+        return
+    masks = np.frombuffer(b"".join(faces["cells"].to_pylist()), np.uint8).reshape(faces.num_rows, -1)
+    own = people["own"].to_numpy()
+    for cell in np.unique(own).tolist():
+        rows = np.flatnonzero(masks[:, cell // 8] & (128 >> cell % 8))
+        if len(rows):
+            yield rows, np.flatnonzero(own == cell)
+
+
+def _candidates(
+    a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray, tolerance: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may be within the tolerance, a bounded number at a time."""
+    others = b[columns]
+    squares = np.square(others).sum(axis=1) * (1 - SLACK)
+    height = max(1, min(TILE, ENTRIES // len(columns)))
+    for start in range(0, len(rows), height):
+        tile = a[rows[start : start + height]]
+        # |x|^2 + |y|^2 - 2 x.y, less the slack.
+        product = tile @ others.T
+        product *= -2
+        product += squares
+        product += np.square(tile).sum(axis=1)[:, None] * (1 - SLACK)
+        i, j = np.nonzero(product <= tolerance**2 + SLACK)
+        for at in range(0, len(i), CANDIDATES):
+            yield rows[start + i[at : at + CANDIDATES]], columns[j[at : at + CANDIDATES]]
+
+
 def close_pairs(faces: pa.Table, people: pa.Table, tolerance: float) -> pa.Table:
     """Pairs of a group of faces and a group of people within the tolerance.
 
@@ -214,18 +292,14 @@ def close_pairs(faces: pa.Table, people: pa.Table, tolerance: float) -> pa.Table
     found_faces, found_people, found_distances = [], [], []
     if faces.num_rows and people.num_rows:
         a, b = matrix(faces["encoding"]), matrix(people["encoding"])
-        squares = np.square(b).sum(axis=1)
         seen_before = _seen_before(faces, people)
-        for start in range(0, len(a), TILE):
-            tile = a[start : start + TILE]
-            own = np.square(tile).sum(axis=1)[:, None]
-            product = own + squares - 2 * (tile @ b.T)
-            i, j = np.nonzero(product <= tolerance**2 + SLACK * (1 + own + squares))
-            d = np.sqrt(np.square(tile[i] - b[j]).sum(axis=1))
-            keep = (d <= tolerance) & ~seen_before(start + i, j)
-            found_faces.append(start + i[keep])
-            found_people.append(j[keep])
-            found_distances.append(d[keep])
+        for rows, columns in _met(faces, people):
+            for i, j in _candidates(a, b, rows, columns, tolerance):
+                d = np.sqrt(np.square(a[i] - b[j]).sum(axis=1))
+                keep = (d <= tolerance) & ~seen_before(i, j)
+                found_faces.append(i[keep])
+                found_people.append(j[keep])
+                found_distances.append(d[keep])
     none = np.empty(0, dtype=int)
     left = pa.array(np.concatenate([none, *found_faces]), pa.int64())
     right = pa.array(np.concatenate([none, *found_people]), pa.int64())

@@ -112,9 +112,13 @@ def face_matches(
     tolerance, and whose centre is at most twice the tolerance farther than its nearest one;
     so a face visits those cells only.
 
-    Faces and people then meet in groups of one cell, one chunk of faces and one block of
-    people, each of bounded size by hash: a cell that holds a third of all faces is spread
-    over as many chunks as it needs. Copies of a person's encoding are counted beforehand, as
+    Small cells are put together to bundles of as many people as a group takes, and a face is sent
+    once to each bundle that it visits cells of: where encodings lie so that a face visits most
+    cells, it is copied for each such block of people, not for each cell.
+
+    Faces and people then meet in groups of one bundle, one chunk of faces and one block of
+    people, each of bounded size by hash: a bundle that a third of all faces visit is spread
+    over as many chunks as it needs. In a group, a face meets the cells that it visits. Copies of a person's encoding are counted beforehand, as
     a hash would put them all into one block. A group is one matrix product, not a row per
     pair.
 
@@ -127,14 +131,16 @@ def face_matches(
     if cells is None:
         return no_matches(faces)
     fits = F.size("encoding") == cells.dimensions
+    bundles = cells.bundles(group_sizes()[1])
     visits = (
         faces.where(fits)
-        .select("face_id", "image_id", "encoding", cells.visited(tolerance)(c("encoding")).alias("_v"))
+        .select("face_id", "image_id", "encoding", cells.visited_bundles(tolerance, bundles)(c("encoding")).alias("_v"))
         # The outer form keeps the optimizer from computing the cells twice, to filter first.
-        .select("face_id", "image_id", "encoding", F.explode_outer("_v").alias("cell"))
+        .select("face_id", "image_id", "encoding", "_v.cells", F.explode_outer("_v.bundles").alias("cell"))
         .where("cell IS NOT NULL")
     )
-    members = people.withColumn("cell", cells.nearest()(c("encoding"))["cell"])
+    members = people.withColumn("own", cells.nearest()(c("encoding"))["cell"])
+    members = members.withColumn("cell", F.get(F.array(*[F.lit(int(n)) for n in bundles]), c("own")))
     return in_groups(visits, members, group_sizes(), tolerance)
 
 

@@ -3,14 +3,16 @@
 import os
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalens.operators import people_model, recognition
-from catalens.operators.cells import CellIndex, cell_parts
+from catalens.operators.cells import CellIndex, cell_parts, close_pairs
 from catalens.sources import reports
 
 c = F.col
@@ -115,6 +117,39 @@ def test_only_full_cells_are_copied(spark, monkeypatch):
     assert met.where("chunks > ceil(f / 200) OR blocks > ceil(p / 40)").count() == 0
 
 
+def test_a_face_is_sent_once_for_a_group_of_people(spark, monkeypatch):
+    """Where faces visit all cells, copies follow from the blocks of people, not from the cells."""
+    rng = np.random.default_rng(12)
+    vectors = list(rng.normal(size=(300, 16)))
+    named = [(f"n{i}", v) for i, v in enumerate(rng.normal(size=(400, 16)))]
+    faces, known = faces_table(spark, vectors), known_table(spark, named)
+    sent = []
+    close = recognition.in_groups
+    monkeypatch.setattr(recognition, "in_groups", lambda f, *rest: sent.append(f.count()) or close(f, *rest))
+    assert found(recognition.face_matches(faces, known, 3.5)) == brute_force(vectors, named, 3.5)
+    monkeypatch.setattr(recognition, "PEOPLE_PER_GROUP", 150)
+    assert found(recognition.face_matches(faces, known, 3.5)) == brute_force(vectors, named, 3.5)
+    assert sent[0] <= 300 and sent[1] <= 300 * 5
+
+
+def test_bundles_hold_what_a_group_takes():
+    index = CellIndex(np.zeros((7, 2)), 0)
+    index.members = np.array([3, 4, 4, 20, 0, 5, 5])
+    assert index.bundles(10).tolist() == [0, 0, 1, 2, 3, 3, 3]
+
+
+def test_memory_of_a_group_of_copies():
+    """Every pair of the group matches: differences are taken a bounded number of pairs at a time."""
+    vectors = pa.array([[0.25] * 128] * 3000)
+    faces = pa.table({"face_id": pa.array(range(3000)), "image_id": pa.array(range(3000)), "encoding": vectors})
+    people = pa.table({"name": ["a"] * 300, "copies": [1] * 300, "encoding": vectors[:300]})
+    tracemalloc.start()
+    pairs = close_pairs(faces, people, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs.num_rows == 900_000 and peak < 150e6
+
+
 def test_known_encodings_of_one_length(spark):
     faces = faces_table(spark, [np.zeros(2), np.zeros(3)])
     mixed = known_table(spark, [("a", [0.0, 0.0]), ("b", [0.0, 0.0, 0.0])])
