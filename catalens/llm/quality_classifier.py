@@ -6,8 +6,10 @@ logistic loss on feature differences of pairs (better, worse). A quantile of the
 share of the worse class, becomes the threshold.
 
 Features are column expressions, computed once for all documents and written below
-``spark.checkpoint.dir``; the model is fitted on at most ``max_rows`` labelled rows, which the driver
-reads as numbers. Null text counts as empty and has features and a score like any other. Labels other
+``spark.checkpoint.dir``. All labelled rows are fitted: they are dealt to blocks by hash, in which they
+meet rows of the other class, and every round of Newton's method sums the blocks' gradients and curves;
+the driver only sees these sums. Of a class too rare for all blocks, rows belong to several. Mean, scale
+and threshold are those of all labelled rows. Null text counts as empty and has features and a score like any other. Labels other
 than 0 and 1 are left out; without rows of both classes every score is 0.5. Null or repeated document
 ids: a row for each row of the input; labels belong to all rows with their id. Columns but id and text
 are not read.
@@ -16,15 +18,20 @@ are not read.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.columns import NOT_SPACE, let, split_words, text_or_empty
+from catalens.shipping import ship_by_value
 from catalens.sources.shared import shared_folder
 
+ship_by_value(__name__)
+
 
 def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("double")
@@ -61,6 +68,9 @@ def text_features(text: Column) -> Column:
 
 
 N_FEATURES = 13
+# Rows of either class that a block should hold, in the mean.
+_LEAST = 50
+_FOLDED = pa.schema([("gradient", pa.list_(pa.float64())), ("curve", pa.list_(pa.float64())), ("pairs", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -82,44 +92,122 @@ def _pairs(good: int, bad: int, per_row: int, seed: int) -> tuple[np.ndarray, np
     return better, worse
 
 
+def _packed(mean: np.ndarray, scale: np.ndarray):
+    """Rows of a block -> one row: number, scaled features of the good and of the bad ones, in order of a hash."""
+
+    def pack(key, table):
+        features = np.array(table["features"].to_pylist(), float)
+        labels = table["label"].to_numpy()
+        order = np.lexsort((*features.T[::-1], labels, table["doc_id"].to_numpy(), table["hash"].to_numpy()))
+        x, labels = np.clip((features[order] - mean) / scale, -4, 4), labels[order]
+        return pa.table({"block": [key[0].as_py()], "good": [x[labels == 1].tobytes()], "bad": [x[labels == 0].tobytes()]})
+
+    return pack
+
+
+def _sums(weights: np.ndarray, per_row: int, seed: int):
+    """Blocks -> sums over their pairs of the loss's gradient and curve at ``weights``, a row per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(weights)
+        gradient, curve, pairs = np.zeros(size), np.zeros((size, size)), 0
+        for batch in batches:
+            for block, *classes in zip(*(batch.column(n).to_pylist() for n in ("block", "good", "bad"))):
+                good, bad = (np.frombuffer(x).reshape(-1, size) for x in classes)
+                if not len(good) or not len(bad):
+                    continue
+                better, worse = _pairs(len(good), len(bad), per_row, seed + block)
+                diff = good[better] - bad[worse]
+                p = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))  # chance of the wrong order
+                gradient -= diff.T @ p
+                curve += (diff * (p * (1 - p))[:, None]).T @ diff
+                pairs += len(diff)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([gradient], _FOLDED.field(0).type), pa.array([curve.ravel()], _FOLDED.field(1).type), pa.array([pairs])],
+            schema=_FOLDED,
+        )
+
+    return run
+
+
+def _middle(raw: DataFrame, cut: int, n: int) -> float:
+    """Mean of the ``cut``-th smallest value of column raw and the next one, if any. Exact."""
+    margin = 3e-5
+    while True:
+        ends = [min(max((cut + k + side * margin * n) / n, 0.0), 1.0) for k, side in ((-2, -1), (3, 1))]
+        low, high = raw.agg(F.percentile_approx("raw", ends, 100_000)).first()[0]
+        below = raw.where(F.col("raw") < low).count()
+        near = raw.where(F.col("raw").between(low, high)).groupBy("raw").count().orderBy("raw").collect()
+        reach = below + np.cumsum([r["count"] for r in near])
+        last = min(cut + 1, n)
+        if below < cut and reach[-1] >= last:
+            first, second = (near[int(np.searchsorted(reach, k))]["raw"] for k in (cut, last))
+            return (first + second) / 2
+        margin *= 4  # the bounds are approximate
+
+
 def fit(
-    features: np.ndarray, labels: np.ndarray, *, per_row: int = 8, ridge: float = 1e-3,
-    rounds: int = 30, seed: int = 17,
+    labelled: DataFrame, *, per_row: int = 8, ridge: float = 1e-3, rounds: int = 30, seed: int = 17,
+    block_rows: int = 20_000,
 ) -> Model | None:
-    """Weights by Newton's method on the logistic loss of differences; None without both classes."""
-    good, bad = labels == 1, labels == 0
-    if not good.any() or not bad.any():
+    """Weights by Newton's method on the logistic loss of differences; None without both classes.
+
+    ``labelled``: doc_id, features, label of all rows to learn from, read several times.
+    """
+    spark = labelled.sparkSession
+    each = [F.get("features", F.lit(k)) for k in range(N_FEATURES)]
+    n, good, *moments = labelled.agg(
+        F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), *[f(x) for f in (F.avg, F.stddev_pop) for x in each]
+    ).first()
+    bad = n - good
+    if not good or not bad:
         return None
-    mean, scale = features.mean(0), features.std(0)
+    mean, scale = np.array(moments[:N_FEATURES]), np.array(moments[N_FEATURES:])
     scale[scale < 1e-9] = 1.0
-    x = np.clip((features - mean) / scale, -4, 4)
-    better, worse = _pairs(int(good.sum()), int(bad.sum()), per_row, seed)
-    diff = x[good][better] - x[bad][worse]
-    w = np.zeros(x.shape[1])
+
+    count = -(-n // block_rows)
+    copies = [min(count, -(-_LEAST * count // rows)) for rows in (bad, good)]
+    turn = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == 1, copies[1]).otherwise(copies[0]) - 1))
+    dealt = labelled.select("*", F.xxhash64("doc_id").alias("hash"), turn.alias("turn"))
+    place = F.pmod(F.xxhash64("doc_id", "features") % count + F.col("turn"), F.lit(count)).alias("block")
+    folder = shared_folder(spark, "quality-blocks")
+    schema = "block long, good binary, bad binary"
+    (
+        dealt.select(place, "hash", "doc_id", "label", "features")
+        .groupBy("block").applyInArrow(_packed(mean, scale), schema).write.parquet(folder)
+    )
+    blocks = spark.read.schema(schema).parquet(folder)
+
+    w = np.zeros(N_FEATURES)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance of the wrong order
-        gradient = ridge * w - diff.T @ p / len(diff)
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff)
+        parts = blocks.mapInArrow(_sums(w, per_row, seed), "gradient array<double>, curve array<double>, pairs long").collect()
+        pairs = sum(r["pairs"] for r in parts)
+        gradient = ridge * w + np.sum([r["gradient"] for r in parts], axis=0) / pairs
+        curve = np.sum([r["curve"] for r in parts], axis=0).reshape(len(w), -1) / pairs
         step = np.linalg.solve(curve + ridge * np.eye(len(w)), gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    raw = np.sort(x @ w)
-    cut = int(bad.sum())  # the quantile at the share of the worse class
-    threshold = (raw[cut - 1] + raw[min(cut, len(raw) - 1)]) / 2
-    spread = max(float(np.std(raw)) / 2, 1e-9)
-    return Model(mean.tolist(), scale.tolist(), w.tolist(), float(threshold), spread)
+    model = Model(mean.tolist(), scale.tolist(), w.tolist(), 0.0, 1.0)
+    raw = labelled.select(_raw(F.col("features"), model).alias("raw"))
+    # The threshold is the quantile at the share of the worse class.
+    spread = raw.agg(F.stddev_pop("raw")).first()[0]
+    return replace(model, threshold=_middle(raw, bad, n), spread=max(spread / 2, 1e-9))
 
 
-def score(features: Column, model: Model | None, at_threshold: float) -> Column:
-    """From 0 to 1; ``at_threshold`` where the raw score is the model's threshold."""
-    if model is None:
-        return F.lit(0.5)
+def _raw(features: Column, model: Model) -> Column:
     raw = F.lit(0.0)
     for k, (m, s, w) in enumerate(zip(model.mean, model.scale, model.weights)):
         z = (F.get(features, F.lit(k)) - m) / s
         raw = raw + F.greatest(F.least(z, F.lit(4.0)), F.lit(-4.0)) * w
-    shifted = (raw - model.threshold) / model.spread + math.log(at_threshold / (1 - at_threshold))
+    return raw
+
+
+def score(features: Column, model: Model | None, at_threshold: float) -> Column:
+    """From 0 to 1; ``at_threshold`` where the raw score is the model's threshold."""
+    if model is None:
+        return F.lit(0.5)
+    shifted = (_raw(features, model) - model.threshold) / model.spread + math.log(at_threshold / (1 - at_threshold))
     return 1 / (1 + F.exp(-shifted))
 
 
@@ -131,13 +219,13 @@ def rank_quality(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    max_rows: int = 20_000,
+    block_rows: int = 20_000,
     at_threshold: float = 0.3,
 ) -> DataFrame:
     """doc_id, score and predicted (1 from ``at_threshold`` on) per document.
 
-    ``learn``: condition on column ``doc_id`` of the rows whose labels may be used. ``max_rows``: at
-    most so many labelled rows, those with the smallest hash of the id, are fitted.
+    ``learn``: condition on column ``doc_id`` of the rows whose labels may be used.
+    ``block_rows``: about so many labelled rows meet in a block.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "quality-features")
@@ -151,14 +239,11 @@ def rank_quality(
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & learn)
         .dropDuplicates()
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     )
-    sample = (
-        rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "features")
-        .limit(max_rows).select("features", "label").collect()
+    labelled = shared_folder(spark, "quality-labelled")
+    rows.join(known, "doc_id").select("doc_id", "features", "label").write.parquet(labelled)
+    model = fit(
+        spark.read.schema("doc_id long, features array<double>, label int").parquet(labelled), block_rows=block_rows
     )
-    model = None
-    if sample:
-        model = fit(np.array([r["features"] for r in sample]), np.array([r["label"] for r in sample]))
     scored = rows.select("doc_id", score(F.col("features"), model, at_threshold).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= at_threshold).cast("int"))

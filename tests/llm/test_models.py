@@ -75,6 +75,28 @@ def test_held_out_ranking(spark):
     assert right >= 0.95 * len(held)
 
 
+def _labelled(spark, n, rare=3):
+    rng = np.random.default_rng(4)
+    y = (np.arange(n) % rare > 0).astype(int)
+    x = rng.normal(size=(n, quality_classifier.N_FEATURES)) + y[:, None] * 0.4 * rng.normal(size=quality_classifier.N_FEATURES)
+    rows = [(i, f, int(v)) for i, (f, v) in enumerate(zip(x.tolist(), y))]
+    return x, y, spark.createDataFrame(rows, "doc_id long, features array<double>, label int")
+
+
+@pytest.mark.parametrize("block_rows, rare", [(10_000, 3), (100, 3), (100, 250)])
+def test_all_labelled_rows_are_learned(spark, block_rows, rare):
+    """Mean, scale, threshold and spread are those of all rows, however many blocks they are dealt to."""
+    x, y, labelled = _labelled(spark, 1500, rare)
+    model = quality_classifier.fit(labelled, block_rows=block_rows)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    raw = np.clip((x - x.mean(0)) / x.std(0), -4, 4) @ np.array(model.weights)
+    ranked, bad = np.sort(raw), int((y == 0).sum())
+    assert np.isclose(model.threshold, (ranked[bad - 1] + ranked[bad]) / 2) and np.isclose(model.spread, raw.std() / 2)
+    whole = quality_classifier.fit(labelled, block_rows=10_000)
+    assert np.corrcoef(model.weights, whole.weights)[0, 1] > 0.95
+    assert raw[y == 1].mean() > raw[y == 0].mean()
+
+
 def test_labels_of_one_class_or_none(spark):
     assert {r.score for r in _ranked(spark, [(1, "a b"), (2, None)], [(1, 1), (2, 1)])} == {0.5}
     docs = spark.createDataFrame([], "doc_id long, text string")
