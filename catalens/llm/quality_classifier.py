@@ -182,6 +182,8 @@ def fit(
     for _ in range(rounds):
         parts = blocks.mapInArrow(_sums(w, per_row, seed), "gradient array<double>, curve array<double>, pairs long").collect()
         pairs = sum(r["pairs"] for r in parts)
+        if not pairs:  # one document fills each class
+            return fit(labelled, per_row=per_row, ridge=ridge, rounds=rounds, seed=seed, block_rows=n)
         gradient = ridge * w + np.sum([r["gradient"] for r in parts], axis=0) / pairs
         curve = np.sum([r["curve"] for r in parts], axis=0).reshape(len(w), -1) / pairs
         step = np.linalg.solve(curve + ridge * np.eye(len(w)), gradient)

@@ -97,6 +97,16 @@ def test_all_labelled_rows_are_learned(spark, block_rows, rare):
     assert raw[y == 1].mean() > raw[y == 0].mean()
 
 
+def test_one_document_fills_each_class(spark):
+    """Blocks of one class only: the classes meet all the same."""
+    width = quality_classifier.N_FEATURES
+    for other in (2, 3):
+        rows = [(1, [0.0] * width, 0)] * 600 + [(other, [1.0] * width, 1)] * 600
+        labelled = spark.createDataFrame(rows, "doc_id long, features array<double>, label int")
+        model = quality_classifier.fit(labelled, block_rows=100, rounds=3)
+        assert min(model.weights) > 0 and abs(model.threshold) < 1e-9
+
+
 def test_labels_of_one_class_or_none(spark):
     assert {r.score for r in _ranked(spark, [(1, "a b"), (2, None)], [(1, 1), (2, 1)])} == {0.5}
     docs = spark.createDataFrame([], "doc_id long, text string")
