@@ -97,3 +97,54 @@ def test_language_from_the_text():
     held = [words.numbers(t) for t in texts]
     owners = np.array(words.owners)
     assert [words.language(t, owners) for t in held] == [0, 1, 2, 3, 4]
+
+
+def test_all_labelled_rows_are_learned(spark, case):
+    """An insult that only stands in a few hundred of many labelled rows, far back in the order of the ids' hash."""
+    rng = random.Random(8)
+    plain = [t.split()[:8] for _, t, y in case if not y]
+    ids = spark.range(10800).select("id").orderBy(F.xxhash64("id")).toPandas()["id"].tolist()
+    late = set(ids[9200:])
+    rows, labels = [], []
+    for n, i in enumerate(ids):
+        words, toxic = list(rng.choice(plain)), n % 5 == 0
+        if toxic:
+            words.insert(rng.randrange(len(words)), "vrokkel" if i in late else "zgrumf")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    got = {r.doc_id: r.predicted for r in _scored(spark, rows, labels)}
+    for wanted, part in ((1, late), (1, set(ids) - late)):
+        held = [got[i] for i, y in labels if y == wanted and i in part and i % 3 == 0]
+        assert len(held) > 40 and sum(held) >= 0.95 * len(held)
+    clean = [got[i] for i, y in labels if not y and i % 3 == 0]
+    assert sum(clean) <= 0.03 * len(clean)
+
+
+def test_blocks_learn_together(spark, case):
+    """Many small blocks, some without a toxic row, catch what one block does."""
+    rows, labels = [(i, t) for i, t, _ in case], [(i, y) for i, _, y in case]
+    for options in ({"block_rows": 40}, {"block_chars": 20_000}):
+        got = {r.doc_id: r.predicted for r in _scored(spark, rows, labels, **options)}
+        held = [(got[i], y) for i, y in labels if i % 3 == 0]
+        assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held)
+        assert sum(p for p, y in held if not y) <= 0.05 * sum(1 - y for _, y in held)
+
+
+def test_thresholds_of_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 3), float(s), int(rng.random() < 1 / (1 + np.exp(-s)))) for k, s in enumerate(rng.normal(0, 2, 600))]
+    rows += [(4, 90.0, 1), (4, -90.0, 0)]
+    judged = spark.createDataFrame(rows, "lang int, given double, label int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = toxicity._thresholds(judged, 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    of = lambda keep: toxicity._threshold(*(np.array([r[k] for r in rows if keep(r)]) for k in (1, 2)))
+    assert got.tolist() == [*[of(lambda r, k=k: r[0] == k) for k in range(3)], of(lambda r: True), of(lambda r: True)]
+
+
+def test_greatest_answers_in_pieces(case, monkeypatch):
+    texts, labels = [t for _, t, _ in case], np.array([y for _, _, y in case])
+    whole = toxicity.fit(texts[:200], labels[:200], epochs=2)
+    monkeypatch.setattr(toxicity, "_PIECE", 50)
+    pieces = toxicity.fit(texts[:200], labels[:200], epochs=2)
+    assert np.allclose(whole.table, pieces.table, atol=1e-4) and np.allclose(whole.thresholds, pieces.thresholds, atol=1e-3)
