@@ -557,17 +557,19 @@ def fit_all(
     importance = _importance(n_train, toxic)
     training = Training(dim, filters, seed)
     for k in range(epochs):
+        common = spark.sparkContext.broadcast(training)
 
-        def learned(block, rows, texts, labels, spoken, n_train, k=k):
-            mine = copy.deepcopy(training)
+        def learned(block, rows, texts, labels, spoken, n_train, k=k, common=common):
+            mine = copy.deepcopy(common.value)
             if not n_train:
                 return np.zeros_like(mine.changes(mine.state(), mine.touched))
             rows = np.where(often[rows], rows, _PAD)
             random = np.random.default_rng([seed, k, block])
             changed = mine.epoch(texts[:n_train], rows, labels[:n_train], importance, random)
-            return mine.changes(training.state(), changed)
+            return mine.changes(common.value.state(), changed)
 
         training.add(_summed(blocks, learned))
+        common.destroy()  # its copies on all disks
     model = training.finished()
     alone = 0 < check_toxic < n_check
 
@@ -610,8 +612,8 @@ def classify_toxic(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    block_rows: int = 6_000,
-    block_chars: int = 20_000_000,
+    block_rows: int = 2_000,
+    block_chars: int = 8_000_000,
 ) -> DataFrame:
     """doc_id, score and predicted (1 from a score of 0.5 on) per document.
 
