@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.sources.shared import shared_folder
 
+_REMOVES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within delete their shuffle files when they end.
+
+    Else Spark deletes them some time after the driver has collected what refers to them.
+    """
+    before = spark.conf.get(_REMOVES_SHUFFLES, "false")
+    spark.conf.set(_REMOVES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_REMOVES_SHUFFLES, before)
+
 
 def written(df: DataFrame, folder: str) -> DataFrame:
     """The table, written once, so that what follows does not depend on how it came about.
 
-    Spark deletes the shuffle files behind it when the driver collects its garbage, which may be long
-    after; asking for that here keeps the disk free for the next step.
+    The shuffle files behind it go at once, and the driver collects its garbage, so that disk and memory
+    are free for the next step.
     """
-    df.write.mode("overwrite").parquet(folder)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").parquet(folder)
     df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

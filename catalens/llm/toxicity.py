@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.components import written
+from catalens.llm.components import shuffles_removed, written
 from catalens.shipping import ship_by_value
 from catalens.sources.shared import shared_folder
 
@@ -470,8 +470,8 @@ def _summed(blocks: DataFrame, of_block) -> np.ndarray:
         return pa.table([[key[0].as_py()], [total.astype(np.float32).tobytes()]], schema=schema)
 
     columns = "part int, sums binary"
-    rows = blocks.coalesce(_TASKS).mapInArrow(run, columns).groupBy("part").applyInArrow(add, columns).collect()
-    # Shuffle files go when the driver collects its garbage, else those of all epochs would lie on disk at once.
+    with shuffles_removed(blocks.sparkSession):  # else those of all epochs would lie on disk at once
+        rows = blocks.coalesce(_TASKS).mapInArrow(run, columns).groupBy("part").applyInArrow(add, columns).collect()
     blocks.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(rows)]).astype(float)
 

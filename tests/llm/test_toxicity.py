@@ -1,6 +1,7 @@
 """The convolutional classifier on held-out rows, long texts and tables without labels."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -148,3 +149,28 @@ def test_greatest_answers_in_pieces(case, monkeypatch):
     monkeypatch.setattr(toxicity, "_PIECE", 50)
     pieces = toxicity.fit(texts[:200], labels[:200], epochs=2)
     assert np.allclose(whole.table, pieces.table, atol=1e-4) and np.allclose(whole.thresholds, pieces.thresholds, atol=1e-3)
+
+
+def test_training_leaves_no_shuffle_files(spark, case, monkeypatch):
+    """Sums of an epoch are gone from disk when the next one begins; a few small counts may go with the first."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        # A file may go while Java lists them.
+        return {f for f in str(disk.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in f}
+
+    before, left, summed = shuffles(), [], toxicity._summed
+
+    def look(blocks, of_block):
+        for _ in range(20):  # executors remove them a moment later
+            if not (found := shuffles() - before):
+                break
+            time.sleep(0.1)
+        left.append(len(found))
+        return summed(blocks, of_block)
+
+    monkeypatch.setattr(toxicity, "_summed", look)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in case[:200]], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in case[:200]], "doc_id long, toxic int")
+    toxicity.classify_toxic(docs, labels, learn=F.col("doc_id") % 3 != 0, block_rows=40)
+    assert len(left) > 5 and not any(left[2:])
