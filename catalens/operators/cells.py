@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from catalens.shipping import ship_by_value
@@ -23,6 +24,8 @@ SLACK = 1e-9
 TILE = 512
 ENTRIES = 1 << 20
 CANDIDATES = 1 << 14
+# Pairs that a group hands on at a time.
+PAIRS = 1 << 16
 
 
 def matrix(encodings: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -231,11 +234,19 @@ def in_groups(
         f"face_id {types['face_id']}, image_id {types['image_id']}, name string, copies bigint, "
         "distance double"
     )
-    pairs = (
-        left.groupBy(*GROUP)
-        .cogroup(right.groupBy(*GROUP))
-        .applyInArrow(lambda a, b: close_pairs(a, b, tolerance), schema)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        known = group["known"]
+        faces, people = group.filter(pc.invert(known)), group.filter(known)
+        del group
+        yield from pair_batches(faces, people, tolerance)
+
+    # One table, not two that meet, as only such groups hand on their pairs while they find them.
+    both = left.withColumn("known", F.lit(False)).unionByName(
+        right.withColumn("known", F.lit(True)), allowMissingColumns=True
     )
+    pairs = both.groupBy(*GROUP).applyInArrow(met, schema)
     # One row per copy, as each is a known encoding of its own.
     return pairs.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         "face_id", "image_id", "name", "distance"
@@ -283,32 +294,40 @@ def _candidates(
             yield rows[start + i[at : at + CANDIDATES]], columns[j[at : at + CANDIDATES]]
 
 
-def close_pairs(faces: pa.Table, people: pa.Table, tolerance: float) -> pa.Table:
-    """Pairs of a group of faces and a group of people within the tolerance.
+def pair_batches(faces: pa.Table, people: pa.Table, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group of faces and a group of people within the tolerance, some ``PAIRS`` at a time.
 
     Squared distances by matrix product pick the candidates, with slack for cancellation;
     differences decide.
     """
-    found_faces, found_people, found_distances = [], [], []
-    if faces.num_rows and people.num_rows:
-        a, b = matrix(faces["encoding"]), matrix(people["encoding"])
-        seen_before = _seen_before(faces, people)
-        for rows, columns in _met(faces, people):
-            for i, j in _candidates(a, b, rows, columns, tolerance):
-                d = np.sqrt(np.square(a[i] - b[j]).sum(axis=1))
-                keep = (d <= tolerance) & ~seen_before(i, j)
-                found_faces.append(i[keep])
-                found_people.append(j[keep])
-                found_distances.append(d[keep])
-    none = np.empty(0, dtype=int)
-    left = pa.array(np.concatenate([none, *found_faces]), pa.int64())
-    right = pa.array(np.concatenate([none, *found_people]), pa.int64())
-    return pa.table(
-        {
-            "face_id": faces["face_id"].take(left),
-            "image_id": faces["image_id"].take(left),
-            "name": people["name"].take(right),
-            "copies": people["copies"].take(right),
-            "distance": pa.array(np.concatenate([none.astype(float), *found_distances])),
-        }
-    )
+    if not faces.num_rows or not people.num_rows:
+        return
+    a, b = matrix(faces["encoding"]), matrix(people["encoding"])
+    seen_before = _seen_before(faces, people)
+    ids = {n: faces[n].combine_chunks() for n in ("face_id", "image_id")}
+    names = {n: people[n].combine_chunks() for n in ("name", "copies")}
+
+    def batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        i, j, d = (pa.array(np.concatenate(x)) for x in zip(*found))
+        taken = {n: v.take(i) for n, v in ids.items()} | {n: v.take(j) for n, v in names.items()}
+        return pa.RecordBatch.from_pydict(taken | {"distance": d})
+
+    found, held = [], 0
+    for rows, columns in _met(faces, people):
+        for i, j in _candidates(a, b, rows, columns, tolerance):
+            d = np.sqrt(np.square(a[i] - b[j]).sum(axis=1))
+            keep = (d <= tolerance) & ~seen_before(i, j)
+            found.append((i[keep], j[keep], d[keep]))
+            held += int(keep.sum())
+            if held >= PAIRS:
+                yield batch(found)
+                found, held = [], 0
+    if held:
+        yield batch(found)
+
+
+def close_pairs(faces: pa.Table, people: pa.Table, tolerance: float) -> pa.Table:
+    """All of :func:`pair_batches` at once."""
+    empty = {"face_id": faces, "image_id": faces, "name": people, "copies": people}
+    fields = [pa.field(n, t.schema.field(n).type) for n, t in empty.items()] + [pa.field("distance", pa.float64())]
+    return pa.Table.from_batches(pair_batches(faces, people, tolerance), pa.schema(fields))

@@ -150,6 +150,27 @@ def test_memory_of_a_group_of_copies():
     assert pairs.num_rows == 900_000 and peak < 150e6
 
 
+def test_pairs_of_a_group_are_handed_on_while_they_are_found():
+    """A group in which every face matches everyone never holds all of its pairs."""
+    from catalens.operators import cells
+
+    n = 1500
+    same = pa.FixedSizeListArray.from_arrays(pa.array(np.zeros(4 * n)), 4)
+    faces = pa.table({"face_id": range(n), "image_id": range(n), "encoding": same})
+    people = pa.table({"name": [f"p{k}" for k in range(n)], "copies": [1] * n, "encoding": same})
+    sizes = [b.num_rows for b in cells.pair_batches(faces, people, 0.6)]
+    assert sum(sizes) == n * n and max(sizes) < cells.PAIRS + cells.CANDIDATES
+
+
+def test_a_group_streams_its_pairs(spark):
+    """In the plan a group gets and gives batches, it is not one table of pairs."""
+    vectors, named = clustered(4)
+    matches = recognition.face_matches(faces_table(spark, vectors), known_table(spark, named), 3.0)
+    assert found(matches) == brute_force(vectors, named, 3.0)
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan
+
+
 def test_known_encodings_of_one_length(spark):
     faces = faces_table(spark, [np.zeros(2), np.zeros(3)])
     mixed = known_table(spark, [("a", [0.0, 0.0]), ("b", [0.0, 0.0, 0.0])])
