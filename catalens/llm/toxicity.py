@@ -27,6 +27,7 @@ empty table gives no rows. Columns but id and text are not read.
 from __future__ import annotations
 
 import copy
+import itertools
 import re
 import zlib
 from array import array
@@ -65,12 +66,52 @@ _OWNER = {word: k for k, words in enumerate(_LANGUAGES.values()) for word in wor
 N_LANGUAGES = len(_LANGUAGES) + 1
 
 
-def _features(word: str) -> list[int]:
-    """Rows of a word: two of its own, and one per beginning and for its end."""
-    parts = [f"0{word}", f"1{word}"]
-    parts += [f"^{word[:n]}" if len(word) > n else "" for n in _BEGINNINGS]
-    parts.append(f"${word[-4:]}" if len(word) > 4 else "")
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % _ROWS if p else _PAD for p in parts]
+# Checksums go on from the letter that tells kinds apart.
+_WHOLE, _BEGINS, _ENDS = [zlib.crc32(b) for b in (b"0", b"1")], zlib.crc32(b"^"), zlib.crc32(b"$")
+
+
+def _steps() -> np.ndarray:
+    """How a checksum's last byte turns the rest when a byte is added, as zlib does it."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, steps >> 1 ^ np.uint32(0xEDB88320), steps >> 1)
+    return steps
+
+
+_STEPS = _steps()
+
+
+def _checksums(cuts: list[bytes], width: int, start: int) -> list[np.ndarray]:
+    """Checksums after each of ``width`` bytes of every string, that many or more of which it has."""
+    letters = np.array(cuts, f"S{width}").view(np.uint8).reshape(-1, width)
+    crc, out = np.full(len(cuts), ~start & 0xFFFFFFFF, np.uint32), []
+    for k in range(width):
+        crc = _STEPS[(crc ^ letters[:, k]) & 0xFF] ^ crc >> 8
+        out.append(~crc)
+    return out
+
+
+def _features(words: list[str]) -> np.ndarray:
+    """Rows of words: two of its own, and one per beginning and for its end."""
+    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    rows = np.full((len(words), _KINDS), _PAD, np.int32)
+    for k, kind in enumerate(_WHOLE):
+        rows[:, k] = np.fromiter((zlib.crc32(b, kind) for b in coded), np.uint32, len(words)) % _ROWS
+    begun = _checksums([b[: _BEGINNINGS[-1]] for b in coded], _BEGINNINGS[-1], _BEGINS)
+    for k, n in enumerate(_BEGINNINGS):
+        rows[:, 2 + k] = np.where(sizes > n, begun[n - 1] % _ROWS, _PAD)
+    ended = _checksums([b[-4:] for b in coded], 4, _ENDS)[-1]
+    rows[:, -1] = np.where(sizes > 4, ended % _ROWS, _PAD)
+    # Where characters take several bytes, cuts are between characters.
+    for i in np.flatnonzero(sizes != np.fromiter(map(len, coded), np.int64, len(words))).tolist():
+        word = words[i]
+        cuts = [(word[:n], _BEGINS) if len(word) > n else None for n in _BEGINNINGS]
+        cuts.append((word[-4:], _ENDS) if len(word) > 4 else None)
+        rows[i, 2:] = [
+            zlib.crc32(cut[0].encode("utf-8", "surrogatepass"), cut[1]) % _ROWS if cut else _PAD for cut in cuts
+        ]
+    return rows
 
 
 class Words(dict):
@@ -78,15 +119,17 @@ class Words(dict):
 
     def __init__(self):
         self[""] = 0
-        self._rows, self.owners = array("i", [_PAD] * _KINDS), [N_LANGUAGES - 1]
+        self.owners = array("b", [N_LANGUAGES - 1])
 
     def rows(self, first: int = 0) -> np.ndarray:
         """Rows of the words from number ``first`` on."""
-        return np.array(self._rows[first * _KINDS :], np.int32).reshape(-1, _KINDS)
+        words = list(itertools.islice(self, max(first, 1), None))  # in the order of their numbers
+        parts = [words[at : at + _PIECE] for at in range(0, len(words), _PIECE)]
+        none = np.full((0 if first else 1, _KINDS), _PAD, np.int32)
+        return np.concatenate([none, *map(_features, parts)])
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
-        self._rows.extend(_features(word))
         self.owners.append(_OWNER.get(word, N_LANGUAGES - 1))
         return number
 

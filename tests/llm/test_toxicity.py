@@ -2,6 +2,7 @@
 
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -174,3 +175,18 @@ def test_training_leaves_no_shuffle_files(spark, case, monkeypatch):
     labels = spark.createDataFrame([(i, y) for i, _, y in case[:200]], "doc_id long, toxic int")
     toxicity.classify_toxic(docs, labels, learn=F.col("doc_id") % 3 != 0, block_rows=40)
     assert len(left) > 5 and not any(left[2:])
+
+
+def test_rows_of_words():
+    """Words in bulk get the rows that the checksums of their parts say, whatever their letters take in bytes."""
+    rng = random.Random(2)
+    drawn = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for letters in ("abcde", "aäßжd漢") for _ in range(300)]
+    words = toxicity.Words()
+    for word in drawn:
+        words[word]
+    got = np.concatenate([words.rows()[:200], words.rows(200)])
+    assert len(got) == len(words) and (got[0] == toxicity._PAD).all()
+    for word, rows in list(zip(words, got.tolist()))[1:]:
+        parts = ["0" + word, "1" + word, *("^" + word[:n] if len(word) > n else "" for n in toxicity._BEGINNINGS)]
+        parts.append("$" + word[-4:] if len(word) > 4 else "")
+        assert rows == [zlib.crc32(p.encode()) % toxicity._ROWS if p else toxicity._PAD for p in parts]
