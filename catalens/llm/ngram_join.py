@@ -53,7 +53,7 @@ _MARKS = 16
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 16:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -159,3 +159,12 @@ def test_many_texts_below_the_threshold(spark):
                 low, high = sorted((reach[i], reach[j]))
                 reach = {k: low if v == high else v for k, v in reach.items()}
     assert got == reach and 100 < len(set(got.values())) < len(rows)
+
+
+def test_word_hashes_that_a_worker_keeps_are_few():
+    from catalens.llm import ngram_join
+
+    hashes = ngram_join._WordHashes()
+    for k in range(100_000):
+        hashes[b"%d" % k]
+    assert len(hashes) <= (1 << 16) + 1
