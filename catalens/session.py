@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,3 +31,20 @@ def build_session(app: str = "catalens", master: str | None = None, **extra: str
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+@contextmanager
+def starting_with(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Streams started within take over ``settings`` (by full name); afterwards the session has its own again."""
+    conf = spark.conf
+    named = {key: conf.getAll.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            conf.set(key, value)
+        yield
+    finally:
+        for key, value in named.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from catalens.operators import lookup
-from catalens.session import SETTINGS
+from catalens.session import SETTINGS, starting_with
 from catalens.shipping import ship_by_value
 from catalens.streaming import request_stream
 
@@ -261,19 +261,10 @@ def admissions(arriving: DataFrame, horizon: float = 3600, delay: str = "1 hour"
 
 
 def run_appending(stream: DataFrame, folder: str, **options: str) -> StreamingQuery:
-    """:func:`request_stream.run_appending` with a state store that holds several states per key.
-
-    A stream takes over the session's settings when it starts; afterwards the session has its own again.
-    """
-    conf = stream.sparkSession.conf
-    named = conf.getAll.get(_STORE)
+    """:func:`request_stream.run_appending` with a state store that holds several states per key."""
+    spark = stream.sparkSession
+    named = spark.conf.getAll.get(_STORE)
     if named is not None and not named.endswith(_SINGLE):
         return request_stream.run_appending(stream, folder, **options)
-    conf.set(_STORE, SETTINGS[_STORE])
-    try:
+    with starting_with(spark, **{_STORE: SETTINGS[_STORE]}):
         return request_stream.run_appending(stream, folder, **options)
-    finally:
-        if named is None:
-            conf.unset(_STORE)
-        else:
-            conf.set(_STORE, named)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalens.operators import lookup
+from catalens.session import starting_with
 from catalens.shipping import ship_by_value
 from catalens.sources import manifest
 
@@ -21,6 +22,9 @@ c = F.col
 
 # Copies of each outcome in the pairing join.
 OUTCOME_COPIES = 8
+# Partitions that a stream's state may have in any case, however few the cores.
+LEAST_PARTITIONS = 8
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def _earliest_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +113,30 @@ def pair_outcomes(
 # --- running ----------------------------------------------------------------------------
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state: the session's shuffle partitions, but no more than run at once.
+
+    Each batch opens and commits the stores of every partition, with or without rows, so that partitions beyond
+    the cores only add to its time: with a number that grows with the input, each batch would pay for the
+    whole of it. A stream keeps the number that it started with.
+    """
+    at_once = max(LEAST_PARTITIONS, spark.sparkContext.defaultParallelism)
+    return min(int(spark.conf.get(_PARTITIONS)), at_once)
+
+
 def run_appending(stream: DataFrame, folder: str, **options: str) -> StreamingQuery:
     """Process what is there now into Parquet files, exactly once, and stop."""
-    return (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .option("path", f"{folder}/rows")
         .options(**options)
         .trigger(availableNow=True)
-        .start()
     )
+    spark = stream.sparkSession
+    with starting_with(spark, **{_PARTITIONS: str(state_partitions(spark))}):
+        return writer.start()
 
 
 def run_batches(
@@ -127,22 +144,26 @@ def run_batches(
     folder: str,
     transform: Callable[[DataFrame], DataFrame] = lambda batch: batch,
     mode: str = "append",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Process what is there now batch by batch; each batch owns one output folder.
 
     A batch run again after a failure overwrites its own folder, so no row is doubled.
-    ``transform`` sees an ordinary DataFrame and is planned as a batch query.
+    ``transform`` sees an ordinary DataFrame and is planned as a batch query. Its joins, too, are dealt
+    to ``partitions``, by default :func:`state_partitions`.
     """
     def write(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    return (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(write)
-        .start()
     )
+    spark = stream.sparkSession
+    with starting_with(spark, **{_PARTITIONS: str(partitions or state_partitions(spark))}):
+        return writer.start()
 
 
 def read_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -174,4 +195,5 @@ def lookup_stream(
         stored = cached.join(asked, "filepath", "left_semi")
         return lookup.hit_or_miss(batch, stored).select("request_id", "filepath", "hit")
 
-    return run_batches(keyed, folder, answer)
+    # No state: the joins keep the session's partitions.
+    return run_batches(keyed, folder, answer, partitions=int(keyed.sparkSession.conf.get(_PARTITIONS)))

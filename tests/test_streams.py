@@ -133,3 +133,31 @@ def test_run_again_adds_nothing(spark, source, tmp_path):
         ).awaitTermination()
     got = rs.read_rows(spark, str(tmp_path), "request_id bigint")
     assert got.count() == lookup.valid(batch(spark, source)).count()
+
+
+def test_state_has_no_more_partitions_than_run_at_once(spark, source, tmp_path, monkeypatch):
+    """Each batch pays for every partition of the state; batches without state keep the session's number."""
+    key, seen = "spark.sql.shuffle.partitions", []
+    answer = lookup.hit_or_miss
+
+    def noted(batch, cached):
+        seen.append(batch.sparkSession.conf.get(key))
+        return answer(batch, cached)
+
+    monkeypatch.setattr(rs.lookup, "hit_or_miss", noted)
+    asked = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        admitted = rs.run_appending(rs.admit_once(stream(spark, source, 6), "10 hours"), str(tmp_path / "a"))
+        flights = rs.run_batches(rs.flight_windows(stream(spark, source, 6)), str(tmp_path / "f"), mode="update")
+        none = spark.createDataFrame([], "filepath string")
+        hits = rs.lookup_stream(stream(spark, source, 6), lambda: none, str(tmp_path / "h"))
+        for run in (admitted, flights, hits):
+            run.awaitTermination()
+        assert spark.conf.get(key) == "40" and seen == ["40"]
+    finally:
+        spark.conf.set(key, asked)
+    for run in (admitted, flights):
+        states = [s for progress in run.recentProgress for s in progress.stateOperators]
+        at_once = max(8, spark.sparkContext.defaultParallelism)
+        assert {s.numShufflePartitions for s in states} == {at_once} and at_once < 40
