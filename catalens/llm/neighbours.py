@@ -191,7 +191,8 @@ def nearest(
         F.col("vectors").alias("c_vectors"),
         F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int").alias("slot"),
     )
-    tiles = spread.join(placed, ["slot", "dim"]).select(
+    # Sizes are estimated without the copies that explode makes, so that the copied blocks could be broadcast.
+    tiles = spread.hint("merge").join(placed, ["slot", "dim"]).select(
         "dim", "rows", "ids", "vectors", "c_rows", "c_ids", "c_vectors"
     )
     found = tiles.mapInArrow(_tiles(k), _FOUND)

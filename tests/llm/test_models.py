@@ -40,6 +40,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=5)
+    assert len(got.collect()) == 20 * 5
+    # The plan that ran: the runtime would broadcast copies whose number it does not know.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("dim", [3, 64, 2000])
 def test_error_bounds_hold(dim):
     rng = np.random.default_rng(dim)
