@@ -126,3 +126,71 @@ def test_a_session_with_the_default_state_store(spark, arrived, tmp_path, named)
         spark.conf.set(key, own)
     schema = "request_id bigint, filepath string, ts timestamp, answered_ts timestamp, outcome string"
     assert sorted(map(tuple, rs.read_rows(spark, str(tmp_path), schema).collect())) == expected_answers(events, 900)
+
+
+def write_files(spark, folder, files):
+    for rows in files:
+        rows = [(r, p, at(s), o, "tick" if p is None else None) for s, p, r, o in rows]
+        spark.createDataFrame(rows, INPUT).coalesce(1).write.mode("append").parquet(folder)
+
+
+def state_rows(run):
+    return max(int(s["numRowsTotal"]) for p in run.recentProgress for s in p["stateOperators"])
+
+
+# Paths of a stream with little else.
+PATHS = 4000
+ANSWERED = "request_id bigint, filepath string, ts timestamp, answered_ts timestamp, outcome string"
+
+
+def many_paths(spark, folder):
+    """Most paths have one request; some ask again after their outcome, one request has no id."""
+    files = [
+        [(k % 600, f"p{k}", k, None) for k in range(PATHS)] + [(300, "p1", None, None)],
+        [(700 + k % 60, f"p{k}", None, "done") for k in range(0, PATHS, 2)]
+        + [(800, f"p{k}", PATHS + k, None) for k in range(0, PATHS, 4)],
+        [(100_000, None, None, None)],
+    ]
+    write_files(spark, folder, files)
+    return [e for rows in files for e in rows if e[2] is not None or e[3] is not None]
+
+
+def late_arrivals(spark, folder):
+    """Files of which one holds rows that come after their time is settled; the rows in time."""
+    far = 300 * 365 * 86_400
+    in_time = [(0, "p", 1, None), (99_000, "p", 2, None), (99_500, "q", 3, None), (100_100, "p", 5, None), (far, "p", 7, None)]
+    files = [
+        in_time[:1], [(100_000, None, None, None)], in_time[1:3], [(10, "p", 4, None), in_time[3], (11, "p", None, "done")],
+        [(far - 100_000, None, None, None)], in_time[4:], [(far + 100_000, None, None, None)],
+    ]
+    write_files(spark, folder, files)
+    return in_time
+
+
+def answered(spark, folder, stream):
+    run = in_flight.run_appending(stream, folder)
+    run.awaitTermination()
+    return sorted(map(tuple, rs.read_rows(spark, folder, ANSWERED).collect()), key=str), run
+
+
+def test_answers_do_not_keep_a_state_per_path(spark, tmp_path):
+    """A call and a state for each path took nearly all of the time."""
+    events = many_paths(spark, f"{tmp_path}/in")
+    have, run = answered(spark, f"{tmp_path}/a", in_flight.answers(arriving(spark, f"{tmp_path}/in"), 600, "30 minutes"))
+    nameless = (None, "p1", at(300), at(900), "timed out")
+    assert have == sorted([*expected_answers(events, 600), nameless], key=str)
+    assert state_rows(run) < PATHS
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_answers_of_paths_that_share_a_bucket(spark, arrived, tmp_path, buckets):
+    events, folder = arrived
+    stream = in_flight.answers(arriving(spark, folder), 600, "30 minutes", hot=["hot"], parts=4, buckets=buckets)
+    assert answered(spark, str(tmp_path), stream)[0] == sorted(expected_answers(events, 600), key=str)
+
+
+def test_answers_to_late_arrivals_and_far_times(spark, tmp_path):
+    """Late rows are lost, also next to rows in time; times need not fit nanoseconds."""
+    in_time = late_arrivals(spark, f"{tmp_path}/in")
+    have, _ = answered(spark, f"{tmp_path}/a", in_flight.answers(arriving(spark, f"{tmp_path}/in"), 600, "30 minutes"))
+    assert have == sorted(expected_answers(in_time, 600), key=str)
