@@ -15,7 +15,6 @@ keep them; :func:`run_appending` starts a stream with one that can, whatever the
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -304,78 +303,90 @@ def answers(
     )
 
 
-class _Admission(StatefulProcessor):
-    """Since when a path is in flight, and outcomes that later requests may still come before."""
+class _Admission(_Bucket):
+    """Since when the paths of a bucket are in flight, and outcomes that later requests may still come before.
+
+    A path in flight is a row without outcome, at the time of the request that started its job.
+    """
 
     def __init__(self, horizon: int):
         self.horizon = horizon
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.flight = handle.getValueState("flight", "us bigint, outcomes array<bigint>, alarm bigint")
-
-    def _read(self) -> tuple[int | None, list[int], int | None]:
-        if not self.flight.exists():
-            return None, [], None
-        since, outcomes, alarm = self.flight.get()
-        return since, list(outcomes), alarm
-
-    def _until(self, since: int, outcomes: list[int]) -> int:
-        k = bisect_left(outcomes, since)
-        return min([since + self.horizon, *outcomes[k : k + 1]])
-
-    def _write(self, since: int | None, outcomes: list[int], alarm: int | None, now: int) -> None:
-        """Keep what requests after the watermark still need, and one timer for when they need nothing."""
-        if since is not None and self._until(since, outcomes) <= now:
-            since = None
-        outcomes = [us for us in outcomes if us > now and (since is None or us >= since)]
-        needed = [*outcomes, *([self._until(since, outcomes)] if since is not None else [])]
-        at = max(needed) // 1000 + 1 if needed else None
-        if at != alarm:
-            if alarm is not None:
-                self.handle.deleteTimer(alarm)
-            if at is not None:
-                self.handle.registerTimer(at)
-        if at is None:
-            self.flight.clear()
-        else:
-            self.flight.update((since, outcomes, at))
+    def _until(self, outcomes: _Times, codes: np.ndarray, since: np.ndarray) -> np.ndarray:
+        until = since + self.horizon
+        at, found = outcomes.first(codes, since)
+        if found.any():
+            until[found] = np.minimum(until[found], outcomes.us[at[found]])
+        return until
+
+    def _admitted(self, new: pa.Table, now: int, alarm: int | None) -> pa.Table:
+        """New requests that start a job. Keeps what requests after the watermark still need, and one timer."""
+        held = self._held()
+        both = pa.concat_tables([held, new]).combine_chunks()
+        codes, paths, us, ends = _numbered(both)
+        came = np.arange(len(us)) >= held.num_rows
+        ended = np.flatnonzero(ends)
+        ended = ended[np.lexsort((us[ended], codes[ended]))]
+        outcomes = _Times(codes[ended], us[ended])
+        since, flies = np.zeros(len(paths), np.int64), np.zeros(len(paths), bool)
+        flying = ~ends & ~came
+        since[codes[flying]], flies[codes[flying]] = us[flying], True
+
+        asking = np.flatnonzero(~ends & came)
+        ids = both["request_id"].combine_chunks()
+        unknown = pc.is_null(ids).to_numpy(zero_copy_only=False)[asking]
+        ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[asking]
+        asking = asking[np.lexsort((ids, unknown, us[asking], codes[asking]))]
+        requests = _Times(codes[asking], us[asking])
+        # The next job of each path at once, until no path has a request after its last job.
+        asked = np.unique(requests.codes)
+        free = np.where(flies[asked], self._until(outcomes, asked, since[asked]), _BEFORE)
+        starts = []
+        while len(asked):
+            at, found = requests.first(asked, free, "right")
+            asked, at = asked[found], at[found]
+            since[asked], flies[asked] = requests.us[at], True
+            starts.append(asking[at])
+            free = self._until(outcomes, asked, since[asked])
+
+        flight = np.flatnonzero(flies)
+        until = self._until(outcomes, flight, since[flight])
+        flight, until = flight[until > now], until[until > now]
+        flies[:] = False
+        flies[flight] = True
+        ended = np.unique(ended[(outcomes.us > now) & (~flies[outcomes.codes] | (outcomes.us >= since[outcomes.codes]))])
+        nothing = pa.nulls(len(flight))
+        kept = pa.table([paths.take(pa.array(flight)), pa.array(since[flight]), nothing.cast(pa.int64()),
+                         nothing.cast(pa.large_string())], schema=_ROWS)
+        self._keep(pa.concat_tables([kept, both.take(ended)]))
+        needed = np.concatenate([until, us[ended]])
+        self._set(now, int(needed.max()) // 1000 + 1 if len(needed) else None, alarm)
+        return both.take(np.concatenate([np.zeros(0, np.int64), *starts]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            return
-        since, outcomes, alarm = self._read()
-        requests = []
-        for r in rows:
-            if r.outcome is None:
-                requests.append((r.us, r.request_id))
-            else:
-                outcomes.append(r.us)
-        outcomes.sort()
-        for us, request_id in sorted(requests, key=lambda r: (r[0], r[1] is None, r[1])):
-            if since is None or us > self._until(since, outcomes):
-                since = us
-                yield Row(request_id=request_id, filepath=key[0], us=us)
-        self._write(since, outcomes, alarm, timerValues.getCurrentWatermarkInMs() * 1000)
+        settled, alarm = self._clock()
+        new = self._arrived(rows, settled)
+        if new.num_rows:
+            for blob in _bytes(self._admitted(new, timerValues.getCurrentWatermarkInMs() * 1000, alarm)):
+                yield Row(rows=blob)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        since, outcomes, _ = self._read()
-        self._write(since, outcomes, None, timerValues.getCurrentWatermarkInMs() * 1000)
+        self._admitted(_ROWS.empty_table(), timerValues.getCurrentWatermarkInMs() * 1000, None)
         return iter(())
 
 
-def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without_repeats(table: pa.Table) -> pa.Table:
     """One request per path and time, the first by id, and one outcome."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        named = table.append_column("ends", pc.is_valid(table["outcome"]))
-        kept = named.group_by(["filepath", "ts", "ends"]).aggregate([("request_id", "min"), ("outcome", "min")])
-        yield from kept.select(["filepath", "ts", "request_id_min", "outcome_min"]).rename_columns(
-            ["filepath", "ts", "request_id", "outcome"]
-        ).to_batches()
+    named = table.append_column("ends", pc.is_valid(table["outcome"]))
+    kept = named.group_by(["bucket", "filepath", "us", "ends"]).aggregate([("request_id", "min"), ("outcome", "min")])
+    return kept.select(["bucket", "filepath", "us", "request_id_min", "outcome_min"]).rename_columns(
+        ["bucket", "filepath", "us", "request_id", "outcome"]
+    )
 
 
-def admissions(arriving: DataFrame, horizon: float = 3600, delay: str = "1 hour") -> DataFrame:
+def admissions(
+    arriving: DataFrame, horizon: float = 3600, delay: str = "1 hour", buckets: int = BUCKETS
+) -> DataFrame:
     """``request_id, filepath, ts`` of each request that starts a job; emitted at once.
 
     A path in flight admits nobody else. Its first outcome frees it; without one it counts as free once
@@ -384,17 +395,16 @@ def admissions(arriving: DataFrame, horizon: float = 3600, delay: str = "1 hour"
     earlier batch than requests and outcomes of its path that come before it in time; outcomes known
     ahead of their time do no harm.
 
-    A path is one key: its arrivals of a batch meet in one task, those of one instant combined before.
-    The trigger bounds how many that are.
+    A path is in one of ``buckets``: its arrivals of a batch meet in one task, those of one instant combined
+    before. The trigger bounds how many that are.
     """
-    combined = arriving.select("filepath", "ts", "request_id", "outcome").mapInArrow(
-        _without_repeats, "filepath string, ts timestamp, request_id bigint, outcome string"
-    )
-    timed = combined.withWatermark("ts", delay)
-    dealt = timed.select("filepath", "ts", F.unix_micros("ts").alias("us"), "request_id", "outcome")
-    out = dealt.groupBy("filepath").transformWithState(
-        _Admission(_micros(horizon)), "request_id bigint, filepath string, us bigint", "Append", "EventTime"
+    bucket = F.pmod(F.xxhash64("filepath"), F.lit(buckets))
+    packed = _by_bucket(arriving, bucket, delay, _without_repeats).transformWithState(
+        _Admission(_micros(horizon)), "rows binary", "Append", "EventTime"
     )
+    out = packed.transform(_unpacking(
+        "filepath string, us bigint, request_id bigint, outcome string", _ROWS
+    ))
     return out.select("request_id", "filepath", F.timestamp_micros("us").alias("ts"))
 
 

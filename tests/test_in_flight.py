@@ -194,3 +194,30 @@ def test_answers_to_late_arrivals_and_far_times(spark, tmp_path):
     in_time = late_arrivals(spark, f"{tmp_path}/in")
     have, _ = answered(spark, f"{tmp_path}/a", in_flight.answers(arriving(spark, f"{tmp_path}/in"), 600, "30 minutes"))
     assert have == sorted(expected_answers(in_time, 600), key=str)
+
+
+def admitted(spark, folder, stream):
+    run = in_flight.run_appending(stream, folder)
+    run.awaitTermination()
+    rows = rs.read_rows(spark, folder, "request_id bigint, filepath string, ts timestamp").collect()
+    return sorted(map(tuple, rows)), run
+
+
+def test_admission_does_not_keep_a_state_per_path(spark, tmp_path):
+    events = many_paths(spark, f"{tmp_path}/in")
+    have, run = admitted(spark, f"{tmp_path}/a", in_flight.admissions(arriving(spark, f"{tmp_path}/in"), 3600, "30 minutes"))
+    assert have == expected_admissions(events, 3600)
+    assert state_rows(run) < PATHS
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_admission_of_paths_that_share_a_bucket(spark, arrived, tmp_path, buckets):
+    events, folder = arrived
+    stream = in_flight.admissions(arriving(spark, folder), 900, "30 minutes", buckets=buckets)
+    assert admitted(spark, str(tmp_path), stream)[0] == expected_admissions(events, 900)
+
+
+def test_admission_of_late_arrivals_and_far_times(spark, tmp_path):
+    in_time = late_arrivals(spark, f"{tmp_path}/in")
+    have, _ = admitted(spark, f"{tmp_path}/a", in_flight.admissions(arriving(spark, f"{tmp_path}/in"), 600, "30 minutes"))
+    assert have == expected_admissions(in_time, 600)
