@@ -36,13 +36,18 @@ TIMED_OUT = "timed out"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 # The default, which keeps one state per key.
 _SINGLE = "HDFSBackedStateStoreProvider"
+# Memory outside the heap: bytes of rows on their way to Python, and of each partition's rows not yet in a file.
+_LEAN = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16",
+}
 # Parts that the waiters of a hot path are dealt to.
 HOT_PARTS = 32
 # Buckets that paths are dealt to. A stream keeps the number that it started with.
 BUCKETS = 512
 _SECOND = 1_000_000
 # A task packs so many rows or bytes at once; stored and emitted batches have at most so many rows.
-_PACK_ROWS, _PACK_BYTES, _CHUNK = 1 << 18, 1 << 25, 1 << 16
+_PACK_ROWS, _PACK_BYTES, _CHUNK = 1 << 16, 1 << 23, 1 << 16
 _ROWS = pa.schema(
     [("filepath", pa.large_string()), ("us", pa.int64()), ("request_id", pa.int64()), ("outcome", pa.large_string())]
 )
@@ -409,10 +414,14 @@ def admissions(
 
 
 def run_appending(stream: DataFrame, folder: str, **options: str) -> StreamingQuery:
-    """:func:`request_stream.run_appending` with a state store that holds several states per key."""
+    """:func:`request_stream.run_appending` with a state store that holds several states per key.
+
+    A row is a pack of some kilobytes here, so batches of rows are bounded by bytes, if the session does not say how.
+    """
     spark = stream.sparkSession
-    named = spark.conf.getAll.get(_STORE)
-    if named is not None and not named.endswith(_SINGLE):
-        return request_stream.run_appending(stream, folder, **options)
-    with starting_with(spark, **{_STORE: SETTINGS[_STORE]}):
+    own = spark.conf.getAll
+    settings = {key: value for key, value in _LEAN.items() if key not in own}
+    if own.get(_STORE, _SINGLE).endswith(_SINGLE):
+        settings[_STORE] = SETTINGS[_STORE]
+    with starting_with(spark, **settings):
         return request_stream.run_appending(stream, folder, **options)
